@@ -11,6 +11,7 @@ from tiersmith.operators.grid import CELL, cell_counts, expand_cases, identifier
 from tiersmith.operators.relational import back_transform, difference_columns, stack
 from tiersmith.operators.sampling import nested_split
 from tiersmith.operators.stats import result_rows
+from tiersmith.session import cut_lineage
 
 METHODS = ("single", "multitask", "multitask_with_target", "delta")
 DEFAULT_A = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
@@ -84,8 +85,8 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
     values = difference_columns(measurements, tasks)
     names = [c for c in values.columns if c not in (key, "x")]
     split = nested_split(measurements.select(key, "x", *tasks), key, target, core, extra, seeds)
-    pool = difference_columns(split, tasks).select(
-        "seed", "part", "pos", key, "x", F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))]).alias("v"))
+    pool = cut_lineage(difference_columns(split, tasks).select(
+        "seed", "part", "pos", key, "x", F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))]).alias("v")))
     cells = scenario_cells(spark.createDataFrame([(int(s),) for s in seeds], "seed int"), scenarios)
     members = membership(cells, pool, [key, "x", "v"])
     tests = (cells.join(pool.where(F.col("part") == "T").select("seed", key, "x", "v"), "seed")

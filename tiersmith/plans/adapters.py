@@ -92,7 +92,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         (F.lit(5) * F.pow(F.lit(2.0), F.col("user_id") % 7)).cast("bigint").alias("high_level"),
         pick([0.5, 1.0, 2.0, 3.0, 6.0], F.expr("event_id div 48") % 5).alias("ratio"),
         pick([0.5, 1.0], F.expr("event_id div 240") % 2).alias("half"),
-        (F.col("value") / 1000).alias("mae_error"))
+        (F.col("value") / 997).alias("mae_error"))
     share = F.when(F.col("levels") == 1, 0.0).when(F.col("levels") == 2, 1.0).otherwise(F.col("half"))
     low = F.when(F.col("levels") == 1, F.lit(0).cast("bigint")).otherwise(expected_low_level(
         F.col("high_level"), F.col("datasets"), F.col("levels") - 1, F.col("task_fractions"), F.col("ratio")))
@@ -114,7 +114,7 @@ RUNS_SQL = f"""base as (select cast(event_id % 6 as integer) as seed,
   else ['C','A','CA','CT','AT','CAT'][(user_id // 7) % 6 + 1] end as datasets,
  cast(5 * power(2, user_id % 7) as bigint) as high_level,
  [0.5::double, 1.0, 2.0, 3.0, 6.0][(event_id // 48) % 5 + 1] as ratio,
- [0.5::double, 1.0][(event_id // 240) % 2 + 1] as half, value / 1000 as mae_error from events),
+ [0.5::double, 1.0][(event_id // 240) % 2 + 1] as half, value / 997 as mae_error from events),
 shared as (select *, case levels when 1 then 0.0::double when 2 then 1.0::double else half end as task_fractions from base),
 runs as (select *, case when levels = 1 then 0 else
  {low_level_sql('high_level', 'datasets', '(levels - 1)', 'task_fractions', 'ratio')} end as low_level from shared)"""
