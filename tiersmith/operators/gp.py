@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tiersmith.session import cut_lineage, task_slots
+from tiersmith.session import cut_lineage, spread, task_slots
 
 NOISE = 0.015
 MAX_TRAIN = 4096
@@ -171,12 +171,13 @@ def score_rows(test: DataFrame, fits: dict[str, dict], low: str | None = None) -
                 mu, sigma = predict_rows(fit, x, pdf[low].to_numpy(float) if low else None)
                 yield pdf[names].assign(cell_id=cell, mu=mu, sigma=sigma)
 
-    return test.mapInPandas(job, schema)
+    return spread(test).mapInPandas(job, schema)
 
 
 def sum_levels(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """A chain of differences: means and variances of independent levels add up."""
-    return parts.groupBy(*keys).agg(F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") ** 2)).alias("sigma"))
+    """A chain of differences: means and variances of independent levels add up, and so do the times."""
+    times = [F.sum(c).alias(c) for c in ("train_time", "test_time") if c in parts.columns]
+    return parts.groupBy(*keys).agg(F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") ** 2)).alias("sigma"), *times)
 
 
 def prior_means(train: DataFrame) -> DataFrame:
@@ -226,8 +227,9 @@ def inducing_fit(train: DataFrame, landmarks: np.ndarray, variance: float, lengt
                 np.concatenate([kk.ravel(), ky, k1, [n, sy]]).tobytes()]})
 
     schema = "part int, total binary"
-    rows = train.select("x", "y", F.spark_partition_id().alias("part"))
-    totals = _sum_partials(rows.mapInPandas(partial, schema), schema, train.rdd.getNumPartitions()).first()
+    even = spread(train.select("x", "y"))
+    rows = even.select("x", "y", F.spark_partition_id().alias("part"))
+    totals = _sum_partials(rows.mapInPandas(partial, schema), schema, even.rdd.getNumPartitions()).first()
     t = np.frombuffer(bytes(totals["total"]))
     s, ky, k1, n, sy = t[:m * m].reshape(m, m), t[m * m:m * m + m], t[m * m + m:m * m + 2 * m], t[-2], t[-1]
     mean = sy / n
@@ -259,4 +261,4 @@ def inducing_score(test: DataFrame, fit: dict) -> DataFrame:
             var = f["v"] - (q * q).sum(0) + f["noise"] * (r * r).sum(0)
             yield pdf[names].assign(mu=f["mean"] + f["white"] @ q, sigma=np.sqrt(np.maximum(var, 0.0)))
 
-    return test.mapInPandas(job, schema)
+    return spread(test).mapInPandas(job, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import permutations
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -82,8 +83,7 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
     ratio = max(max(s.a_ratios) for s in scenarios)
     most_core = max(max(s.cores) for s in scenarios if max(s.a_ratios) == ratio)
     extra = int(-(-ratio * most_core // 1))
-    values = difference_columns(measurements, tasks)
-    names = [c for c in values.columns if c not in (key, "x")]
+    names = [*tasks, *[f"{a}_{b}" for a, b in permutations(tasks, 2)]]
     split = nested_split(measurements.select(key, "x", *tasks), key, target, core, extra, seeds)
     pool = cut_lineage(difference_columns(split, tasks).select(
         "seed", "part", "pos", key, "x", F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))]).alias("v")))
@@ -116,9 +116,7 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
                            .withColumn("cell_id", F.concat_ws("#", "cell_id", "level")))
             parts = fit_and_predict(train, levels, key, test_rows=target, noise=noise)
             parts = parts.withColumn("cell_id", F.split("cell_id", "#")[0])
-            times = parts.groupBy("cell_id", key).agg(F.sum("train_time").alias("train_time"),
-                                                      F.sum("test_time").alias("test_time"))
-            pred = sum_levels(parts, ["cell_id", key]).join(times, ["cell_id", key])
+            pred = sum_levels(parts, ["cell_id", key])
         else:
             train = (members.where(mine).join(par, ["scenario", "task_no"])
                             .withColumn("y", F.col("v")[task_at(F.col("task_no"))])
@@ -170,7 +168,8 @@ def run_grid(measurements: DataFrame, key: str, tasks: list[str], params: DataFr
              seeds: list[int], target: int, *, noise: float = NOISE) -> DataFrame:
     """Result rows of all scenarios, seeds and cases: identifiers, times and the 18 statistics."""
     pred, members, _ = predict_cells(measurements, key, tasks, params, scenarios, seeds, target, noise=noise)
-    stats = result_rows(back_transform(pred), ["cell_id", "seed"], key)
+    pred = cut_lineage(pred)
+    stats = result_rows(back_transform(pred), ["cell_id", "seed"], key, stored=True)
     times = pred.groupBy("cell_id").agg(F.sum("train_time").alias("train_time"), F.sum("test_time").alias("test_time"))
     ids = cell_identifiers(members, key, scenarios).drop("seed")
     return (ids.join(stats, "cell_id").join(times, "cell_id").withColumn("target", F.lit(target))

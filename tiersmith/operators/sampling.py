@@ -1,8 +1,9 @@
 """Seeded samples of exact size, splits and draws.
 
 A row's place in a sample is the rank of md5(key-seed). The ranking needs no
-shuffle of the table: hashes above a threshold are dropped while scanning, and
-the threshold is widened if a seed should fall short, so the size is exact.
+shuffle of the table: on large tables hashes above a threshold are dropped while
+scanning, and the threshold is widened if a seed should fall short, so the size
+is exact.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from tiersmith.functions.columns import order_hash
 from tiersmith.operators.rows import row_index
 
 RANK_BY_SORT = 200_000
+PREFILTER_ROWS = 200_000
 
 
 def ranked_sample(df: DataFrame, key: str, n: int, seeds: list[int] = (0,), *, total: int | None = None,
@@ -30,7 +32,7 @@ def ranked_sample(df: DataFrame, key: str, n: int, seeds: list[int] = (0,), *, t
     seeded = (df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
                 .withColumn("__h", order_hash(F.col(key), F.col("seed"))))
     wanted = n + 8 * sqrt(n) + 64
-    while wanted < total:
+    while total > PREFILTER_ROWS and wanted < total:
         limit = format(ceil(wanted / total * 2**32), "08x")
         found = (seeded.where(F.col("__h") < limit).groupBy("seed").count()
                        .agg(F.min("count").alias("least"), F.count("*").alias("seeds")).first())

@@ -90,7 +90,7 @@ def grid_search(rows: DataFrame, objective, lower: float, upper: float, *, candi
         scored = evaluate(rows, grid, objective, noise)
         best = scored.groupBy("task", "seed").agg(F.min_by(F.struct("theta", "score", "mu", "var"),
                                                            F.struct("score", "theta")).alias("b"))
-        state = cut_lineage(best.join(state, ["task", "seed"]).select(
+        state = cut_lineage(best.join(state.select("task", "seed", "lo", "hi"), ["task", "seed"]).select(
             "task", "seed", "b",
             F.greatest(F.log("b.theta") - step, F.lit(lo)).alias("lo"),
             F.least(F.log("b.theta") + step, F.lit(hi)).alias("hi")))

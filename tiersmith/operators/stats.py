@@ -7,6 +7,7 @@ bounded size plus a block histogram.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -71,7 +72,7 @@ def _block_inversions(pdf: pd.DataFrame) -> float:
 
 
 def discordant_pairs(ranked: DataFrame, group: list[str], n: int) -> DataFrame:
-    """Strictly discordant pairs per group from the two total orders ``a`` and ``b``.
+    """Strictly discordant pairs per group from the two total orders ``a`` and ``b``, as partial counts.
 
     Pairs in one a-block are counted there, pairs in one b-block but different
     a-blocks there, and all others from the block histogram.
@@ -102,48 +103,59 @@ def discordant_pairs(ranked: DataFrame, group: list[str], n: int) -> DataFrame:
         parts = parts.unionByName(blocks.select(*cols).groupBy(*group, "yb").applyInPandas(in_b, schema))
         hist = blocks.groupBy(*group, "xb", "yb").agg(F.count("*").alias("c"))
         parts = parts.unionByName(hist.groupBy(*group).applyInPandas(across, schema))
-    return parts.groupBy(*group).agg(F.sum("d").alias("discordant"))
+    return parts.withColumnRenamed("d", "discordant")
 
 
-def rank_correlations(pairs: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Pearson, Spearman (average ranks) and Kendall (tau-b) of x and y per group."""
-    rows = cut_lineage(pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*group, key, "x", "y"))
-    n = rows.count()
+def rank_correlations(pairs: DataFrame, group: list[str], key: str, *, n: int | None = None) -> DataFrame:
+    """Pearson, Spearman (average ranks) and Kendall (tau-b) of x and y per group.
+
+    ``n`` is the number of rows; giving it says that ``pairs`` is cheap to read
+    again and has no nulls, otherwise the rows are written once first.
+    """
+    rows = pairs.select(*group, key, "x", "y")
+    if n is None:
+        rows = cut_lineage(rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+        n = rows.count()
     first = row_index(rows, ["x", "y", key], group=group, out="a", n=n)
     both = row_index(first, ["y", "x", key], group=group, out="b", n=n, source=rows)
     ranked = cut_lineage(both.select(*group, "x", "y", "a", "b"))
-    lone = F.col("t") * (F.col("t") - 1.0) / 2.0
+    t = F.col("t")
+    lone = t * (t - 1.0) / 2.0
 
     def ties(by: str, at: str, name: str) -> DataFrame:
         return ranked.groupBy(*group, by).agg(((F.min(at) + F.max(at)) / 2.0).alias(f"r_{name}"),
                                               F.count("*").cast("double").alias("t"))
 
     tx, ty = ties("x", "a", "x"), ties("y", "b", "y")
-    sx = tx.groupBy(*group).agg(F.sum(lone).alias("n1"), F.sum("t").alias("n"),
-                                F.sum(F.col("t") * F.col("r_x") * F.col("r_x")).alias("qx"))
-    sy = ty.groupBy(*group).agg(F.sum(lone).alias("n2"), F.sum(F.col("t") * F.col("r_y") * F.col("r_y")).alias("qy"))
     txy = ranked.groupBy(*group, "x", "y").agg(F.count("*").cast("double").alias("t"))
-    cross = (txy.join(tx.drop("t"), [*group, "x"]).join(ty.drop("t"), [*group, "y"]).groupBy(*group)
-                .agg(F.sum(F.col("t") * F.col("r_x") * F.col("r_y")).alias("qxy"), F.sum(lone).alias("n3")))
-    linear = rows.groupBy(*group).agg(pearson("x", "y").alias("pearson"))
-    parts = (sx.join(sy, group).join(cross, group).join(linear, group)
-               .join(discordant_pairs(ranked, group, n), group))
+    cross = txy.join(tx.drop("t"), [*group, "x"]).join(ty.drop("t"), [*group, "y"])
+    parts = [tx.select(*group, lone.alias("n1"), t.alias("n"), (t * F.col("r_x") * F.col("r_x")).alias("qx")),
+             ty.select(*group, lone.alias("n2"), (t * F.col("r_y") * F.col("r_y")).alias("qy")),
+             cross.select(*group, (t * F.col("r_x") * F.col("r_y")).alias("qxy"), lone.alias("n3")),
+             discordant_pairs(ranked, group, n),
+             ranked.groupBy(*group).agg(pearson("x", "y").alias("pearson"))]
+    names = ["n", "n1", "n2", "n3", "qx", "qy", "qxy", "discordant"]
+    sums = reduce(lambda u, v: u.unionByName(v, allowMissingColumns=True), parts).groupBy(*group).agg(
+        *[F.sum(c).alias(c) for c in names], F.max("pearson").alias("pearson"))
     n_, m2 = F.col("n"), F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4.0
     spearman = safe_div(F.col("qxy") - m2, F.sqrt((F.col("qx") - m2) * (F.col("qy") - m2)))
     n0 = n_ * (n_ - 1) / 2.0
     score = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("discordant")
     kendall = safe_div(score, F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))
-    return parts.select(*group, "pearson", spearman.alias("spearman"), kendall.alias("kendall"))
+    return sums.select(*group, "pearson", spearman.alias("spearman"), kendall.alias("kendall"))
 
 
-def result_rows(pred: DataFrame, group: list[str], key: str) -> DataFrame:
+def result_rows(pred: DataFrame, group: list[str], key: str, *, stored: bool = False) -> DataFrame:
     """The 18 statistics of predictions ``(group, key, mu, sigma, truth)``.
 
+    ``stored`` says that ``pred`` is read from storage, not recomputed.
+
     With the columns mu_total and truth_total (a difference prediction) the
     relative error refers to the total truth and the first correlations to the totals.
     """
     mu, truth = ("mu_total", "truth_total") if "mu_total" in pred.columns else ("mu", "truth")
-    rows = cut_lineage(pred.withColumn("__e", F.col("mu") - F.col("truth")))
+    rows = pred.withColumn("__e", F.col("mu") - F.col("truth")).where(F.col("__e").isNotNull() & F.col("sigma").isNotNull())
+    rows = rows if stored else cut_lineage(rows)
     n = rows.count()
 
     def pick(*entries: Column) -> Column:
@@ -158,7 +170,7 @@ def result_rows(pred: DataFrame, group: list[str], key: str) -> DataFrame:
         F.struct(F.lit("error").alias("name"), F.col(mu).alias("x"), F.col(truth).alias("y")),
         F.struct(F.lit("std").alias("name"), F.col("sigma").alias("x"), F.abs("__e").alias("y")))) \
         .select(*group, key, "e.name", "e.x", "e.y")
-    cors = rank_correlations(two, [*group, "name"], key)
+    cors = rank_correlations(two, [*group, "name"], key, n=2 * n)
 
     def widen(df: DataFrame, stats: dict[str, str], names: list[str]) -> DataFrame:
         return df.groupBy(*group).agg(*[F.max(F.when(F.col("name") == m, F.col(c))).alias(f"{p}_{m}")

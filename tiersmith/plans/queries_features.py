@@ -123,16 +123,9 @@ select r.id, round(sum(r.rho * t.rho * 2.0 * exp(-power(list_distance(r.x, t.x),
  + case when r.proc = t.proc and r.proc <> 'P' then t.v * exp(-power(list_distance(r.x, t.x), 2) / (2 * t.l * t.l)) else 0 end), 6) as k_sum
 from rows r, tags t group by r.id""")
 def multi_covariance(spark, sf):
-    def tag(df, i):
-        def pick(*v):
-            return F.element_at(F.array(*[F.lit(x) for x in v]), (i % 3 + 1).cast("int"))
-        return df.withColumn("proc", pick("P", "S1", "S2")).withColumn("rho", pick(1.0, 0.9, 0.8)) \
-                 .withColumn("variance", pick(2.0, 0.5, 0.25)).withColumn("lengthscale", pick(1.0, 2.0, 0.5))
-
-    mf = measurements(spark, sf).select("id", "x")
-    rows = tag(mf, F.split("id", "-")[1].cast("int"))
-    marks = tag(_marks(spark, sf).select("id", "x", "rank"), F.col("rank"))
-    k = K.task_covariance(rows, marks, "id", 2.0, 1.0)
+    rows = measurements(spark, sf).select("id", "x", (F.split("id", "-")[1].cast("int") % 3).alias("task_no"))
+    marks = _marks(spark, sf).select("id", "x", (F.col("rank") % 3).cast("int").alias("task_no"))
+    k = K.task_covariance(rows, marks, "id", [(2.0, 1.0, 1.0), (0.5, 2.0, 0.9), (0.25, 0.5, 0.8)])
     return k.select("id", r6(F.aggregate("k", F.lit(0.0), lambda a, v: a + v), "k_sum"))
 
 

@@ -207,7 +207,7 @@ te as (select seed * 1000 + core as c, id, x, P as truth from rk, cores where ra
 {solve_sql(single_kernel(1.0), '[a.r]')}, {score_sql(single_kernel(1.0), 'pm.m', '1')},
 pr as (select sc.c, mu, sqrt(greatest(var, 0)) as sigma, truth from sc join te using (c, id)),
 rr as (select *, rank() over (partition by c order by mu) as ra, rank() over (partition by c order by truth) + (count(*) over (partition by c, truth) - 1) / 2.0 as rb from pr)
-select cast(c // 1000 as integer) as seed, c % 1000 as high_level, round(avg(abs(mu - truth)), 6) as mae_error, round(median(abs(mu - truth)), 6) as median_ae_error,
+select cast(c // 1000 as integer) as seed, cast(c % 1000 as bigint) as high_level, round(avg(abs(mu - truth)), 6) as mae_error, round(median(abs(mu - truth)), 6) as median_ae_error,
  round(avg(sigma), 6) as mae_std, round(corr(mu, truth), 6) as pearson_error, round(corr(ra, rb), 6) as spearman_error,
  round((c % 1000) * 24550.3::double, 4) as cost from rr group by c"""
 

@@ -19,6 +19,7 @@ def build_session(app: str = "tiersmith", cpus: int | None = None, **conf: str)
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     b = SparkSession.builder.master(f"local[{n}]").appName(app)
@@ -60,3 +61,14 @@ def task_slots(spark: SparkSession) -> int:
     """
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(2 * spark.sparkContext.defaultParallelism, shuffle)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before per-row numeric work, when the scan gave fewer partitions than cores.
+
+    A large scan already has many partitions and is returned as it is.
+    """
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        return df.repartition(task_slots(spark))
+    return df

@@ -122,14 +122,16 @@ def frames_in_range(handle, start: int, end: int) -> Iterator[tuple]:
 
 class XyzReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        path = options["path"]
+        self.path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+        self.suffix = options.get("suffix", ".xyz")
         self.split = int(options.get("splitbytes", 64 << 20))
 
     def partitions(self) -> list[ByteRange]:
         fs, root = pafs.FileSystem.from_uri(self.path)
         info = fs.get_file_info(root)
         files = [info] if info.type == pafs.FileType.File else \
-            [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.path.endswith(".xyz")]
+            [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.path.endswith(self.suffix)]
         return [ByteRange(f.path, s, min(s + self.split, f.size)) for f in sorted(files, key=lambda f: f.path)
                 for s in range(0, f.size, self.split)]
 
@@ -152,10 +154,10 @@ class XyzSource(DataSource):
         return XyzReader(self.options)
 
 
-def read_xyz(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+def read_xyz(spark: SparkSession, path: str, split_bytes: int = 64 << 20, suffix: str = ".xyz") -> DataFrame:
     """Frames (file, offset, info, atoms); ``path`` is a file or a folder, absolute or a URI."""
     spark.dataSource.register(XyzSource)
-    return spark.read.format("xyz").option("splitbytes", split_bytes).load(path)
+    return spark.read.format("xyz").option("splitbytes", split_bytes).option("suffix", suffix).load(path)
 
 
 def with_frame_numbers(structures: DataFrame) -> DataFrame:
