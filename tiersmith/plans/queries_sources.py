@@ -125,7 +125,7 @@ def _lines(spark, sf):
     name = F.element_at(F.array(*[F.lit(v) for v in ("", "PBE", "PBE0", "SCAN")]), (key % 4 + 1).cast("int"))
     def val(c):
         return F.format_string("%.4f", c)
-    pairs = F.concat_ws(", ", F.concat(name, key), val(price), val(price / 4), val(price / 5), val(price / 8),
+    pairs = F.concat_ws(", ", F.concat(name, key), val(price), val(price / 4), val(price / 5), val(price / 2),
                         val(price / 7), val(price / 100), F.lit("1.5000"))
     single = F.concat_ws(", ", F.concat(name, key), val(-price), val(price / 1000))
     bad = F.concat(F.lit("*** step failed "), key)
@@ -148,7 +148,7 @@ def log_rejects(spark, sf):
 
 @query("interaction_energy", """with p as (select o_orderkey as mol_id, ['CCSDT', 'PBE', 'PBE0', 'SCAN'][o_orderkey % 4 + 1] as method, o_totalprice as p
  from orders where o_orderkey % 10 <> 9 and o_orderkey % 3 <> 0)
-select mol_id, method, round(cast(printf('%.4f', p) as double) - cast(printf('%.4f', p / 4) as double) - cast(printf('%.4f', p / 5) as double) - cast(printf('%.4f', p / 8) as double), 4) as interaction,
+select mol_id, method, round(cast(printf('%.4f', p) as double) - cast(printf('%.4f', p / 4) as double) - cast(printf('%.4f', p / 5) as double) - cast(printf('%.4f', p / 2) as double), 4) as interaction,
  round(cast(printf('%.4f', p / 100) as double), 3) as seconds from p""")
 def interaction_energy(spark, sf):
     good, _ = calclog.parse_lines(_lines(spark, sf))
