@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tiersmith.session import cut_lineage, spread, task_slots
+from tiersmith.session import spread, task_slots
 
 NOISE = 0.015
 MAX_TRAIN = 4096
@@ -131,8 +131,11 @@ def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: i
 
 
 def fit_models(train: DataFrame, noise: float = NOISE) -> dict[str, dict]:
-    """Fits of a few cells, brought to the driver after a check of their total size."""
-    train = cut_lineage(train.select(*TRAIN))
+    """Fits of a few cells, brought to the driver after a check of their total size.
+
+    ``train`` is read twice; store it first when it is expensive.
+    """
+    train = train.select(*TRAIN)
     sizes = train.groupBy("cell_id").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d"))
     need = sizes.agg(F.sum(8.0 * F.col("n") * (F.col("n") + F.col("d") + 8))).first()[0]
     if need > BROADCAST_BYTES:

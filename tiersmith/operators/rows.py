@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 48
+TREE_BOUNDS = 64
 
 
 def _bucket(df: DataFrame, keys: list[str], n: int) -> Column:
@@ -29,22 +30,39 @@ def _bucket(df: DataFrame, keys: list[str], n: int) -> Column:
         return F.lit(0)
     step = max(1, len(sample) // n_buckets)
     cuts = sorted(set(range(step, len(sample), step)))
+    bounds = [[sample[i][k] for k in keys] for i in cuts]
+    if len(bounds) <= TREE_BOUNDS:
+        return _search_tree(keys, bounds, 0, len(bounds))
     types = dict(df.select(*keys).dtypes)
-    bounds = [F.struct(*[F.lit(sample[i][k]).cast(types[k]).alias(k) for k in keys]) for i in cuts]
-    if not bounds:
-        return F.lit(0)
+    width = max(isqrt(len(bounds)) + 1, ceil(len(bounds) / TREE_BOUNDS))
+    chunks = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+    top = _search_tree(keys, [c[0] for c in chunks], 0, len(chunks))
+    literal = F.array(*[F.array(*[F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, b)]) for b in c])
+                        for c in chunks])
     key = F.struct(*keys)
+    inner = F.size(F.filter(F.element_at(literal, F.greatest(top, F.lit(1))), lambda b: b <= key))
+    return F.when(top == 0, F.lit(0)).otherwise((top - 1) * width + inner)
 
-    def below(arr: Column) -> Column:
-        return F.size(F.filter(arr, lambda b: b <= key))
 
-    if len(bounds) <= 64:
-        return below(F.array(*bounds))
-    width = isqrt(len(bounds)) + 1
-    chunks = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-    top = below(F.array(*[c[0] for c in chunks]))
-    inner = below(F.element_at(F.array(*[F.array(*c) for c in chunks]), F.greatest(top, F.lit(1))))
-    return F.when(top == 0, F.lit(0)).otherwise((top - 1) * width + inner)
+def _search_tree(keys: list[str], bounds: list[list], lo: int, hi: int) -> Column:
+    """Number of bounds at or below the key, as nested comparisons that compile to plain branches."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(_before(keys, bounds[mid]), _search_tree(keys, bounds, lo, mid)) \
+            .otherwise(_search_tree(keys, bounds, mid + 1, hi))
+
+
+def _before(keys: list[str], bound: list) -> Column:
+    """Key strictly below a bound in sort order, nulls first."""
+    test = F.lit(False)
+    for k, v in reversed(list(zip(keys, bound))):
+        c = F.col(k)
+        if v is None:
+            test = c.isNull() & test
+        else:
+            test = c.isNull() | (c < F.lit(v)) | ((c == F.lit(v)) & test)
+    return test
 
 
 def running_sum(df: DataFrame, order_by: list[str], weight: str | None = None, *,
@@ -66,12 +84,13 @@ def running_sum(df: DataFrame, order_by: list[str], weight: str | None = None, *
     counted = source.withColumn("__b", bucket).withColumn("__g", whole)
     before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counted.groupBy("__g", "__b").agg(F.sum(w).alias("__s"))
-                    .select("__g", "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o")))
+                      .select("__g", "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o")))
     inside = (Window.partitionBy("__g", "__b").orderBy(*order_by)
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (keyed.join(offsets, ["__g", "__b"])
-                 .withColumn(out, F.col("__o") + F.sum(w).over(inside))
-                 .drop("__g", "__b", "__o"))
+    # The window comes first: the join then needs no exchange of the rows of its own.
+    return (keyed.withColumn("__w", F.sum(w).over(inside)).join(offsets, ["__g", "__b"])
+                 .withColumn(out, F.col("__o") + F.col("__w"))
+                 .drop("__g", "__b", "__o", "__w"))
 
 
 def row_index(df: DataFrame, order_by: list[str], *, group: list[str] | None = None,

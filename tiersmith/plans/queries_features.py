@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tiersmith.functions.columns import round_off
+from tiersmith.functions.columns import round_off, se_kernel
 from tiersmith.operators import features as V, kernels as K
 from tiersmith.operators.sampling import ranked_sample
 from tiersmith.plans.adapters import LF_SQL, MF_SQL, isolated_atoms, local_features, measurements, r6
@@ -94,6 +95,17 @@ def fragment_pairs(spark, sf):
 MARKS = f"""{MF_SQL}, marks as materialized (select id, x, P, row_number() over (order by md5(concat(id, '-1')), id) as rank from mf order by rank limit 40)"""
 
 
+@query("kernel_row", f"""with {MARKS} select mf.id, m.rank as landmark, round(exp(-power(list_distance(mf.x, m.x), 2) / (2 * 1.5 * 1.5::double)) * 2, 6) as k
+ from mf, marks m where m.rank <= 4""")
+def kernel_row(spark, sf):
+    """Kernel values against four landmarks: in the JVM from an array literal of a few vectors."""
+    few = ranked_sample(measurements(spark, sf), "id", 4, [1]).select("rank", "x").collect()
+    df = measurements(spark, sf).select("id", "x")
+    values = [F.struct(F.lit(r["rank"]).cast("bigint").alias("landmark"),
+                       round_off(se_kernel(F.col("x"), F.array(*[F.lit(v) for v in r["x"]]), 2.0, 1.5)).alias("k")) for r in few]
+    return df.select("id", F.explode(F.array(*values)).alias("e")).select("id", "e.*")
+
+
 def _marks(spark, sf, n=40):
     return ranked_sample(measurements(spark, sf), "id", n, [1])
 
@@ -102,8 +114,9 @@ def _marks(spark, sf, n=40):
 select mf.id, round(sum(exp(-power(list_distance(mf.x, m.x), 2) / 2)), 6) as k_sum,
  round(max(exp(-power(list_distance(mf.x, m.x), 2) / 2)), 6) as k_max from mf, marks m group by mf.id""")
 def se_kernel_rows(spark, sf):
-    k = K.kernel_columns(measurements(spark, sf).select("id", "x"), _marks(spark, sf).select("id", "x"), "id")
-    return k.select("id", r6(F.aggregate("k", F.lit(0.0), lambda a, v: a + v), "k_sum"), r6(F.array_max("k"), "k_max"))
+    k = K.kernel_columns(measurements(spark, sf).select("id", "x"), _marks(spark, sf).select("id", "x"), "id",
+                         summary={"k_sum": np.sum, "k_max": np.max})
+    return k.select("id", r6("k_sum", "k_sum"), r6("k_max", "k_max"))
 
 
 @query("gram_blocks", f"""with {LF_SQL}, a as (select mol_id * 10 + atom_idx as id, f from lf)
@@ -125,8 +138,9 @@ from rows r, tags t group by r.id""")
 def multi_covariance(spark, sf):
     rows = measurements(spark, sf).select("id", "x", (F.split("id", "-")[1].cast("int") % 3).alias("task_no"))
     marks = _marks(spark, sf).select("id", "x", (F.col("rank") % 3).cast("int").alias("task_no"))
-    k = K.task_covariance(rows, marks, "id", [(2.0, 1.0, 1.0), (0.5, 2.0, 0.9), (0.25, 0.5, 0.8)])
-    return k.select("id", r6(F.aggregate("k", F.lit(0.0), lambda a, v: a + v), "k_sum"))
+    k = K.task_covariance(rows, marks, "id", [(2.0, 1.0, 1.0), (0.5, 2.0, 0.9), (0.25, 0.5, 0.8)],
+                          summary={"k_sum": np.sum})
+    return k.select("id", r6("k_sum", "k_sum"))
 
 
 DIST = f"""{SPEC}, heavy as (select mol_id, pos, avg(v) as v from lv where species <> 'H' group by all),

@@ -149,11 +149,11 @@ def log_rejects(spark, sf):
 @query("interaction_energy", """with p as (select o_orderkey as mol_id, ['CCSDT', 'PBE', 'PBE0', 'SCAN'][o_orderkey % 4 + 1] as method, o_totalprice as p
  from orders where o_orderkey % 10 <> 9 and o_orderkey % 3 <> 0)
 select mol_id, method, round(cast(printf('%.4f', p) as double) - cast(printf('%.4f', p / 4) as double) - cast(printf('%.4f', p / 5) as double) - cast(printf('%.4f', p / 2) as double), 4) as interaction,
- round(cast(printf('%.4f', p / 100) as double), 3) as seconds from p""")
+ round(cast(printf('%.4f', p / 100) as double), 4) as seconds from p""")
 def interaction_energy(spark, sf):
     good, _ = calclog.parse_lines(_lines(spark, sf))
     e = J.interaction_energy(calclog.energies(good.where(F.size("values") == 7)))
-    return e.select("mol_id", "method", F.round("interaction", 4).alias("interaction"), F.round("seconds", 3).alias("seconds"))
+    return e.select("mol_id", "method", F.round("interaction", 4).alias("interaction"), F.round("seconds", 4).alias("seconds"))
 
 
 @query("filled_params", "select p_brand as task, round(avg(p_retailprice), 6) as variance from part group by p_brand")
