@@ -111,3 +111,11 @@ def test_conformal_scale_and_coverage(spark):
 def test_conformal_scale_is_infinite_for_few_rows(spark):
     df = spark.createDataFrame([("a", i, 0.0, 1.0, 1.0) for i in range(5)], "g string, key int, mu double, sigma double, truth double")
     assert G.conformal_scales(df, ["g"], "key").first()["scale"] == float("inf")
+
+
+def test_a_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1, 1.0, 0.5, 3.0), (None, 2, 2.0, 0.5, 3.0), ("a", 3, 1.0, 0.5, 2.0)],
+                               "g string, key int, mu double, sigma double, truth double")
+    rows = {r["g"]: r for r in G.result_rows(df, ["g"], "key").collect()}
+    assert rows[None]["median_ae_error"] == 1.5 and rows[None]["kendall_error"] is None and rows["a"]["mae_error"] == 1.0
+    assert {r["g"] for r in G.conformal_scales(df, ["g"], "key").collect()} == {None, "a"}

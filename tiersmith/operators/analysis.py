@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiersmith.functions.columns import COST_MODELS, linear_cost, safe_div
@@ -22,8 +24,10 @@ def std_over_runs(runs: DataFrame, metrics: list[str] = ("mae_error",), keys: li
     return runs.groupBy(*keys).agg(*[F.stddev_samp(m).alias(m) for m in metrics])
 
 
-def with_cost(df: DataFrame, model: str | tuple[float, float] = "water") -> DataFrame:
-    """Attach seconds by a linear model of the two counts."""
+def with_cost(df: DataFrame, model: str | tuple[float, float] | Callable[[Column, Column], Column] = "water") -> DataFrame:
+    """Attach seconds by a linear model of the two counts, or by any function of the two columns."""
+    if callable(model):
+        return df.withColumn("cost", model(F.col("high_level"), F.col("low_level")))
     high, low = COST_MODELS[model] if isinstance(model, str) else model
     return df.withColumn("cost", linear_cost(F.col("high_level"), F.col("low_level"), high, low))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,9 +54,30 @@ def species_pool(local: DataFrame, species: list[str], isolated: DataFrame | Non
     atom, or nulls when ``isolated(species, x)`` is not given.
     """
     dim = _dim(local, "f") if dim is None else dim
+    if dim * len(species) > WIDE_LIMIT:
+        return _species_pool_long(local, species, isolated, dim)
+    sums = []
+    for j, s in enumerate(species):
+        mine = F.col("species") == s
+        sums.append(F.count(F.when(mine, 1)).alias(f"n{j}"))
+        sums += [F.sum(F.when(mine, F.col("f")[i])).alias(f"s{j}_{i}") for i in range(dim)]
+    agg = local.groupBy("mol_id").agg(*sums)
+    blank = F.array_repeat(F.lit(None).cast("double"), dim)
+    if isolated is not None:  # one row per species: a map of a few vectors
+        entry = F.map_from_entries(F.collect_list(F.struct("species", "x")))
+        agg = agg.withColumn("__iso", isolated.where(F.col("species").isin(species)).agg(entry).scalar())
+    parts = []
+    for j, s in enumerate(species):
+        mean = F.array(*[F.col(f"s{j}_{i}") / F.col(f"n{j}") for i in range(dim)])
+        absent = blank if isolated is None else F.coalesce(F.col("__iso")[s], blank)
+        parts.append(F.when(F.col(f"n{j}") > 0, mean).otherwise(absent))
+    return agg.select("mol_id", F.concat(*parts).alias("x"))
+
+
+def _species_pool_long(local: DataFrame, species: list[str], isolated: DataFrame | None, dim: int) -> DataFrame:
+    """The same for vectors too long for separate aggregates: pool by (structure, species), then line up."""
     pooled = mean_pool(local.where(F.col("species").isin(species)), ["mol_id", "species"], dim)
-    mols = local.select("mol_id").distinct()
-    slots = mols.withColumn("species", F.explode(F.array(*[F.lit(s) for s in species])))
+    slots = local.select("mol_id").distinct().withColumn("species", F.explode(F.array(*[F.lit(s) for s in species])))
     filled = slots.join(pooled, ["mol_id", "species"], "left")
     if isolated is not None:
         filled = filled.join(isolated.select("species", F.col("x").alias("__iso")), "species", "left") \
@@ -65,6 +87,17 @@ def species_pool(local: DataFrame, species: list[str], isolated: DataFrame | Non
     return filled.groupBy("mol_id").agg(F.concat(*picks).alias("x"))
 
 
+def pool(local: DataFrame, how: str | Callable[[DataFrame], DataFrame] = "mean",
+         select: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+    """Pooled vectors (mol_id, x) with a pluggable choice of atoms and of pooling."""
+    chosen = local if select is None else select(local)
+    if callable(how):
+        return how(chosen)
+    return {"mean": lambda d: mean_pool(d, ["mol_id"], **options),
+            "species": lambda d: species_pool(d, **options),
+            "concat": lambda d: concat_pool(d, **options)}[how](chosen)
+
+
 def pair_difference(pooled: DataFrame, pairs: DataFrame) -> DataFrame:
     """Difference of the pooled vectors of listed pairs (mol_a, mol_b)."""
     a = pooled.select(F.col("mol_id").alias("mol_a"), F.col("x").alias("xa"))

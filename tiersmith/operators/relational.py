@@ -8,6 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, functions as F
 
 INLINE_TUPLES = 64
+MAX_LIST = 10_000
 
 
 def tuple_match(columns: list[str], selectors: list[tuple]) -> Column:
@@ -66,8 +67,14 @@ def combinations2(items: DataFrame, item: str) -> DataFrame:
     return _pairs(items, item, lambda x, y: x < y)
 
 
+def _bounded_set(item: str) -> Column:
+    """The distinct values as an array; a list beyond ``MAX_LIST`` is an error, for these are lists of names."""
+    return F.when(F.count_distinct(item) <= MAX_LIST, F.collect_set(item)).otherwise(
+        F.raise_error(F.lit(f"{item}: more than {MAX_LIST} distinct values")))
+
+
 def _pairs(items: DataFrame, item: str, keep) -> DataFrame:
-    everything = items.agg(F.collect_set(item).alias("a")).select(F.explode("a").alias("left_item"), "a")
+    everything = items.select(item).distinct().agg(_bounded_set(item).alias("a")).select(F.explode("a").alias("left_item"), "a")
     partners = F.filter("a", lambda y: keep(F.col("left_item"), y))
     return everything.select("left_item", F.explode(partners).alias("right_item"))
 
@@ -76,7 +83,7 @@ def parameter_product(**lists: DataFrame) -> DataFrame:
     """Product of parameter lists (one single-column table each), as nested explodes of arrays."""
     out = None
     for name, table in lists.items():
-        values = table.agg(F.collect_set(table.columns[0])).scalar()
+        values = table.select(table.columns[0]).distinct().agg(_bounded_set(table.columns[0])).scalar()
         base = table.sparkSession.range(1).select(values.alias("__v")) if out is None else out.withColumn("__v", values)
         out = base.withColumn(name, F.explode("__v")).drop("__v")
     return out
@@ -100,6 +107,13 @@ def stack_tagged(parts: dict[str, DataFrame], tag: str = "proc") -> DataFrame:
     return stack([df.withColumn(tag, F.lit(name)) for name, df in parts.items()])
 
 
+def join_groups(left: DataFrame, right: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
+    """Join on group columns where null is a group like any other; ``right`` has one row per group."""
+    names = {g: f"__right_{g}" for g in group}
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in names.items()])
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
     """Horizontal concatenation of two indexed tables of equal length.
 

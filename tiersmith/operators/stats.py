@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tiersmith.functions.columns import safe_div
+from tiersmith.operators.relational import join_groups
 from tiersmith.operators.rows import row_index
 from tiersmith.session import cut_lineage
 
@@ -33,7 +34,7 @@ def medians(df: DataFrame, group: list[str], value: str, ties: list[str], n: int
     ranked = row_index(rows, [value, *ties], group=group, out="__i", n=n)
     sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
     middle = (F.col("__i") >= F.floor((F.col("__n") + 1) / 2)) & (F.col("__i") <= F.ceil((F.col("__n") + 1) / 2))
-    return ranked.join(sizes, group).where(middle).groupBy(*group).agg(F.avg(value).alias("median"))
+    return join_groups(ranked, sizes, group).where(middle).groupBy(*group).agg(F.avg(value).alias("median"))
 
 
 def abs_stats(long: DataFrame, group: list[str], value: str, ties: list[str], n: int | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def abs_stats(long: DataFrame, group: list[str], value: str, ties: list[str], n:
     rows = long.withColumn(value, F.abs(value))
     plain = rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.min(value).alias("minimum"),
                                      F.max(value).alias("maximum"), F.count(value).alias("n"))
-    return plain.join(medians(rows, group, value, ties, n), group, "left")
+    return join_groups(plain, medians(rows, group, value, ties, n), group, "left")
 
 
 def task_medians(log: DataFrame, columns: list[str] = ("variance", "lengthscale", "rho"),
@@ -128,7 +129,7 @@ def rank_correlations(pairs: DataFrame, group: list[str], key: str, *, n: int |
 
     tx, ty = ties("x", "a", "x"), ties("y", "b", "y")
     txy = ranked.groupBy(*group, "x", "y").agg(F.count("*").cast("double").alias("t"))
-    cross = txy.join(tx.drop("t"), [*group, "x"]).join(ty.drop("t"), [*group, "y"])
+    cross = join_groups(join_groups(txy, tx.drop("t"), [*group, "x"]), ty.drop("t"), [*group, "y"])
     parts = [tx.select(*group, lone.alias("n1"), t.alias("n"), (t * F.col("r_x") * F.col("r_x")).alias("qx")),
              ty.select(*group, lone.alias("n2"), (t * F.col("r_y") * F.col("r_y")).alias("qy")),
              cross.select(*group, (t * F.col("r_x") * F.col("r_y")).alias("qxy"), lone.alias("n3")),
@@ -179,7 +180,7 @@ def result_rows(pred: DataFrame, group: list[str], key: str, *, stored: bool = F
     left = widen(spread, {"mean": "mae", "median": "median_ae", "minimum": "minimum_ae", "maximum": "maximum_ae"},
                  ["error", "relative", "std"])
     right = widen(cors, {c: c for c in ("pearson", "spearman", "kendall")}, ["error", "std"])
-    return left.join(right, group, "left")
+    return join_groups(left, right, group, "left")
 
 
 def conformal_scales(calibration: DataFrame, group: list[str], key: str, alpha: float = 0.05) -> DataFrame:
@@ -189,14 +190,14 @@ def conformal_scales(calibration: DataFrame, group: list[str], key: str, alpha:
     sizes = scored.groupBy(*group).agg(F.count("*").alias("n")) \
                   .withColumn("k", F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))
     ranked = row_index(scored, ["score", key], group=group, out="i")
-    hit = ranked.join(sizes, group).where(F.col("i") == F.col("k")).select(*group, F.col("score").alias("__q"))
-    return sizes.join(hit, group, "left").select(
+    hit = join_groups(ranked, sizes, group).where(F.col("i") == F.col("k")).select(*group, F.col("score").alias("__q"))
+    return join_groups(sizes, hit, group, "left").select(
         *group, "n", F.coalesce("__q", F.lit(float("inf"))).alias("scale"))
 
 
 def apply_scales(target: DataFrame, scales: DataFrame, group: list[str]) -> DataFrame:
-    return target.join(scales.select(*group, "scale"), group) \
-                 .withColumn("conformal", F.col("scale") * F.col("sigma"))
+    return join_groups(target, scales.select(*group, "scale"), group) \
+        .withColumn("conformal", F.col("scale") * F.col("sigma"))
 
 
 def coverage(df: DataFrame, group: list[str]) -> DataFrame:

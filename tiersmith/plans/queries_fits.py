@@ -6,18 +6,22 @@ Gauss-Jordan step per iteration on the matrix held as a list of rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tiersmith import schemas
 from tiersmith.operators import gp as K, search as H, stats as G
-from tiersmith.operators.analysis import with_cost
+from tiersmith.operators.analysis import mean_over_runs, with_cost
 from tiersmith.operators.methods import Scenario, run_grid, single
 from tiersmith.operators.relational import stack
-from tiersmith.operators.sampling import nested_split, ranked_sample
+from tiersmith.operators.rows import row_index
+from tiersmith.operators.sampling import augmented_draw, nested_split, ranked_sample
 from tiersmith.plans.adapters import MF_SQL, measurements, r6
 from tiersmith.plans.registry import query
-from tiersmith.session import cut_lineage
+from tiersmith.session import cut_lineage, shared_dir
+from tiersmith.sources import tables
 
 TASKS = ["P", "S1", "S2"]
 # Parameters of the example tasks and differences: task, variance, lengthscale, rho.
@@ -85,7 +89,7 @@ def _train(spark, rows, tasks, counts, cell="all"):
 
 
 def _rest(spark, sf, rows, n, keep=("id", "x")):
-    used = rows.where(F.col("rank") <= n).select("id")
+    used = rows.where(F.col("rank") <= n).select("id")  # at most n rows, so the hint is bounded
     return measurements(spark, sf).join(F.broadcast(used), "id", "left_anti").select(*keep)
 
 
@@ -313,16 +317,89 @@ def search_study(spark, sf):
     return study.select("task", "n", "seed", *[r6(c, c) for c in ("variance", "variance_mle", "lengthscale", "mle_mae", "mae_mae")])
 
 
-@query("calibration_run")
+CALIB_SQL = f"""with recursive {MF_SQL}, rk as materialized (select *, row_number() over (order by md5(concat(id, '-1')), id) as r0 from mf qualify r0 <= 1560),
+base as (select 1 as c, r0 - 1500 as i, x, P as y, 0 as t, 1.0::double as rho, 1.0::double as v, 1.0::double as l from rk where r0 > 1500 and r0 <= 1520
+ union all select 2, r0 - 1500, x, P, 0, 1.0::double, 1.0::double, 1.0::double from rk where r0 > 1500 and r0 <= 1520
+ union all select 2, 20 + r0 - 1500, x, S1, 1, 0.95::double, 0.05::double, 1.0::double from rk where r0 > 1500),
+pm0 as (select c, t, avg(y) as m from base group by c, t), pm as (select c, m from pm0 where t = 0),
+tr as materialized (select base.*, y - m as r from base join pm0 using (c, t)),
+te as (select c, id, x, 0 as t, 1.0::double as rho, 1.0::double as v, 1.0::double as l from rk, (values (1), (2)) q(c) where r0 <= 1500),
+{solve_sql(MULTI, '[a.r]')}, {score_sql(MULTI, 'pm.m', '1')},
+cal as (select sc.id, sc.c as tasks, sc.mu, sqrt(greatest(var, 0)) as sigma, P as truth, S1 as truth_secondary from sc join rk using (id))"""
+
+
+def _calibration_rows(spark, sf):
+    """One- and two-task predictions of 1500 target rows with both truths."""
+    pool = cut_lineage(nested_split(measurements(spark, sf), "id", 1500, 20, 40, [1]))
+    rows = pool.where("part <> 'T'").withColumn("rank", F.when(F.col("part") == "C", F.col("pos")).otherwise(F.col("pos") + 20))
+    train = cut_lineage(stack([_train(spark, rows, ["P"], [20], "1"), _train(spark, rows, ["P", "S1"], [20, 60], "2")]))
+    test = pool.where("part = 'T'").select("id", "x", F.col("P").alias("truth"), F.col("S1").alias("truth_secondary"))
+    return K.score_rows(test, K.fit_models(train)).withColumn("tasks", F.col("cell_id").cast("int")).drop("cell_id")
+
+
+@query("calibration_rows", f"""{CALIB_SQL} select id, tasks, round(mu, 5) + 0.0 as mu, round(sigma, 5) as sigma, truth as truth_primary, truth_secondary from cal""")
+def calibration_rows(spark, sf):
+    return _calibration_rows(spark, sf).select("id", "tasks", (F.round("mu", 5) + F.lit(0.0)).alias("mu"), F.round("sigma", 5).alias("sigma"),
+                                               F.col("truth").alias("truth_primary"), "truth_secondary")
+
+
+@query("calibration_run", f"""{CALIB_SQL}, sc2 as (select tasks, abs(mu - truth) / sigma as score, row_number() over (partition by tasks order by abs(mu - truth) / sigma) as i,
+ count(*) over (partition by tasks) as n from cal where md5(id) < '8'),
+q as (select tasks, n, score as scale from sc2 where i = ceil((n + 1) * (1 - 0.05::double)))
+select tasks, any_value(n) as n, round(any_value(scale), 5) as scale, round(avg(cast(truth > mu - sigma and truth < mu + sigma as double)), 6) as before,
+ round(avg(cast(truth > mu - scale * sigma and truth < mu + scale * sigma as double)), 6) as after from cal join q using (tasks) where not md5(id) < '8' group by tasks""")
 def calibration_run(spark, sf):
-    """One- and two-task predictions of the target set with truth, then conformal scales and coverage."""
-    pool = cut_lineage(nested_split(measurements(spark, sf), "id", 1500, 40, 120, [1]))
-    rank = F.when(F.col("part") == "C", F.col("pos")).otherwise(F.col("pos") + 40)
-    rows = pool.where("part <> 'T'").withColumn("rank", rank)
-    train = stack([_train(spark, rows, ["P"], [40], "1"), _train(spark, rows, ["P", "S1"], [40, 160], "2")])
-    test = pool.where("part = 'T'").select(F.col("id").alias("key"), "x", F.col("P").alias("truth"), F.col("S1").alias("truth_secondary"))
-    pred = cut_lineage(K.score_rows(test, K.fit_models(train)).withColumn("grp", F.col("cell_id").cast("int")))
-    half = F.md5("key") < "8"
-    scales = G.conformal_scales(pred.where(half), ["grp"], "key")
-    cover = G.coverage(G.apply_scales(pred.where(~half), scales, ["grp"]), ["grp"])
-    return cover.join(scales, "grp").select(F.col("grp").alias("tasks"), "n", r6("scale", "scale"), r6("before", "before"), r6("after", "after"))
+    """Conformal scales from one half of the target rows and coverage on the other."""
+    pred = cut_lineage(_calibration_rows(spark, sf))
+    half = F.md5("id") < "8"
+    scales = G.conformal_scales(pred.where(half), ["tasks"], "id")
+    cover = G.coverage(G.apply_scales(pred.where(~half), scales, ["tasks"]), ["tasks"])
+    return cover.join(scales, "tasks").select("tasks", "n", F.round("scale", 5).alias("scale"), r6("before", "before"), r6("after", "after"))
+
+
+@query("recorded_runs")
+def recorded_runs(spark, sf):
+    """Result rows written per (target, seed), read back by one pruned scan, averaged and priced."""
+    path = f"{shared_dir(spark).rstrip('/')}/recorded-{uuid.uuid4().hex}"
+    grid = run_grid(measurements(spark, sf), "id", ["P"], params(spark), [single("curve", "P", (5, 10, 20))], [1, 2, 3], 160)
+    tables.write_runs(grid, path, schemas.RUNS)
+    back = tables.read_runs(spark, path, schemas.RUNS, seeds=[1, 3], target=160)
+    means = with_cost(mean_over_runs(back, ["mae_error", "spearman_error"]))
+    return means.select("method", "high_level", "n_runs", r6("mae_error", "mae_error"), r6("spearman_error", "spearman_error"), "cost")
+
+
+@query("extended_curve")
+def extended_curve(spark, sf):
+    """Single-task sets beyond the matched rows: part of the pool from each stratum."""
+    mf = measurements(spark, sf)
+    total = mf.count()
+    pool = cut_lineage(augmented_draw(row_index(mf, ["id"], n=total), "id", mf.where("P > 3").select("id"), total // 2, 600, 1200, 1))
+    grid = run_grid(pool.select("id", "x", "P"), "id", ["P"], params(spark), [single("curve", "P", (80, 160, 320, 640))], [1], 320)
+    return with_cost(grid).select("high_level", r6("mae_error", "mae_error"), r6("kendall_error", "kendall_error"), "cost")
+
+
+MT_CELLS = """seeds as (select unnest([1, 2]) as seed), rk as materialized (select id, x, P, S1, S2, seed,
+ row_number() over (partition by seed order by md5(concat(id, '-', seed)), id) as r0 from mf, seeds qualify r0 <= 200),
+cells as (select *, row_number() over () as c from seeds, (select unnest([10, 20]) as core), (select unnest([0, 1]) as cr), (select unnest([0, 2]) as ar) where cr + ar > 0),
+base0 as (select c, seed, r0 - 140 as i, x, 0 as t, P as y from cells join rk using (seed) where r0 > 140 and r0 <= 140 + core
+ union all select c, seed, 1000 + r0, x, 1, S1 from cells join rk using (seed) where (cr = 1 and r0 > 140 and r0 <= 140 + core) or (r0 > 160 and r0 <= 160 + ar * core)
+ union all select c, seed, 2000 + r0, x, 2, S2 from cells join rk using (seed) where (cr = 1 and r0 > 140 and r0 <= 140 + core) or (r0 > 160 and r0 <= 160 + ar * core)),
+base as (select c, row_number() over (partition by c order by i) as i, x, t, y, [1.0::double, 0.95, 0.9][t + 1] as rho, [1.0::double, 0.05, 0.05][t + 1] as v, [1.0::double, 1.0, 1.5][t + 1] as l from base0),
+pm0 as (select c, t, avg(y) as m from base group by c, t), pm as (select c, m from pm0 where t = 0),
+tr as materialized (select base.*, y - m as r from base join pm0 using (c, t)),
+te as (select c, id, x, 0 as t, 1.0::double as rho, 1.0::double as v, 1.0::double as l, P as truth from cells join rk using (seed) where r0 <= 140)"""
+
+
+@query("multitask_grid", f"""with recursive {MF_SQL}, {MT_CELLS}, {solve_sql(MULTI, '[a.r]')}, {score_sql(MULTI, 'pm.m', '1')},
+pr as (select sc.c, mu, sqrt(greatest(var, 0)) as sigma, truth from sc join te using (c, id)),
+rr as (select *, rank() over (partition by c order by mu) as ra, rank() over (partition by c order by truth) + (count(*) over (partition by c, truth) - 1) / 2.0 as rb from pr),
+st as (select c, avg(abs(mu - truth)) as mae, max(abs((mu - truth) / truth)) as worst, avg(sigma) as spread, corr(ra, rb) as sp from rr group by c)
+select cast(seed as integer) as seed, cast(core as bigint) as high_level, cast(2 * core * (cr + ar) as bigint) as low_level,
+ concat(case when cr > 0 then 'C' else '' end, case when ar > 0 then 'A' else '' end) as datasets,
+ round(mae, 6) as mae_error, round(worst, 6) as maximum_ae_relative, round(spread, 6) as mae_std, round(sp, 6) as spearman_error from cells join st using (c)""")
+def multitask_grid(spark, sf):
+    """Three-task fits over a grid of core and additional sets."""
+    grid = run_grid(measurements(spark, sf), "id", TASKS, params(spark),
+                    [Scenario("three", "multitask", "P", ("S1", "S2"), (10, 20), (0.0, 1.0), (0.0, 2.0))], [1, 2], 140)
+    return grid.select("seed", "high_level", "low_level", "datasets",
+                       *[r6(c, c) for c in ("mae_error", "maximum_ae_relative", "mae_std", "spearman_error")])
