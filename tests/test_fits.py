@@ -170,3 +170,20 @@ def test_grid_rows_follow_the_run_schema_and_improve_with_size(spark):
     delta = key["Delta", "CAT", 5, 2]
     assert (delta["levels"], delta["lowest"], delta["low_level"]) == (3, "S2", 5 + 10 + 1)
     assert all(r["train_time"] > 0 and r["kendall_error"] is not None for r in got)
+
+
+def test_holdout_error_against_dense():
+    x, p, _, _ = data(30)
+    part = np.array(["train"] * 20 + ["test"] * 10)
+    pdf = pd.DataFrame({"x": list(x), "y": p, "part": part, "lengthscale": 0.8})
+    k = kern(x[:20], x[:20], 2.5, 0.8) + NOISE * np.eye(20)
+    star = p[:20].mean() + kern(x[20:], x[:20], 2.5, 0.8) @ np.linalg.solve(k, p[:20] - p[:20].mean())
+    assert H.holdout_score(pdf, 2.5, NOISE)[0] == pytest.approx(np.abs(star - p[20:]).mean())
+
+
+def test_a_cell_without_training_rows_is_an_error(spark):
+    x, p, _, _ = data(5)
+    train = frame(spark, "c", [x], [p], PAR)
+    test = spark.createDataFrame([("other", 1, [0.0, 0.0])], "cell_id string, id int, x array<double>")
+    with pytest.raises(Exception, match="no training rows"):
+        K.fit_and_predict(train, test, "id", test_rows=1).collect()

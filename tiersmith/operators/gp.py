@@ -23,13 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tiersmith.session import spread, task_slots
+from tiersmith.session import cut_lineage, spread, task_slots
 
 NOISE = 0.015
 MAX_TRAIN = 4096
 CHUNK_ROWS = 8192
 BROADCAST_BYTES = 256 << 20
 FAN_IN = 32
+PARTIAL = "part int, total binary"
 
 
 def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,40 +95,48 @@ TRAIN = ["cell_id", "task_no", "x", "y", "rho", "variance", "lengthscale"]
 
 
 def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: int, noise: float = NOISE,
-                    low: str | None = None) -> DataFrame:
-    """Posterior of every test row of every cell: (cell_id, key, mu, sigma, train_time, test_time).
+                    low: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Posterior of every test row of every cell.
 
+    Returns (cell_id, key, mu, sigma, n_primary, n_secondary_rows, train_time,
+    test_time) and the double columns ``carry`` of the test rows. Where ``low``
+    is not null, that value of the last task joins the row's training set.
     ``test_rows`` is the number of test rows per cell; above ``CHUNK_ROWS`` a
     cell is scored by several groups. Times are shares that sum to the cell's seconds.
     """
     spark = train.sparkSession
     chunks = max(1, ceil(test_rows / CHUNK_ROWS))
-    none = F.lit(None)
-    left = train.select(*TRAIN, none.cast("string").alias("key"), none.cast("double").alias("low"),
+    none = F.lit(None).cast("double")
+    left = train.select(*TRAIN, F.lit(None).cast("string").alias("key"), none.alias("low"), *[none.alias(c) for c in carry],
                         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    right = test.select("cell_id", F.lit(-1).alias("task_no"), "x", none.cast("double").alias("y"),
-                        *[none.cast("double").alias(c) for c in ("rho", "variance", "lengthscale")],
-                        F.col(key).cast("string").alias("key"),
-                        (F.col(low) if low else none).cast("double").alias("low"),
+    right = test.select("cell_id", F.lit(-1).alias("task_no"), "x",
+                        *[none.alias(c) for c in ("y", "rho", "variance", "lengthscale")],
+                        F.col(key).cast("string").alias("key"), (F.col(low) if low else none).cast("double").alias("low"),
+                        *[F.col(c).cast("double").alias(c) for c in carry],
                         F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk"))
     rows = left.unionByName(right).repartition(task_slots(spark), "cell_id", "chunk")
+    out = {"cell_id": "string", "key": "string", "mu": "double", "sigma": "double", "n_primary": "bigint",
+           "n_secondary_rows": "bigint", "train_time": "double", "test_time": "double", **{c: "double" for c in carry}}
 
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[pdf.task_no < 0]
+        at, rows = pdf[pdf.task_no < 0], pdf[pdf.task_no >= 0]
         if not len(at):
-            return pd.DataFrame({c: [] for c in ("cell_id", "key", "mu", "sigma", "train_time", "test_time")})
+            return pd.DataFrame({c: [] for c in out})
+        if not len(rows):
+            raise ValueError(f"cell {at.cell_id.iloc[0]} has no training rows")
         t0 = time.perf_counter()
-        fit = fit_rows(pdf[pdf.task_no >= 0], noise)
+        fit = fit_rows(rows, noise)
         t1 = time.perf_counter()
-        mu, sigma = predict_rows(fit, np.stack(at["x"].to_numpy()), at["low"].to_numpy(float) if low else None)
+        extra = at["low"].to_numpy(float)
+        mu, sigma = predict_rows(fit, np.stack(at["x"].to_numpy()), None if np.isnan(extra).all() else extra)
         t2 = time.perf_counter()
-        return pd.DataFrame({"cell_id": at["cell_id"], "key": at["key"], "mu": mu, "sigma": sigma,
-                             "train_time": (t1 - t0) / len(at), "test_time": (t2 - t1) / len(at)})
+        first = int((rows.task_no == 0).sum())
+        return at[["cell_id", "key", *carry]].assign(
+            mu=mu, sigma=sigma, n_primary=first, n_secondary_rows=len(rows) - first,
+            train_time=(t1 - t0) / len(at), test_time=(t2 - t1) / len(at))[list(out)]
 
-    out = rows.groupBy("cell_id", "chunk").applyInPandas(
-        job, "cell_id string, key string, mu double, sigma double, train_time double, test_time double")
-    return out.withColumn(key, F.col("key").cast(test.schema[key].dataType)).select(
-        "cell_id", key, "mu", "sigma", "train_time", "test_time") if key != "key" else out
+    done = rows.groupBy("cell_id", "chunk").applyInPandas(job, ", ".join(f"`{c}` {t}" for c, t in out.items()))
+    return done.withColumn("key", F.col("key").cast(test.schema[key].dataType)).withColumnRenamed("key", key)
 
 
 def fit_models(train: DataFrame, noise: float = NOISE) -> dict[str, dict]:
@@ -178,9 +187,8 @@ def score_rows(test: DataFrame, fits: dict[str, dict], low: str | None = None) -
 
 
 def sum_levels(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """A chain of differences: means and variances of independent levels add up, and so do the times."""
-    times = [F.sum(c).alias(c) for c in ("train_time", "test_time") if c in parts.columns]
-    return parts.groupBy(*keys).agg(F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") ** 2)).alias("sigma"), *times)
+    """A chain of differences: means and variances of independent levels add up."""
+    return parts.groupBy(*keys).agg(F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") ** 2)).alias("sigma"))
 
 
 def prior_means(train: DataFrame) -> DataFrame:
@@ -191,14 +199,16 @@ def prior_means(train: DataFrame) -> DataFrame:
     return per.join(base, "cell_id").select("cell_id", "task_no", shifted.alias("prior_mean"))
 
 
-def _sum_partials(parts: DataFrame, schema: str, n_parts: int) -> DataFrame:
-    """Sum of byte-packed arrays over partitions, FAN_IN at a time, so no task gets them all."""
-    while n_parts > 1:
-        n_parts = ceil(n_parts / FAN_IN)
-        parts = parts.withColumn("part", F.pmod(F.col("part"), F.lit(n_parts))).groupBy("part").applyInPandas(
+def _sum_partials(parts: DataFrame) -> bytes:
+    """Sum of byte-packed arrays of all partitions, FAN_IN at a time, so no task gets them all."""
+    parts = cut_lineage(parts)
+    n = parts.count()
+    while n > 1:
+        n = ceil(n / FAN_IN)
+        parts = parts.withColumn("part", F.pmod(F.col("part"), F.lit(n))).groupBy("part").applyInPandas(
             lambda pdf: pd.DataFrame({"part": [pdf.part.iloc[0]], "total": [
-                sum(np.frombuffer(b) for b in pdf["total"]).tobytes()]}), schema)
-    return parts
+                sum(np.frombuffer(b) for b in pdf["total"]).tobytes()]}), PARTIAL)
+    return sum(np.frombuffer(bytes(r["total"])) for r in parts.select("total").collect())
 
 
 def inducing_fit(train: DataFrame, landmarks: np.ndarray, variance: float, lengthscale: float,
@@ -229,11 +239,8 @@ def inducing_fit(train: DataFrame, landmarks: np.ndarray, variance: float, lengt
             yield pd.DataFrame({"part": [part], "total": [
                 np.concatenate([kk.ravel(), ky, k1, [n, sy]]).tobytes()]})
 
-    schema = "part int, total binary"
-    even = spread(train.select("x", "y"))
-    rows = even.select("x", "y", F.spark_partition_id().alias("part"))
-    totals = _sum_partials(rows.mapInPandas(partial, schema), schema, even.rdd.getNumPartitions()).first()
-    t = np.frombuffer(bytes(totals["total"]))
+    rows = spread(train.select("x", "y")).select("x", "y", F.spark_partition_id().alias("part"))
+    t = _sum_partials(rows.mapInPandas(partial, PARTIAL))
     s, ky, k1, n, sy = t[:m * m].reshape(m, m), t[m * m:m * m + m], t[m * m + m:m * m + 2 * m], t[-2], t[-1]
     mean = sy / n
     kzz = variance * np.exp(-sq_distances(landmarks, landmarks) / (2 * lengthscale**2))

@@ -98,26 +98,24 @@ def level_members(members: DataFrame, cell: list[str], key: str) -> DataFrame:
     return upper.join(lower, [*cell, key, "level"], "left_semi")
 
 
-def identifiers(counts: DataFrame, method: str) -> DataFrame:
-    """Result identifier of a cell for one method, with its own way of counting rows.
+def identifiers(counts: DataFrame) -> DataFrame:
+    """Result identifier of every cell; methods count their rows in different ways.
 
-    ``counts`` carries n_primary, n_secondary_rows, n_secondary, primary, lowest,
-    c_ratio, a_ratio, shared.
+    ``counts`` carries kind, n_primary, n_secondary_rows, n_secondary, primary,
+    last_task, c_ratio, a_ratio, shared.
     """
+    kind = F.col("kind")
+    alone, target = kind == "single", kind.isin("multitask_with_target", "delta")
     label = case_label(F.col("c_ratio"), F.col("a_ratio"))
-    if method == "single":
-        cols = dict(levels=F.lit(1), lowest=F.col("primary"), high_level=F.col("n_primary"),
-                    low_level=F.lit(0).cast("bigint"), method=F.col("primary"), datasets=F.col("primary"),
-                    task_fractions=F.lit(0.0))
-    else:
-        target = method in ("multitask_with_target", "delta")
-        cols = dict(levels=(F.col("n_secondary") + 1).cast("int"), lowest=F.col("lowest"),
-                    high_level=F.col("n_primary"),
-                    low_level=F.col("n_secondary_rows") + F.lit(1 if target else 0),
-                    method=F.lit("Delta" if method == "delta" else "Multitask"),
-                    datasets=F.concat(label, F.lit("T")) if target else label,
-                    task_fractions=F.col("shared"))
-    return counts.select("*", *[c.alias(n) for n, c in cols.items() if n not in counts.columns])
+    cols = {
+        "levels": F.when(alone, 1).otherwise(F.col("n_secondary") + 1).cast("int"),
+        "lowest": F.when(alone, F.col("primary")).otherwise(F.col("last_task")),
+        "high_level": F.col("n_primary"),
+        "low_level": F.when(alone, F.lit(0)).otherwise(F.col("n_secondary_rows") + target.cast("int")).cast("bigint"),
+        "method": F.when(alone, F.col("primary")).when(kind == "delta", "Delta").otherwise("Multitask"),
+        "datasets": F.when(alone, F.col("primary")).when(target, F.concat(label, F.lit("T"))).otherwise(label),
+        "task_fractions": F.when(alone, F.lit(0.0)).otherwise(F.col("shared"))}
+    return counts.select("*", *[c.alias(n) for n, c in cols.items()])
 
 
 def expected_low_level(core: Column, label: Column, tasks: Column, shared: Column, max_ratio: Column) -> Column:

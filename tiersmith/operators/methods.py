@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import permutations
+from math import ceil
 
 from pyspark.sql import DataFrame, functions as F
 
-from tiersmith.operators.gp import NOISE, fit_and_predict, sum_levels
+from tiersmith.operators.gp import NOISE, fit_and_predict
 from tiersmith.operators.grid import CELL, cell_counts, expand_cases, identifiers, level_members, membership
 from tiersmith.operators.relational import back_transform, difference_columns, stack
 from tiersmith.operators.sampling import nested_split
@@ -68,109 +69,96 @@ def cell_id():
 
 
 def _task_table(spark, scenarios: list[Scenario]) -> DataFrame:
-    rows = [(s.name, s.method, i, s.tasks, p) for s in scenarios for i, p in enumerate(s.parameter_names)]
-    return spark.createDataFrame(rows, "scenario string, method string, task_no int, tasks array<string>, task string")
+    """Scenario names with their method, task list and the parameter row of every task or level."""
+    rows = [(s.name, s.method, s.tasks, i, p) for s in scenarios for i, p in enumerate(s.parameter_names)]
+    return spark.createDataFrame(rows, "scenario string, kind string, tasks array<string>, task_no int, task string")
+
+
+def _value(i) -> F.Column:
+    """Measurement of the i-th task of the scenario."""
+    return F.col("v")[F.element_at("tasks", i + 1)]
 
 
 def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: DataFrame, scenarios: list[Scenario],
-                  seeds: list[int], target: int, *, noise: float = NOISE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Predictions of all cells, their training rows and the cells.
+                  seeds: list[int], target: int, *, noise: float = NOISE) -> DataFrame:
+    """Predictions of all target rows of all cells in one grouped job.
 
     ``measurements(key, x, <tasks>)``; all scenarios of a seed share T, C and A.
+    A level of a difference chain is a fit of its own; levels are summed per row.
     """
     spark = measurements.sparkSession
     core = max(max(s.cores) for s in scenarios)
-    ratio = max(max(s.a_ratios) for s in scenarios)
-    most_core = max(max(s.cores) for s in scenarios if max(s.a_ratios) == ratio)
-    extra = int(-(-ratio * most_core // 1))
-    names = [*tasks, *[f"{a}_{b}" for a, b in permutations(tasks, 2)]]
+    extra = max(ceil(max(s.a_ratios) * max(s.cores)) for s in scenarios)
     split = nested_split(measurements.select(key, "x", *tasks), key, target, core, extra, seeds)
+    names = [*tasks, *[f"{a}_{b}" for a, b in permutations(tasks, 2)]]
+    # The sample is bounded by the grid; it is stored because every cell reads it.
     pool = cut_lineage(difference_columns(split, tasks).select(
         "seed", "part", "pos", key, "x", F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))]).alias("v")))
+    table = _task_table(spark, scenarios)
+    par = table.join(params, "task").drop("task")
+    kinds = table.where(F.col("task_no") == 0).select("scenario", "kind", "tasks")
+    chained = F.col("scenario").isin([s.name for s in scenarios if s.method == "delta"])
     cells = scenario_cells(spark.createDataFrame([(int(s),) for s in seeds], "seed int"), scenarios)
     members = membership(cells, pool, [key, "x", "v"])
-    tests = (cells.join(pool.where(F.col("part") == "T").select("seed", key, "x", "v"), "seed")
-                  .withColumn("cell_id", cell_id()))
-    table = _task_table(spark, scenarios)
-    par = table.join(params, "task")
-    groups = []
-    name_of = {m: [s.name for s in scenarios if s.method == m] for m in METHODS}
-
-    def task_at(i) -> F.Column:
-        return F.element_at("tasks", i + 1)
-
-    for method, wanted in name_of.items():
-        if not wanted:
-            continue
-        mine = F.col("scenario").isin(wanted)
-        if method == "delta":
-            level_rows = level_members(members.where(mine), CELL, key)
-            x_of = pool.select("seed", key, "x", "v")
-            train = (level_rows.join(x_of, ["seed", key])
-                               .withColumn("task_no", F.col("level") - 1).join(par, ["scenario", "task_no"])
-                               .withColumn("y", F.col("v")[task_at(F.col("task_no"))] - F.col("v")[task_at(F.col("task_no") + 1)])
-                               .withColumn("cell_id", F.concat_ws("#", cell_id(), "level"))
-                               .withColumn("task_no", F.lit(0)).withColumn("rho", F.lit(1.0)))
-            levels = (tests.where(mine)
-                           .withColumn("level", F.explode(F.sequence(F.lit(1), F.col("n_secondary"))))
-                           .withColumn("cell_id", F.concat_ws("#", "cell_id", "level")))
-            parts = fit_and_predict(train, levels, key, test_rows=target, noise=noise)
-            parts = parts.withColumn("cell_id", F.split("cell_id", "#")[0])
-            pred = sum_levels(parts, ["cell_id", key])
-        else:
-            train = (members.where(mine).join(par, ["scenario", "task_no"])
-                            .withColumn("y", F.col("v")[task_at(F.col("task_no"))])
-                            .withColumn("cell_id", cell_id()))
-            low = None
-            at = tests.where(mine)
-            if method == "multitask_with_target":
-                low = "low"
-                at = at.join(table.where(F.col("task_no") == 0).select("scenario", "tasks"), "scenario") \
-                       .withColumn("low", F.col("v")[F.element_at("tasks", -1)])
-            pred = fit_and_predict(train, at, key, test_rows=target, noise=noise, low=low)
-        first = table.where(F.col("task_no") == 0).select("scenario", "tasks")
-        truth = tests.where(mine).join(first, "scenario").select(
-            "cell_id", *CELL, key, F.col("v")[F.col("tasks")[0]].alias("p"),
-            F.col("v")[F.element_at("tasks", -1)].alias("s"))
-        baseline = F.col("s") if method == "delta" else F.lit(0.0)
-        groups.append(pred.join(truth, ["cell_id", key]).select(
-            F.lit(method).alias("kind"), "cell_id", *CELL, key, "mu", "sigma", "train_time", "test_time",
-            (F.col("p") - baseline).alias("truth"), baseline.alias("baseline"), F.lit(1.0).alias("factor")))
-    return stack(groups), members, cells
+
+    plain = (members.where(~chained).join(par, ["scenario", "task_no"])
+                    .withColumn("y", _value(F.col("task_no"))).withColumn("level", F.lit(1)))
+    trains = [plain]
+    if any(s.method == "delta" for s in scenarios):
+        levels = level_members(members.where(chained), CELL, key).join(pool.select("seed", key, "x", "v"), ["seed", key])
+        trains.append(levels.withColumn("task_no", F.col("level") - 1).join(par, ["scenario", "task_no"])
+                            .withColumn("y", _value(F.col("task_no")) - _value(F.col("task_no") + 1))
+                            .withColumn("task_no", F.lit(0)).withColumn("rho", F.lit(1.0)))
+    fit_id = F.concat_ws("#", cell_id(), "level")
+    train = stack([t.select(fit_id.alias("cell_id"), "task_no", "x", "y", "rho", "variance", "lengthscale") for t in trains])
+
+    last = F.col("v")[F.element_at("tasks", -1)]
+    is_delta = F.col("kind") == "delta"
+    level_list = F.when(is_delta, F.sequence(F.lit(1), F.col("n_secondary"))).otherwise(F.array(F.lit(1)))
+    tests = (cells.join(kinds, "scenario").join(pool.where(F.col("part") == "T").select("seed", key, "x", "v"), "seed")
+                  .withColumn("baseline", F.when(is_delta, last).otherwise(0.0))
+                  .withColumn("truth", F.col("v")[F.col("tasks")[0]] - F.col("baseline"))
+                  .withColumn("low", F.when(F.col("kind") == "multitask_with_target", last))
+                  .withColumn("level", F.explode(level_list)).withColumn("cell_id", fit_id))
+    parts = fit_and_predict(train, tests, key, test_rows=target, noise=noise, low="low", carry=("truth", "baseline"))
+    level = F.element_at(F.split("cell_id", "#"), -1)
+    summed = (parts.withColumn("level", level).withColumn("cell_id", F.regexp_replace("cell_id", "#[0-9]+$", ""))
+                   .groupBy("cell_id", key).agg(
+        F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") ** 2)).alias("sigma"),
+        F.max("truth").alias("truth"), F.max("baseline").alias("baseline"), F.lit(1.0).alias("factor"),
+        F.max(F.when(F.col("level") == "1", F.col("n_primary"))).alias("n_first"),
+        F.sum("n_primary").alias("n_levels"), F.sum("n_secondary_rows").alias("n_rest"),
+        F.sum("train_time").alias("train_time"), F.sum("test_time").alias("test_time")))
+    named = cells.join(kinds, "scenario").select(
+        cell_id().alias("cell_id"), "kind", *CELL, "n_secondary", F.col("tasks")[0].alias("primary"),
+        F.element_at("tasks", -1).alias("last_task"))
+    return summed.join(named, "cell_id").select(
+        "cell_id", "kind", *CELL, "n_secondary", "primary", "last_task", key, "mu", "sigma", "truth", "baseline", "factor",
+        F.col("n_first").alias("n_primary"),
+        F.when(is_delta, F.col("n_levels")).otherwise(F.col("n_rest")).alias("n_secondary_rows"), "train_time", "test_time")
 
 
 def cell_identifiers(members: DataFrame, key: str, scenarios: list[Scenario]) -> DataFrame:
-    """Identifier columns of every cell, counted per method."""
+    """Identifier columns of every cell, counted from its training rows."""
     spark = members.sparkSession
-    names = spark.createDataFrame([(s.name, s.primary, s.tasks[-1], len(s.secondaries)) for s in scenarios],
-                                  "scenario string, primary string, lowest_task string, n_secondary int")
-    parts = []
-    for method in METHODS:
-        wanted = [s.name for s in scenarios if s.method == method]
-        if not wanted:
-            continue
-        mine = members.where(F.col("scenario").isin(wanted)).drop("n_secondary")
-        if method == "delta":
-            levels = level_members(mine, CELL, key)
-            counts = levels.groupBy(*CELL).agg(F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("n_primary"),
-                                               F.count("*").alias("n_secondary_rows"))
-        else:
-            counts = cell_counts(mine)
-        named = counts.join(names, "scenario").withColumn("lowest", F.col("lowest_task"))
-        if method == "single":
-            named = named.withColumn("lowest", F.col("primary"))
-        parts.append(identifiers(named, method).withColumn("cell_id", cell_id()).select(
-            "cell_id", *CELL, "levels", "lowest", "high_level", "low_level", "method", "datasets", "task_fractions"))
-    return stack(parts)
+    names = spark.createDataFrame([(s.name, s.method, s.primary, s.tasks[-1], len(s.secondaries)) for s in scenarios],
+                                  "scenario string, kind string, primary string, last_task string, n_secondary int")
+    chained = F.col("scenario").isin([s.name for s in scenarios if s.method == "delta"])
+    levels = level_members(members.where(chained), CELL, key)
+    counts = stack([cell_counts(members.where(~chained)), levels.groupBy(*CELL).agg(
+        F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("n_primary"), F.count("*").alias("n_secondary_rows"))])
+    return identifiers(counts.join(names, "scenario")).select(
+        *CELL, "levels", "lowest", "high_level", "low_level", "method", "datasets", "task_fractions")
 
 
 def run_grid(measurements: DataFrame, key: str, tasks: list[str], params: DataFrame, scenarios: list[Scenario],
              seeds: list[int], target: int, *, noise: float = NOISE) -> DataFrame:
     """Result rows of all scenarios, seeds and cases: identifiers, times and the 18 statistics."""
-    pred, members, _ = predict_cells(measurements, key, tasks, params, scenarios, seeds, target, noise=noise)
-    pred = cut_lineage(pred)
-    stats = result_rows(back_transform(pred), ["cell_id", "seed"], key, stored=True)
-    times = pred.groupBy("cell_id").agg(F.sum("train_time").alias("train_time"), F.sum("test_time").alias("test_time"))
-    ids = cell_identifiers(members, key, scenarios).drop("seed")
-    return (ids.join(stats, "cell_id").join(times, "cell_id").withColumn("target", F.lit(target))
-               .drop("cell_id", "scenario", "core", "c_ratio", "a_ratio", "shared"))
+    pred = cut_lineage(predict_cells(measurements, key, tasks, params, scenarios, seeds, target, noise=noise))
+    stats = result_rows(back_transform(pred), ["cell_id"], key, stored=True)
+    about = ["kind", "seed", "c_ratio", "a_ratio", "shared", "n_secondary", "primary", "last_task"]
+    counts = pred.groupBy("cell_id", *about).agg(
+        F.max("n_primary").alias("n_primary"), F.max("n_secondary_rows").alias("n_secondary_rows"),
+        F.sum("train_time").alias("train_time"), F.sum("test_time").alias("test_time"))
+    return (identifiers(counts).join(stats, "cell_id").withColumn("target", F.lit(target))
+                               .drop("cell_id", *[c for c in about if c != "seed"], "n_primary", "n_secondary_rows"))

@@ -46,12 +46,12 @@ MF_SQL = """mf as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_
  l_extendedprice*(1+l_tax)/30000 as S2 from lineitem)"""
 
 
-def local_features(spark: SparkSession, sf: str) -> DataFrame:
-    """LF: embeddings as per-atom vectors of ten-atom structures."""
+def local_features(spark: SparkSession, sf: str, atoms: int = 10) -> DataFrame:
+    """LF: embeddings as per-atom vectors of structures of ten (or fewer) atoms."""
     v = F.col("vec_id")
     species = F.element_at(F.array(*[F.lit(s) for s in "HCNO"]), (v % 4 + 1).cast("int"))
     return table(spark, sf, "embeddings").select(
-        F.expr("vec_id div 10").alias("mol_id"), (v % 10).cast("int").alias("atom_idx"), species.alias("species"),
+        F.expr(f"vec_id div {atoms}").alias("mol_id"), (v % atoms).cast("int").alias("atom_idx"), species.alias("species"),
         F.col("embedding").cast("array<double>").alias("f"))
 
 

@@ -40,12 +40,13 @@ def species_pool(spark, sf):
     return _long(V.species_pool(V.heavy_atoms(local_features(spark, sf)), SPECIES, dim=64), "mol_id")
 
 
-@query("species_pool_fallback", f"""with {SPEC}, i2 as (select species, pos, v as iv from iso)
-select mol_id, ord * 64 + pos as pos, round(coalesce(v, iv), 6) + 0.0 as v
-from slots left join (select * from ps where (mol_id + ascii(species)) % 3 <> 0) using (mol_id, species, pos) left join i2 using (species, pos)""")
+@query("species_pool_fallback", f"""with {SPEC.replace('vec_id // 10', 'vec_id // 3').replace('vec_id % 10', 'vec_id % 3')}, i2 as (select species, pos, v as iv from iso)
+select mol_id, ord * 64 + pos as pos, round(coalesce(v, iv), 6) + 0.0 as v from slots join (select distinct mol_id from lf where species <> 'H') using (mol_id)
+ left join ps using (mol_id, species, pos) left join i2 using (species, pos)""")
 def species_pool_fallback(spark, sf):
-    local = V.heavy_atoms(local_features(spark, sf)).where((F.col("mol_id") + F.ascii("species")) % 3 != 0)
-    return _long(V.species_pool(local, SPECIES, isolated_atoms(spark, sf), dim=64), "mol_id")
+    """Three-atom structures lack species, which the isolated atoms fill in."""
+    local = V.pool(local_features(spark, sf, 3), "species", V.heavy_atoms, species=SPECIES, isolated=isolated_atoms(spark, sf), dim=64)
+    return _long(local, "mol_id")
 
 
 @query("pair_difference_feature", f"""with {POOL}, m as (select max(mol_id) + 1 as n from lf)

@@ -139,10 +139,10 @@ def curve_pairing(spark, sf):
     return both.select("high_level", "extra", r6(F.col("a") - F.col("b"), "gain"))
 
 
-@query("search_study_view", """select event_type as task, cast(event_id % 5 as integer) as n, value as mle_mae, value / 2 as mae_mae from events
- where event_type in ('click', 'view') and event_id % 5 in (1, 3)""")
+@query("search_study_view", """select event_type as task, cast(user_id // 30 as integer) as n, value as mle_mae, value / 2 as mae_mae from events
+ where event_type in ('click', 'view') and user_id // 30 in (1, 3)""")
 def search_study_view(spark, sf):
     study = table(spark, sf, "events").select(
-        F.col("event_type").alias("task"), (F.col("event_id") % 5).cast("int").alias("n"),
+        F.col("event_type").alias("task"), F.expr("cast(user_id div 30 as int)").alias("n"),
         F.col("value").alias("mle_mae"), (F.col("value") / 2).alias("mae_mae"))
     return A.search_study_view(study, ["click", "view"], [1, 3])

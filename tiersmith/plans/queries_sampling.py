@@ -164,7 +164,7 @@ select scenario, seed, cast(core as integer) as core, c_ratio, a_ratio, shared,
  concat(case when c_ratio > 0 then 'C' else '' end, case when a_ratio > 0 then 'A' else '' end, case scenario when 'one' then '' else 'T' end) as datasets,
  shared as task_fractions from (select * from cnt union all select * from lev)""")
 def cell_identifier(spark, sf):
-    return cell_identifiers(_members(spark, sf), "id", GRID).drop("cell_id")
+    return cell_identifiers(_members(spark, sf), "id", GRID)
 
 
 @query("scenarios", f"""with {MEMBERS_SQL} select scenario, seed, cast(core as integer) as core, c_ratio, a_ratio, shared, k as n_secondary from cells""")

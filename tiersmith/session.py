@@ -63,12 +63,17 @@ def task_slots(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, shuffle)
 
 
+BYTES_PER_SLOT = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before per-row numeric work, when the scan gave fewer partitions than cores.
+    """Rows over all cores before per-row numeric work, when a small input would come in few partitions.
 
-    A large scan already has many partitions and is returned as it is.
+    Decided from the optimizer's size estimate, which runs nothing. A large
+    input already has many partitions and is returned as it is.
     """
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < BYTES_PER_SLOT * spark.sparkContext.defaultParallelism:
         return df.repartition(task_slots(spark))
     return df
