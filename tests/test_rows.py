@@ -19,7 +19,7 @@ def test_index_is_dense_per_group_with_a_hot_key(spark, monkeypatch, per_bucket)
     df = spark.range(900).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
         (F.col("id") * 37 % 11).alias("k"), "id").repartition(7)
-    got = R.row_index(df, ["k", "id"], group=["g"]).collect()
+    got = R.row_index(df, ["k", "id"], group=["g"], total="n").collect()
     by_group = {}
     for r in got:
         by_group.setdefault(r["g"], []).append(r)
@@ -27,6 +27,7 @@ def test_index_is_dense_per_group_with_a_hot_key(spark, monkeypatch, per_bucket)
     for rows in by_group.values():
         rows.sort(key=lambda r: (r["k"], r["id"]))
         assert [r["row_idx"] for r in rows] == list(range(1, len(rows) + 1))
+        assert {r["n"] for r in rows} == {len(rows)}
 
 
 def test_hot_key_is_split_over_buckets(spark, monkeypatch):

@@ -19,18 +19,18 @@ SAMPLE_PER_BUCKET = 48
 TREE_BOUNDS = 64
 
 
-def _bucket(df: DataFrame, keys: list[str], n: int) -> Column:
-    """Number of the key-range bucket of a row, from sampled constant boundaries."""
+def _bucket(df: DataFrame, keys: list[str], n: int) -> Column | None:
+    """Number of the key-range bucket of a row, from sampled constant boundaries; None when one will do."""
     n_buckets = min(MAX_BUCKETS, ceil(n / ROWS_PER_BUCKET))
     if n_buckets <= 1:
-        return F.lit(0)
+        return None
     wanted = SAMPLE_PER_BUCKET * n_buckets
     sample = df.select(*keys).sample(min(1.0, wanted / n), seed=17).orderBy(*keys).collect()
-    if not sample:
-        return F.lit(0)
     step = max(1, len(sample) // n_buckets)
     cuts = sorted(set(range(step, len(sample), step)))
     bounds = [[sample[i][k] for k in keys] for i in cuts]
+    if not bounds:
+        return None
     if len(bounds) <= TREE_BOUNDS:
         return _search_tree(keys, bounds, 0, len(bounds))
     types = dict(df.select(*keys).dtypes)
@@ -66,37 +66,45 @@ def _before(keys: list[str], bound: list) -> Column:
 
 
 def running_sum(df: DataFrame, order_by: list[str], weight: str | None = None, *,
-                group: list[str] | None = None, out: str = "row_idx", n: int | None = None,
-                source: DataFrame | None = None) -> DataFrame:
+                group: list[str] | None = None, out: str = "row_idx", total: str | None = None,
+                n: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` (1 when absent) in key order, per group.
 
-    ``order_by`` must break ties. The pass over the keys that fixes the
-    boundaries runs at once; the result itself is lazy. ``source`` may name a
-    cheaper table with the same keys and weights for the passes that only count.
+    ``order_by`` must break ties. ``total`` names a column for the sum of the
+    whole group. The pass over the keys that fixes the boundaries runs at once;
+    the result itself is lazy. ``source`` may name a cheaper table with the same
+    keys and weights for the passes that only count.
     """
     group = group or []
     source = df if source is None else source
     n = source.count() if n is None else n
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     bucket = _bucket(source, [*group, *order_by], n)
+    if bucket is None:  # at most ROWS_PER_BUCKET rows in all
+        local = Window.partitionBy(*group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        extra = {} if total is None else {total: F.sum(w).over(Window.partitionBy(*group))}
+        return df.withColumns({out: F.sum(w).over(local), **extra})
     whole = F.struct(*group) if group else F.lit(0)
     keyed = df.withColumn("__b", bucket).withColumn("__g", whole)
     counted = source.withColumn("__b", bucket).withColumn("__g", whole)
+    sums = counted.groupBy("__g", "__b").agg(F.sum(w).alias("__s"))
     before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (counted.groupBy("__g", "__b").agg(F.sum(w).alias("__s"))
-                      .select("__g", "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o")))
+    offsets = sums.select("__g", "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"),
+                          F.sum("__s").over(Window.partitionBy("__g")).alias("__t"))
     inside = (Window.partitionBy("__g", "__b").orderBy(*order_by)
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # The window comes first: the join then needs no exchange of the rows of its own.
-    return (keyed.withColumn("__w", F.sum(w).over(inside)).join(offsets, ["__g", "__b"])
-                 .withColumn(out, F.col("__o") + F.col("__w"))
-                 .drop("__g", "__b", "__o", "__w"))
+    joined = keyed.withColumn("__w", F.sum(w).over(inside)).join(offsets, ["__g", "__b"]) \
+                  .withColumn(out, F.col("__o") + F.col("__w"))
+    if total is not None:
+        joined = joined.withColumn(total, F.col("__t"))
+    return joined.drop("__g", "__b", "__o", "__w", "__t")
 
 
-def row_index(df: DataFrame, order_by: list[str], *, group: list[str] | None = None,
-              out: str = "row_idx", n: int | None = None, source: DataFrame | None = None) -> DataFrame:
-    """Dense 1-based index in key order, over all rows or within groups."""
-    return running_sum(df, order_by, group=group, out=out, n=n, source=source)
+def row_index(df: DataFrame, order_by: list[str], *, group: list[str] | None = None, out: str = "row_idx",
+              total: str | None = None, n: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Dense 1-based index in key order, over all rows or within groups; ``total`` names a group size column."""
+    return running_sum(df, order_by, group=group, out=out, total=total, n=n, source=source)
 
 
 def gather(indexed: DataFrame, positions: DataFrame) -> DataFrame:

@@ -204,6 +204,7 @@ def search_study(rows: DataFrame, sizes: list[int], attempts: int, limit: int, f
     log = search(sets, cap=cap, **options).where("converged")
     first = F.row_number().over(Window.partitionBy("task").orderBy("seed"))
     kept = cut_lineage(log.withColumn("found", first).where(F.col("found") <= limit))
+    fresh = cut_lineage(fresh)
     halves = Window.partitionBy("task", "seed").orderBy(order_hash(F.col("key"), F.col("seed")), "key")
     fresh_rows = (kept.select("task", "seed", "lengthscale")
                       .withColumn("base", F.split("task", "#")[0])

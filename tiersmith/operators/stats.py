@@ -28,21 +28,27 @@ def pearson(x: str, y: str) -> Column:
     return safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _ranked(df: DataFrame, group: list[str], value: str, ties: list[str], n: int | None) -> tuple[DataFrame, Column]:
+    """Non-null values with a column that is the value at the middle positions of the group and null elsewhere."""
+    rows = df.where(F.col(value).isNotNull()).select(*group, value, *ties)
+    ranked = row_index(rows, [value, *ties], group=group, out="__i", total="__n", n=n)
+    half = (F.col("__n") + 1) / 2
+    middle = (F.col("__i") >= F.floor(half)) & (F.col("__i") <= F.ceil(half))
+    return ranked, F.when(middle, F.col(value))
+
+
 def medians(df: DataFrame, group: list[str], value: str, ties: list[str], n: int | None = None) -> DataFrame:
     """Exact median per group; ``ties`` makes the order total so that repeated values spread."""
-    rows = df.where(F.col(value).isNotNull()).select(*group, value, *ties)
-    ranked = row_index(rows, [value, *ties], group=group, out="__i", n=n)
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
-    middle = (F.col("__i") >= F.floor((F.col("__n") + 1) / 2)) & (F.col("__i") <= F.ceil((F.col("__n") + 1) / 2))
-    return join_groups(ranked, sizes, group).where(middle).groupBy(*group).agg(F.avg(value).alias("median"))
+    ranked, middle = _ranked(df, group, value, ties, n)
+    return ranked.groupBy(*group).agg(F.avg(middle).alias("median"))
 
 
 def abs_stats(long: DataFrame, group: list[str], value: str, ties: list[str], n: int | None = None) -> DataFrame:
-    """Mean, median, minimum and maximum of the absolute value, and the number of rows."""
-    rows = long.withColumn(value, F.abs(value))
-    plain = rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.min(value).alias("minimum"),
-                                     F.max(value).alias("maximum"), F.count(value).alias("n"))
-    return join_groups(plain, medians(rows, group, value, ties, n), group, "left")
+    """Mean, median, minimum and maximum of the absolute value, and the number of rows with a value."""
+    ranked, middle = _ranked(long.withColumn(value, F.abs(value)), group, value, ties, n)
+    return ranked.groupBy(*group).agg(F.avg(value).alias("mean"), F.avg(middle).alias("median"),
+                                      F.min(value).alias("minimum"), F.max(value).alias("maximum"),
+                                      F.count("*").alias("n"))
 
 
 def task_medians(log: DataFrame, columns: list[str] = ("variance", "lengthscale", "rho"),
@@ -187,12 +193,10 @@ def conformal_scales(calibration: DataFrame, group: list[str], key: str, alpha:
     """Per group the ceil((n+1)(1-alpha))-th smallest score |mu-truth|/sigma; infinite when n is too small."""
     scored = (calibration.withColumn("score", safe_div(F.abs(F.col("mu") - F.col("truth")), F.col("sigma")))
                          .where(F.col("score").isNotNull()).select(*group, key, "score"))
-    sizes = scored.groupBy(*group).agg(F.count("*").alias("n")) \
-                  .withColumn("k", F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))
-    ranked = row_index(scored, ["score", key], group=group, out="i")
-    hit = join_groups(ranked, sizes, group).where(F.col("i") == F.col("k")).select(*group, F.col("score").alias("__q"))
-    return join_groups(sizes, hit, group, "left").select(
-        *group, "n", F.coalesce("__q", F.lit(float("inf"))).alias("scale"))
+    ranked = row_index(scored, ["score", key], group=group, out="__i", total="__n")
+    k = F.ceil((F.col("__n") + 1) * F.lit(1 - alpha))
+    at = F.max(F.when(F.col("__i") == k, F.col("score")))
+    return ranked.groupBy(*group).agg(F.max("__n").alias("n"), F.coalesce(at, F.lit(float("inf"))).alias("scale"))
 
 
 def apply_scales(target: DataFrame, scales: DataFrame, group: list[str]) -> DataFrame:
