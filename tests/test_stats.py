@@ -19,9 +19,11 @@ def test_inversions():
         assert G.inversions(p) == sum(p[i] > p[j] for i in range(m) for j in range(i + 1, m))
 
 
-@pytest.mark.parametrize("block", [1 << 15, 16])
-def test_rank_correlations_with_ties_and_blocks(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,blocks,local", [(1 << 15, 1024, 1 << 20), (16, 1024, 1 << 20), (16, 6, 32)])
+def test_rank_correlations_with_ties_and_blocks(spark, monkeypatch, block, blocks, local):
     monkeypatch.setattr(G, "BLOCK_ROWS", block)
+    monkeypatch.setattr(G, "MAX_BLOCKS", blocks)
+    monkeypatch.setattr(G, "MAX_LOCAL", local)
     monkeypatch.setattr(R, "ROWS_PER_BUCKET", 40)
     rng = np.random.default_rng(1)
     frames = []

@@ -21,6 +21,7 @@ from tiersmith.session import cut_lineage
 
 BLOCK_ROWS = 1 << 15
 MAX_BLOCKS = 1024
+MAX_LOCAL = 1 << 20
 
 
 def pearson(x: str, y: str) -> Column:
@@ -64,6 +65,8 @@ def inversions(order: np.ndarray) -> float:
     """Number of pairs that are out of order in a permutation of 0..m-1, bit by bit."""
     cur = np.asarray(order, dtype=np.int64)
     total = 0.0
+    if len(cur) < 2:
+        return total
     for k in range(int(len(cur) - 1).bit_length() - 1, -1, -1):
         high, bit = cur >> (k + 1), (cur >> k) & 1
         ones = np.cumsum(bit) - bit
@@ -78,39 +81,53 @@ def _block_inversions(pdf: pd.DataFrame) -> float:
     return inversions(np.argsort(np.argsort(b)))
 
 
-def discordant_pairs(ranked: DataFrame, group: list[str], n: int) -> DataFrame:
+def discordant_pairs(ranked: DataFrame, group: list[str], n: int, largest: int | None = None,
+                     depth: int = 0) -> DataFrame:
     """Strictly discordant pairs per group from the two total orders ``a`` and ``b``, as partial counts.
 
     Pairs in one a-block are counted there, pairs in one b-block but different
-    a-blocks there, and all others from the block histogram.
+    a-blocks there, and all others from the block histogram. Blocks that are
+    still too large for a task are groups of a further round. ``n`` is the
+    number of rows, ``largest`` a bound on the size of a group.
     """
-    size = max(BLOCK_ROWS, ceil(n / MAX_BLOCKS))
-    blocks = (ranked.withColumn("xb", F.floor((F.col("a") - 1) / size))
-                    .withColumn("yb", F.floor((F.col("b") - 1) / size)))
+    largest = n if largest is None else largest
+    size = max(BLOCK_ROWS, ceil(largest / MAX_BLOCKS))
+    xb, yb = f"xb{depth}", f"yb{depth}"
+    blocks = ranked.select(*group, "a", "b", F.floor((F.col("a") - 1) / size).alias(xb),
+                           F.floor((F.col("b") - 1) / size).alias(yb))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*group).schema]
-                       + ["d double"])
+                       + ["discordant double"])
 
     def in_a(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[group].head(1).assign(d=_block_inversions(pdf))
+        return pdf[group].head(1).assign(discordant=_block_inversions(pdf))
 
     def in_b(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = sum(_block_inversions(p) for _, p in pdf.groupby("xb"))
-        return pdf[group].head(1).assign(d=_block_inversions(pdf) - same)
+        same = sum(_block_inversions(p) for _, p in pdf.groupby(xb))
+        return pdf[group].head(1).assign(discordant=_block_inversions(pdf) - same)
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.zeros((int(pdf.xb.max()) + 2, int(pdf.yb.max()) + 2))
-        np.add.at(h, (pdf.xb.to_numpy(int) + 1, pdf.yb.to_numpy(int)), pdf["c"].to_numpy(float))
+        h = np.zeros((int(pdf[xb].max()) + 2, int(pdf[yb].max()) + 2))
+        np.add.at(h, (pdf[xb].to_numpy(int) + 1, pdf[yb].to_numpy(int)), pdf["c"].to_numpy(float))
         above = h[:, ::-1].cumsum(axis=1)[:, ::-1]
         earlier = above.cumsum(axis=0)
-        return pdf[group].head(1).assign(d=float((h[1:, :-1] * earlier[:-1, 1:]).sum()))
-
-    cols = [*group, "a", "b", "xb", "yb"]
-    parts = blocks.select(*cols).groupBy(*group, "xb").applyInPandas(in_a, schema)
-    if n > size:
-        parts = parts.unionByName(blocks.select(*cols).groupBy(*group, "yb").applyInPandas(in_b, schema))
-        hist = blocks.groupBy(*group, "xb", "yb").agg(F.count("*").alias("c"))
-        parts = parts.unionByName(hist.groupBy(*group).applyInPandas(across, schema))
-    return parts.withColumnRenamed("d", "discordant")
+        return pdf[group].head(1).assign(discordant=float((h[1:, :-1] * earlier[:-1, 1:]).sum()))
+
+    if largest <= size:
+        return blocks.groupBy(*group, xb).applyInPandas(in_a, schema)
+    hist = blocks.groupBy(*group, xb, yb).agg(F.count("*").alias("c"))
+    parts = [hist.groupBy(*group).applyInPandas(across, schema)]
+    if size <= MAX_LOCAL:
+        parts += [blocks.groupBy(*group, xb).applyInPandas(in_a, schema),
+                  blocks.groupBy(*group, yb).applyInPandas(in_b, schema)]
+    else:
+        for by, sign in (([xb], 1.0), ([yb], 1.0), ([xb, yb], -1.0)):
+            sub, inner = blocks.select(*group, *by, "a", "b"), [*group, *by]
+            first = row_index(sub, ["a"], group=inner, out="a2", n=n)
+            both = row_index(first, ["b"], group=inner, out="b2", n=n, source=sub)
+            dense = cut_lineage(both.select(*inner, F.col("a2").alias("a"), F.col("b2").alias("b")))
+            deeper = discordant_pairs(dense, inner, n, size, depth + 1)
+            parts.append(deeper.select(*group, (sign * F.col("discordant")).alias("discordant")))
+    return reduce(lambda u, v: u.unionByName(v), parts)
 
 
 def rank_correlations(pairs: DataFrame, group: list[str], key: str, *, n: int | None = None) -> DataFrame:
