@@ -187,3 +187,9 @@ def test_a_cell_without_training_rows_is_an_error(spark):
     test = spark.createDataFrame([("other", 1, [0.0, 0.0])], "cell_id string, id int, x array<double>")
     with pytest.raises(Exception, match="no training rows"):
         K.fit_and_predict(train, test, "id", test_rows=1).collect()
+
+
+def test_a_scenario_with_unknown_parameters_is_an_error(spark):
+    params = spark.createDataFrame([("S1", 1.0, 1.0, 1.0)], PARAMS)
+    with pytest.raises(Exception, match="no parameters for task P"):
+        run_grid(long_rows(spark, 60, None), "id", ["P"], params, [single("one", "P", (5,))], [1], 20).collect()

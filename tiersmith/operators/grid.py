@@ -9,23 +9,24 @@ from tiersmith.functions.columns import case_label
 CELL = ["scenario", "seed", "core", "c_ratio", "a_ratio", "shared"]
 
 
-def _doubles(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _doubles(values: list[float] | str) -> Column:
+    """A list of numbers, given as values or as the name of an array column."""
+    return F.col(values) if isinstance(values, str) else F.array(*[F.lit(float(v)) for v in values])
 
 
-def expand_cases(base: DataFrame, c_ratios: list[float], a_ratios: list[float],
-                 shares: list[float] = (1.0,)) -> DataFrame:
+def expand_cases(base: DataFrame, c_ratios: list[float] | str, a_ratios: list[float] | str,
+                 shares: list[float] | str = (1.0,)) -> DataFrame:
     """Cases of every row of ``base(core, n_secondary, ...)``.
 
     The empty case (0, 0) is dropped unless it is the only one, and the shared
     fraction is 1 when there is at most one secondary task.
     """
+    c, a, nothing = _doubles(c_ratios), _doubles(a_ratios), F.array(F.lit(0.0))
     share_list = F.when(F.col("n_secondary") > 1, _doubles(shares)).otherwise(_doubles([1.0]))
-    out = (base.withColumn("c_ratio", F.explode(_doubles(c_ratios)))
-               .withColumn("a_ratio", F.explode(_doubles(a_ratios)))
+    out = (base.withColumn("__only", (F.array_distinct(c) == nothing) & (F.array_distinct(a) == nothing))
+               .withColumn("c_ratio", F.explode(c)).withColumn("a_ratio", F.explode(a))
                .withColumn("shared", F.explode(share_list)))
-    only_empty = set(c_ratios) == set(a_ratios) == {0.0}
-    return out if only_empty else out.where((F.col("c_ratio") != 0) | (F.col("a_ratio") != 0))
+    return out.where(F.col("__only") | (F.col("c_ratio") != 0) | (F.col("a_ratio") != 0)).drop("__only")
 
 
 def split_interval(n: Column, k: Column, i: Column, shared: Column) -> dict[str, Column]:

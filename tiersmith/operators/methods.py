@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tiersmith.operators.gp import NOISE, fit_and_predict
 from tiersmith.operators.grid import CELL, cell_counts, expand_cases, identifiers, level_members, membership
-from tiersmith.operators.relational import back_transform, difference_columns, stack
+from tiersmith.operators.relational import back_transform, difference_columns, lookup_parameters, stack
 from tiersmith.operators.sampling import nested_split
 from tiersmith.operators.stats import result_rows
 from tiersmith.session import cut_lineage
@@ -53,15 +53,19 @@ def single(name: str, primary: str, cores: tuple[int, ...], **kw) -> Scenario:
     return Scenario(name, "single", primary, (), cores, (0.0,), (0.0,), **kw)
 
 
-def scenario_cells(cores_and_seeds: DataFrame, scenarios: list[Scenario]) -> DataFrame:
-    """Cells of all scenarios; ``cores_and_seeds(seed)`` carries the seeds to run."""
-    parts = []
-    for s in scenarios:
-        base = (cores_and_seeds.select("seed").withColumn("scenario", F.lit(s.name))
-                               .withColumn("n_secondary", F.lit(len(s.secondaries)))
-                               .withColumn("core", F.explode(F.array(*[F.lit(c) for c in s.cores]))))
-        parts.append(expand_cases(base, list(s.c_ratios), list(s.a_ratios), list(s.shares)))
-    return stack(parts).select(*CELL, "n_secondary")
+def scenario_cells(seeds: DataFrame, scenarios: list[Scenario]) -> DataFrame:
+    """Cells of all scenarios for the rows of ``seeds(seed)``, exploded from one array of scenarios."""
+    def entry(s: Scenario):
+        def numbers(values):
+            return F.array(*[F.lit(float(v)) for v in values])
+        return F.struct(
+            F.lit(s.name).alias("scenario"), F.lit(s.method).alias("kind"), F.lit(len(s.secondaries)).alias("n_secondary"),
+            F.array(*[F.lit(t) for t in s.tasks]).alias("tasks"), F.array(*[F.lit(int(c)) for c in s.cores]).alias("cores"),
+            numbers(s.c_ratios).alias("cs"), numbers(s.a_ratios).alias("as"), numbers(s.shares).alias("ss"))
+
+    base = seeds.select("seed", F.explode(F.array(*[entry(s) for s in scenarios])).alias("s")).select("seed", "s.*") \
+                .withColumn("core", F.explode("cores"))
+    return expand_cases(base, "cs", "as", "ss").select(*CELL, "n_secondary", "kind", "tasks")
 
 
 def cell_id():
@@ -71,7 +75,7 @@ def cell_id():
 def _task_table(spark, scenarios: list[Scenario]) -> DataFrame:
     """Scenario names with their method, task list and the parameter row of every task or level."""
     rows = [(s.name, s.method, s.tasks, i, p) for s in scenarios for i, p in enumerate(s.parameter_names)]
-    return spark.createDataFrame(rows, "scenario string, kind string, tasks array<string>, task_no int, task string")
+    return spark.createDataFrame(rows, "scenario string, kind string, tasks array<string>, task_no int, task string").coalesce(1)
 
 
 def _value(i) -> F.Column:
@@ -95,11 +99,11 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
     pool = cut_lineage(difference_columns(split, tasks).select(
         "seed", "part", "pos", key, "x", F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))]).alias("v")))
     table = _task_table(spark, scenarios)
-    par = table.join(params, "task").drop("task")
-    kinds = table.where(F.col("task_no") == 0).select("scenario", "kind", "tasks")
+    # One row per scenario and task; hashing training rows by so few keys would leave most tasks idle.
+    par = F.broadcast(lookup_parameters(table, params).drop("task"))
     chained = F.col("scenario").isin([s.name for s in scenarios if s.method == "delta"])
-    cells = scenario_cells(spark.createDataFrame([(int(s),) for s in seeds], "seed int"), scenarios)
-    members = membership(cells, pool, [key, "x", "v"])
+    cells = scenario_cells(spark.createDataFrame([(int(s),) for s in seeds], "seed int").coalesce(1), scenarios)
+    members = membership(cells.drop("kind", "tasks"), pool, [key, "x", "v"])
 
     plain = (members.where(~chained).join(par, ["scenario", "task_no"])
                     .withColumn("y", _value(F.col("task_no"))).withColumn("level", F.lit(1)))
@@ -115,7 +119,7 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
     last = F.col("v")[F.element_at("tasks", -1)]
     is_delta = F.col("kind") == "delta"
     level_list = F.when(is_delta, F.sequence(F.lit(1), F.col("n_secondary"))).otherwise(F.array(F.lit(1)))
-    tests = (cells.join(kinds, "scenario").join(pool.where(F.col("part") == "T").select("seed", key, "x", "v"), "seed")
+    tests = (cells.join(pool.where(F.col("part") == "T").select("seed", key, "x", "v"), "seed")
                   .withColumn("baseline", F.when(is_delta, last).otherwise(0.0))
                   .withColumn("truth", F.col("v")[F.col("tasks")[0]] - F.col("baseline"))
                   .withColumn("low", F.when(F.col("kind") == "multitask_with_target", last))
@@ -129,7 +133,7 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
         F.max(F.when(F.col("level") == "1", F.col("n_primary"))).alias("n_first"),
         F.sum("n_primary").alias("n_levels"), F.sum("n_secondary_rows").alias("n_rest"),
         F.sum("train_time").alias("train_time"), F.sum("test_time").alias("test_time")))
-    named = cells.join(kinds, "scenario").select(
+    named = cells.select(
         cell_id().alias("cell_id"), "kind", *CELL, "n_secondary", F.col("tasks")[0].alias("primary"),
         F.element_at("tasks", -1).alias("last_task"))
     return summed.join(named, "cell_id").select(
@@ -142,7 +146,7 @@ def cell_identifiers(members: DataFrame, key: str, scenarios: list[Scenario]) ->
     """Identifier columns of every cell, counted from its training rows."""
     spark = members.sparkSession
     names = spark.createDataFrame([(s.name, s.method, s.primary, s.tasks[-1], len(s.secondaries)) for s in scenarios],
-                                  "scenario string, kind string, primary string, last_task string, n_secondary int")
+                                  "scenario string, kind string, primary string, last_task string, n_secondary int").coalesce(1)
     chained = F.col("scenario").isin([s.name for s in scenarios if s.method == "delta"])
     levels = level_members(members.where(chained), CELL, key)
     counts = stack([cell_counts(members.where(~chained)), levels.groupBy(*CELL).agg(

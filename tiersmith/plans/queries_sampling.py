@@ -142,7 +142,7 @@ members as (select pos.*, id from pos join pool using (seed, part, pos))"""
 def _members(spark, sf):
     mf = measurements(spark, sf).select("id")
     pool = cut_lineage(X.nested_split(mf, "id", 30, 10, 20, [1, 2]))
-    cells = scenario_cells(pool.select("seed").distinct(), GRID)
+    cells = scenario_cells(pool.select("seed").distinct(), GRID).drop("kind", "tasks")
     return E.membership(cells, pool, ["id"])
 
 
@@ -170,7 +170,7 @@ def cell_identifier(spark, sf):
 @query("scenarios", f"""with {MEMBERS_SQL} select scenario, seed, cast(core as integer) as core, c_ratio, a_ratio, shared, k as n_secondary from cells""")
 def scenarios(spark, sf):
     pool = X.nested_split(measurements(spark, sf).select("id"), "id", 30, 10, 20, [1, 2])
-    return scenario_cells(pool.select("seed").distinct(), GRID)
+    return scenario_cells(pool.select("seed").distinct(), GRID).drop("kind", "tasks")
 
 
 LABEL = "['C', 'A', 'CA', 'CT', 'AT', 'CAT'][l_partkey % 6 + 1]"
