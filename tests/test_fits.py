@@ -181,6 +181,13 @@ def test_holdout_error_against_dense():
     assert H.holdout_score(pdf, 2.5, NOISE)[0] == pytest.approx(np.abs(star - p[20:]).mean())
 
 
+def test_a_cell_without_test_rows_is_skipped(spark):
+    x, p, _, _ = data(5)
+    train = stack([frame(spark, c, [x], [p], PAR) for c in ("c", "d")])
+    test = spark.createDataFrame([("c", 1, [0.0, 0.0])], "cell_id string, id int, x array<double>")
+    assert [r["cell_id"] for r in K.fit_and_predict(train, test, "id", test_rows=1).collect()] == ["c"]
+
+
 def test_a_cell_without_training_rows_is_an_error(spark):
     x, p, _, _ = data(5)
     train = frame(spark, "c", [x], [p], PAR)

@@ -121,7 +121,7 @@ def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: i
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
         at, rows = pdf[pdf.task_no < 0], pdf[pdf.task_no >= 0]
         if not len(at):
-            return pd.DataFrame({c: [] for c in out})
+            return pd.DataFrame()
         if not len(rows):
             raise ValueError(f"cell {at.cell_id.iloc[0]} has no training rows")
         t0 = time.perf_counter()
