@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tiersmith.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,8 @@ def sql():
 
 def test_twins_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+    assert set(QUERIES) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
