@@ -60,3 +60,40 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield lo, hi
         lo = hi
+
+
+class Lookup:
+    """Whole numbers by 64-bit keys, asked for many keys at once: open addressing in arrays.
+
+    Keys are not negative and distinct; ``get`` gives ``missing`` for others.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int = -1):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, missing, values.dtype)
+        self.missing = missing
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = keys[left[free]]  # of several for one slot, one stays
+            placed = self.keys[slot] == keys[left]
+            self.values[slot[placed]] = values[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], self.values.dtype.type(self.missing))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            found = self.keys[slot]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            more = ~hit & (found >= 0)
+            left, slot = left[more], slot[more]
+        return out
