@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import bpe, language_id, minhash
+from tiersmith.llm import bpe, language_id, line_dedup, minhash
 from tiersmith.llm.frames import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,12 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", "text")
+
+
+SQL["op10_line_dedup"] = line_dedup.SQL
