@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, token_store
+from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, token_store
 from tiersmith.llm.frames import remainder, table
 from tiersmith.session import shared_dir
 
@@ -77,3 +77,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read(spark, path)
+
+
+@register
+def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 7) == 2)
+    counts = ppm.count(docs.where(~F.col("held_out")))
+    scored = ppm.score(docs, ppm.blocks_of(counts), keep=("doc_id", "held_out"))
+    return ppm.unigram(scored, counts, keep=("doc_id", "held_out", "score"))
