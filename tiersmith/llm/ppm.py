@@ -1,17 +1,18 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts of up to four bytes, counted over all
+The model is a trie of byte contexts of up to five bytes, counted over all
 training texts (A-Z lower-cased, an end symbol after each). A byte that its
 context has seen has probability count / (total + distinct); otherwise the
 context escapes with distinct / (total + distinct) to the next shorter one, in
 which the symbols of the longer one are excluded; below the empty context all
 symbols left are alike. As the model is fixed when texts are scored, each
 context's complete distribution is worked out once and a byte costs one look-up.
+Logarithms are kept in steps of 1/2048.
 
 Counting and scoring cover all texts. Contexts are dealt into blocks by their
 last two bytes; a block's tables stay below ``block_bytes``, or are those of a
-single pair of bytes (65,536 contexts at most), so a broadcast has a bound
-whatever the corpus. With several blocks the passes are chained and add up.
+single pair of bytes, of which the three bytes before it bound the contexts, so
+a broadcast has a bound whatever the corpus. With several blocks the passes are chained and add up.
 
 ``unigram`` gives the score of a plain word model beside it. Counts of words
 that are frequent (``HOT`` words at most) are broadcast, all others are joined.
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from tiersmith.llm.frames import Lookup, row_blocks, text_bytes, written
 from tiersmith.llm.words import BLANKS, LOWER, word_hashes
 
-ORDER = 4
+ORDER = 5
 #: Bytes that UTF-8 never has.
 START, STOP = 0xFE, 0xFF
 SYMBOLS = 255
+STEPS = 2048
 END_WORD = 1
 HOT = 200_000
 BLOCK_BYTES = 96 << 20
@@ -45,7 +47,7 @@ GRAM, WORD = 0, 1
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with four start symbols before and the end symbol behind; the places to predict; their first by row."""
+    """Rows with start symbols before and the end symbol behind; the places to predict; their first by row."""
     n = len(offsets) - 1
     out = np.full(len(data) + n * (ORDER + 1), START, np.uint8)
     begins = offsets[:-1] + ORDER + np.arange(n) * (ORDER + 1)
@@ -56,12 +58,16 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def grams(a: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Four bytes of context and the symbol, as one number, for each place."""
+    """The bytes of context, the nearest first, and the symbol, as one number, for each place.
+
+    The nearest byte is the highest, so that in sorted order every context is
+    followed by the longer ones that end with it.
+    """
     wide = a.astype(np.int64)
-    code = wide[at - ORDER]
-    for k in range(ORDER - 1, -1, -1):
+    code = wide[at - 1]
+    for k in range(2, ORDER + 1):
         code = (code << 8) | wide[at - k]
-    return code
+    return (code << 8) | wide[at]
 
 
 def _word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +129,7 @@ class Grams:
     pairs: np.ndarray  # counts of (last byte, symbol), 256 x 256, of the whole corpus
     codes: np.ndarray  # grams of this block
     counts: np.ndarray
-    mine: np.ndarray | None  # for each pair of last bytes whether this block scores it; None: all
+    mine: np.ndarray | None  # for each pair of last bytes, the nearest higher, whether this block scores it; None: all
 
 
 class Tables:
@@ -135,74 +141,85 @@ class Tables:
         self.code = np.full(256, len(seen), np.int64)
         self.code[seen] = np.arange(len(seen))
         self.width = wide = len(seen) + 1
-        ctx, sym = g.codes >> 8, self.code[g.codes & 255]
-        levels = []  # by order: contexts, rows x symbols as (row, symbol, count)
         bi = np.argwhere(g.pairs > 0)
-        levels.append(self._level(bi[:, 0], self.code[bi[:, 1]], g.pairs[bi[:, 0], bi[:, 1]]))
+        # by order: contexts in order, then (row, symbol, count) in the order of rows
+        levels = [self._level(bi[:, 0], self.code[bi[:, 1]], g.pairs[bi[:, 0], bi[:, 1]])]
+        symbol = self.code[g.codes & 255]
         for k in range(2, ORDER + 1):
-            levels.append(self._level(ctx & ((1 << 8 * k) - 1), sym, g.counts))
+            levels.append(self._level(g.codes >> 8 * (ORDER + 1 - k), symbol, g.counts))
+        keys = [level[0] for level in levels]
+        self.base = np.cumsum([1, *map(len, keys)]).tolist()
+        self.logs = np.empty((self.base[-1], wide), np.uint16)
         total, distinct = root.sum(), int((root > 0).sum())
-        rest = np.full((1, wide), 1 / max(1, SYMBOLS - distinct))
-        dense = np.zeros((1, wide))
+        dense = np.zeros((1, wide), np.float32)
         dense[0, self.code[root > 0]] = root[root > 0]
-        first = np.where(dense > 0, dense / max(1, total + distinct), (distinct / (total + distinct) if total else 1.0) * rest)
-        self.logs, self.base = [np.log10(first).astype(np.float32)], [0]
-        above_counts, above_rest, above_keys = dense, rest, np.zeros(1, np.int64)
-        for k, (keys, row, symbol, n) in enumerate(levels, 1):
-            parent = np.searchsorted(above_keys, keys & ((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(len(keys), np.int64)
-            out = np.empty((len(keys), wide), np.float32)
-            own = np.zeros((len(keys), wide)) if k < ORDER else None
-            left = np.empty((len(keys), wide)) if k < ORDER else None
-            cut = np.searchsorted(row, np.arange(0, len(keys) + 2048, 2048))
-            for i, lo in enumerate(range(0, len(keys), 2048)):
-                hi, s = min(len(keys), lo + 2048), slice(cut[i], cut[i + 1])
-                here = np.zeros((hi - lo, wide))
-                here[row[s] - lo, symbol[s]] = n[s]
-                p_counts, p_rest = above_counts[parent[lo:hi]], above_rest[parent[lo:hi]]
-                remain = np.where(here > 0, 0, p_counts)  # the shorter context without what was seen in the longer
-                t, d = remain.sum(1, keepdims=True), (remain > 0).sum(1, keepdims=True)
-                whole = np.maximum(t + d, 1)
-                lower = np.where(remain > 0, remain / whole, np.where(t > 0, d / whole, 1.0) * p_rest)
-                t, d = here.sum(1, keepdims=True), (here > 0).sum(1, keepdims=True)
-                out[lo:hi] = np.log10(np.where(here > 0, here / (t + d), d / (t + d) * lower))
-                if own is not None:
-                    own[lo:hi], left[lo:hi] = here, lower
-            self.base.append(self.base[-1] + len(self.logs[-1]))
-            self.logs.append(out)
-            above_counts, above_rest, above_keys = own, left, keys
-        self.logs = np.concatenate(self.logs).ravel()
-        keys = [x[0] for x in levels]
+        rest = np.full((1, wide), 1 / max(1, SYMBOLS - distinct), np.float32)
+        self._keep(0, np.where(dense > 0, dense / max(1, total + distinct), (distinct / (total + distinct) if total else 1.0) * rest))
+        parents = [np.zeros(len(keys[0]), np.int64)] + [np.searchsorted(a, b >> 8) for a, b in zip(keys, keys[1:])]
+        for first in range(len(keys[0])):  # the contexts that end with one byte
+            above, above_rest, above_lo, lo, hi = dense, rest, 0, first, first + 1
+            for k, level in enumerate(levels):
+                above, above_rest = self._distribute(level, parents[k] - above_lo, lo, hi, above, above_rest, self.base[k], k + 1 < ORDER)
+                if k + 1 < ORDER:
+                    above_lo, (lo, hi) = lo, np.searchsorted(parents[k + 1], [lo, hi]).tolist()
+        self.logs = self.logs.ravel()
         self.one, self.two = np.full(256, -1, np.int32), np.full(65536, -1, np.int32)
         self.one[keys[0]] = np.arange(len(keys[0]))
         self.two[keys[1]] = np.arange(len(keys[1]))
         # children by the next older byte; the last row answers for "no such context"
-        self.three, self.four = self._children(keys[1], keys[2], 16), self._children(keys[2], keys[3], 24)
+        self.deeper = [self._children(keys[k - 2], keys[k - 1]) for k in range(3, ORDER + 1)]
         self.mine = g.mine
 
+    def _keep(self, row: int, p: np.ndarray) -> None:
+        self.logs[row:row + len(p)] = np.minimum(np.rint(-np.log10(p) * STEPS), 65535)
+
+    def _distribute(self, level: tuple[np.ndarray, ...], parent: np.ndarray, lo: int, hi: int, above: np.ndarray,
+                    above_rest: np.ndarray, base: int, hold: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Distributions of the contexts lo to hi of a level; returns their counts and what lies below their escape."""
+        _, row, symbol, n = level
+        held = [np.empty((hi - lo if hold else 0, self.width), np.float32) for _ in range(2)]
+        for a in range(lo, hi, 2048):
+            b = min(hi, a + 2048)
+            s = slice(*np.searchsorted(row, [a, b]))
+            here = np.zeros((b - a, self.width), np.float32)
+            here[row[s] - a, symbol[s]] = n[s]
+            shorter, below = above[parent[a:b]], above_rest[parent[a:b]]
+            remain = np.where(here > 0, 0, shorter)  # the shorter context without what the longer has seen
+            t, d = remain.sum(1, keepdims=True, dtype=np.float64), (remain > 0).sum(1, keepdims=True)
+            lower = np.where(remain > 0, remain, np.where(t > 0, d, 1.0) * below) / np.where(remain > 0, t + d, np.maximum(t + d, 1))
+            t, d = here.sum(1, keepdims=True, dtype=np.float64), (here > 0).sum(1, keepdims=True)
+            self._keep(base + a, np.where(here > 0, here / (t + d), d / (t + d) * lower))
+            if hold:
+                held[0][a - lo:b - lo], held[1][a - lo:b - lo] = here, lower
+        return held[0], held[1]
+
     @staticmethod
     def _level(keys: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         (both, total) = _add((keys * 512 + symbol, n.astype(np.int64)), [])
         contexts, row = np.unique(both // 512, return_inverse=True)
         return contexts, row, both % 512, total
 
-    def _children(self, short: np.ndarray, long: np.ndarray, bits: int) -> np.ndarray:
+    def _children(self, short: np.ndarray, long: np.ndarray) -> np.ndarray:
         out = np.full((len(short) + 1, self.width), -1, np.int32)
-        out[np.searchsorted(short, long & ((1 << bits) - 1)), self.code[long >> bits]] = np.arange(len(long))
+        out[np.searchsorted(short, long >> 8), self.code[long & 255]] = np.arange(len(long))
         return out.ravel()
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each row, as far as this block knows the contexts."""
         a, at, first = padded(data, offsets)
         last = a[at - 1].astype(np.int64)
-        pair = (a[at - 2].astype(np.int64) << 8) | last
+        pair = (last << 8) | a[at - 2]
         code = self.code
-        two = self.two[pair]
-        three = self.three[np.where(two < 0, len(self.three) // self.width - 1, two).astype(np.int64) * self.width + code[a[at - 3]]]
-        four = self.four[np.where(three < 0, len(self.four) // self.width - 1, three).astype(np.int64) * self.width + code[a[at - 4]]]
-        one = self.one[last]
-        row = np.where(four >= 0, four + self.base[4], np.where(three >= 0, three + self.base[3], np.where(
-            two >= 0, two + self.base[2], np.where(one >= 0, one + self.base[1], 0)))).astype(np.int64)
-        value = self.logs[row * self.width + code[a[at]]].astype(np.float64)
+        known = self.one[last]
+        row = np.where(known >= 0, known + self.base[0], 0)
+        known = self.two[pair]
+        row = np.where(known >= 0, known + self.base[1], row)
+        for k, children in enumerate(self.deeper, 3):
+            none = len(children) // self.width - 1
+            known = children[np.where(known < 0, none, known).astype(np.int64) * self.width + code[a[at - k]]]
+            row = np.where(known >= 0, known + self.base[k - 1], row)
+        row = row.astype(np.int64)
+        value = self.logs[row * self.width + code[a[at]]] * (-1.0 / STEPS)
         if self.mine is not None:
             value[~self.mine[pair]] = 0
         return np.add.reduceat(value, first)
@@ -212,10 +229,12 @@ def blocks_of(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Grams]:
     """Gram tables of contexts packed by their last two bytes, one after the other."""
     got = counts.where(F.col("kind") == GRAM).select("code", "n")
     pairs = np.zeros((256, 256), np.int64)
-    for r in got.groupBy(F.expr("code & 65535").alias("p")).agg(F.sum("n").alias("n")).collect():
-        pairs[r["p"] >> 8, r["p"] & 255] = r["n"]
-    sizes = got.groupBy(F.expr("shiftright(code, 8) & 65535").alias("p")).agg(F.countDistinct(F.expr("shiftright(code, 8)")).alias("n"))
-    width = 4 * (int(((pairs.sum(0) + pairs.sum(1)) > 0).sum()) + 1)
+    last = F.shiftright("code", 8 * ORDER).alias("a")
+    for r in got.groupBy(last, F.col("code").bitwiseAND(255).alias("s")).agg(F.sum("n").alias("n")).collect():
+        pairs[r["a"], r["s"]] = r["n"]
+    pair = F.shiftright("code", 8 * (ORDER - 1))
+    sizes = got.groupBy(pair.alias("p")).agg(F.countDistinct(F.shiftright("code", 8)).alias("n"))
+    width = 2 * (int(((pairs.sum(0) + pairs.sum(1)) > 0).sum()) + 1)
     owner, block, used = np.zeros(65536, np.int64), 0, 0
     for r in sorted(sizes.collect()):
         need = int(1.5 * r["n"] * width)
@@ -227,7 +246,7 @@ def blocks_of(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Grams]:
         part = got
         if block:
             own = np.flatnonzero(owner == k).tolist()
-            part = got.where(F.expr("shiftright(code, 8) & 65535").isin(own))
+            part = got.where(pair.isin(own))
         rows = part.toArrow()
         out.append(Grams(pairs, np.asarray(rows.column("code").combine_chunks()), np.asarray(rows.column("n").combine_chunks()),
                          owner == k if block else None))
