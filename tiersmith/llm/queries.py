@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, token_store
+from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, token_store
 from tiersmith.llm.frames import remainder, table
 from tiersmith.session import shared_dir
 
@@ -85,3 +85,11 @@ def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ppm.count(docs.where(~F.col("held_out")))
     scored = ppm.score(docs, ppm.blocks_of(counts), keep=("doc_id", "held_out"))
     return ppm.unigram(scored, counts, keep=("doc_id", "held_out", "score"))
+
+
+@register
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    model = quality.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
