@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, token_store
+from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, site_tree, token_store
 from tiersmith.llm.frames import remainder, table
 from tiersmith.session import shared_dir
 
@@ -93,3 +93,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, keep=("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register
+def op1_site_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = site_tree.extract(table(spark, sf_dir, "pages"))
+    return done.withColumn("n_chars", F.length("text").cast("long"))
