@@ -10,10 +10,12 @@ the 64 bands with a chance of 4e-6.
 - In every bucket of a band, members are compared with the bucket's smallest
   member: size and signature first, then the full sets. Confirmed links are
   joined into components.
-- Buckets that still hold several components are compared in blocks of at most
-  about 2*256 members, only across components, and confirmed the same way. A
-  bucket of any size is thereby compared completely by tasks of bounded size,
-  and a group of many near copies, being one component, is not compared again.
+- Buckets that still hold several components are compared in blocks of about
+  2*256 members, only across components: first by size and signature, which
+  leaves the members that have a likely partner, then these by their full sets.
+  The tasks give members and confirmed links between components, never pairs,
+  so their output is linear; a pair is compared in the first bucket it shares.
+  A group of near copies that is one component is not compared again.
 
 Null and empty texts have an empty set and are linked with nothing. A row
 without an id takes no part either and keeps a null component. Rows that
@@ -41,7 +43,7 @@ BANDS = HASHES // ROWS
 PERCENT = 75
 #: Of 384 agreeing bytes, a pair at 0.75 has fewer than this with a chance below 1e-8 (six standard deviations).
 LEAST_EQUAL = 236
-BLOCK = 256
+BLOCK, SET_BLOCK = 256, 64
 #: Ids of documents to be verified are broadcast up to this number (some 50 MB); beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -131,48 +133,106 @@ def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of different components within blocks; members: bucket, x, y, block, id, part, n, sig."""
-    def pairs_of(g: dict[str, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        block, sig, n, part, ids = (g[k][lo:hi] for k in ("block", "sig", "n", "part", "id"))
-        left = np.flatnonzero(block == g["x"][lo])
-        right = np.flatnonzero(block == g["y"][lo])
-        found_a, found_b = [], []
-        for i in left.tolist():
-            others = right[part[right] != part[i]]
-            if g["x"][lo] == g["y"][lo]:
-                others = others[others > i]
-            hit = others[_alike(sig[i], sig[others], n[i], n[others])]
-            found_a.append(np.full(len(hit), ids[i]))
-            found_b.append(ids[hit])
-        a = np.concatenate(found_a or [np.zeros(0, np.int64)])
-        b = np.concatenate(found_b or [np.zeros(0, np.int64)])
-        return np.minimum(a, b), np.maximum(a, b)
+def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups (bucket, x, y) of sorted rows with more than one row, also when they span batches."""
+    rest: dict[str, np.ndarray] | None = None
+    for last, batch in _with_last(batches):
+        g: dict[str, np.ndarray] = {}
+        if batch is not None:
+            g = {k: np.asarray(batch.column(k)) for k in ("bucket", "x", "y", "block", "id", "part", "n")}
+            g["sig"] = _matrix(batch.column("sig"))
+            if "items" in batch.schema.names:
+                items = batch.column("items").to_pylist()
+                g["items"] = np.empty(len(items), object)
+                g["items"][:] = items
+        if rest is not None:
+            g = {k: np.concatenate([v, g[k]]) if g else v for k, v in rest.items()}
+        if not g or len(g["id"]) == 0:
+            continue
+        turn = (g["bucket"][1:] != g["bucket"][:-1]) | (g["x"][1:] != g["x"][:-1]) | (g["y"][1:] != g["y"][:-1])
+        cuts = [0, *(np.flatnonzero(turn) + 1).tolist(), len(g["id"])]
+        rest = None
+        if not last:  # the last group may go on in the next batch
+            rest = {k: v[cuts[-2]:] for k, v in g.items()}
+            cuts = cuts[:-1]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi - lo > 1:
+                yield {k: v[lo:hi] for k, v in g.items()}
+
+
+def _partners(g: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of block x its likely partners in block y, of other components, not met in an earlier band."""
+    band = int(g["bucket"][0]) >> 8 * ROWS
+    right = np.flatnonzero(g["block"] == g["y"][0])
+    same = g["x"][0] == g["y"][0]
+    for i in np.flatnonzero(g["block"] == g["x"][0]).tolist():
+        others = right[g["part"][right] != g["part"][i]]
+        if same:
+            others = others[others > i]
+        others = others[_alike(g["sig"][i], g["sig"][others], g["n"][i], g["n"][others])]
+        if len(others) and band:
+            before = (g["sig"][i][:band * ROWS] == g["sig"][others][:, :band * ROWS]).reshape(len(others), band, ROWS)
+            others = others[~before.all(2).any(1)]
+        if len(others):
+            yield i, others
+
+
+def _active(members: DataFrame) -> DataFrame:
+    """(bucket, id): members of a block that have a likely partner."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _in_groups(batches):
+            found = np.zeros(len(g["id"]), bool)
+            for i, others in _partners(g):
+                found[i] = found[others] = True
+            if found.any():
+                yield pa.record_batch([pa.array(g["bucket"][found]), pa.array(g["id"][found])], names=["bucket", "id"])
+
+    return members.mapInArrow(run, "bucket long, id long")
 
+
+def _joined(members: DataFrame) -> DataFrame:
+    """(a, b): confirmed links of a block, as many as join its components and no more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
-        for last, batch in _with_last(batches):
-            g = {k: np.asarray(batch.column(k)) for k in ("bucket", "x", "y", "block", "id", "part", "n")} if batch is not None else {}
-            if batch is not None:
-                g["sig"] = _matrix(batch.column("sig"))
-            if rest is not None:
-                g = {k: np.concatenate([v, g[k]]) if g else v for k, v in rest.items()}
-            if not g or len(g["id"]) == 0:
-                continue
-            turn = (g["bucket"][1:] != g["bucket"][:-1]) | (g["x"][1:] != g["x"][:-1]) | (g["y"][1:] != g["y"][:-1])
-            cuts = [0, *(np.flatnonzero(turn) + 1).tolist(), len(g["id"])]
-            if not last:  # the last group may go on in the next batch
-                rest = {k: v[cuts[-2]:] for k, v in g.items()}
-                cuts = cuts[:-1]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if hi - lo > 1:
-                    a, b = pairs_of(g, lo, hi)
-                    if len(a):
-                        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        for g in _in_groups(batches):
+            flat = np.frombuffer(b"".join(g["items"]), np.uint64)
+            starts = np.cumsum(g["n"]) - g["n"]
+            _, code = np.unique(flat, return_inverse=True)
+            mark = np.zeros(int(code.max(initial=0)) + 1, np.int64)
+            root = {p: p for p in g["part"].tolist()}
+
+            def find(p: int) -> int:
+                while root[p] != p:
+                    root[p] = p = root[root[p]]
+                return p
+
+            a, b = [], []
+            for i, others in _partners(g):
+                own = code[starts[i]:starts[i] + g["n"][i]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[code], starts)[others]
+                mark[own] = 0
+                for j in others[100 * both >= PERCENT * (g["n"][i] + g["n"][others] - both)].tolist():
+                    p, q = find(int(g["part"][i])), find(int(g["part"][j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        a.append(int(g["id"][i]))
+                        b.append(int(g["id"][j]))
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return members.mapInArrow(run, "a long, b long")
 
 
+def _dealt(placed: DataFrame, block: int, *more: str) -> DataFrame:
+    """Members of buckets with several components, each in every pair of blocks that its own is part of."""
+    split = written(placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where(
+        "p < q").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "split")
+    blocks = placed.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "part", *more)
+    return dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+
 def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
     for batch in batches:
         yield False, batch
@@ -191,12 +251,15 @@ def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, items binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Sets are built for documents of likely pairs only."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "verify")
+def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, items) of some documents; their ids are broadcast if they are few enough."""
+    ids = written(ids.toDF(key).distinct(), "verify")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(shingle_rows(docs.select(key, text).join(wanted, key, "left_semi"), key, text), "sets")
+    return written(shingle_rows(docs.select(key, text).join(wanted, key, "left_semi"), key, text), "sets")
 
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -222,26 +285,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = written(known.where("id is not null and n > 0").groupBy("print").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes)
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    # written, so that the joins below are planned with exchanges that adaptive execution can split where a bucket is hot
+    shared = written(bands.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "shared")
     members = written(bands.join(shared.select("bucket", "least"), "bucket"), "buckets")
     sized = written(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "sig"), "members")
 
     first = written(_likely(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(),
                             sized), "likely")
-    links = written(_confirmed(first, docs, key, text), "links")
+    links = written(_confirmed(first, _sets(first.select(F.explode(F.array("a", "b"))), docs, key, text)), "links")
     parts = components(links)
 
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("part"))
-    split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q")
-    blocks = placed.join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket").join(
-        sized, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "part", "n", "sig")
-    across = _across(dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")).distinct()
-    second = written(across.join(first, ["a", "b"], "left_anti"), "likely")
-    if not second.isEmpty():
-        links = links.union(written(_confirmed(second, docs, key, text), "links"))
+    placed = written(members.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("part")).join(sized, "id"), "placed")
+    active = written(_active(_dealt(placed, BLOCK, "n", "sig")).distinct(), "active")
+    if not active.isEmpty():
+        sets = _sets(active.select("id"), docs, key, text)
+        near = placed.join(active, ["bucket", "id"], "left_semi").join(sets, "id")
+        links = links.union(written(_joined(_dealt(near, SET_BLOCK, "n", "sig", "items")), "links"))
         parts = components(links)
 
     root = classes.select("print", F.col("id").alias("node")).join(parts, "node", "left").select(
