@@ -63,7 +63,8 @@ WORD = re.compile(r"[a-z]+")
 
 DAMPING = 0.9
 LEAST_PAGES = 3
-LEAST_IMPORTANCE = 0.3
+#: A text that stands on m**0.2 of m pages is at this importance.
+LEAST_IMPORTANCE = 0.8
 #: Noisy nodes are broadcast up to this number (some 100 MB); beyond, they are joined by host.
 BROADCAST_NODES = 1_000_000
 
