@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, site_tree, token_store
+from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, site_tree, token_store, top_k
 from tiersmith.llm.frames import remainder, table
 from tiersmith.session import shared_dir
 
@@ -99,3 +99,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_site_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = site_tree.extract(table(spark, sf_dir, "pages"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op5_exact_top_k"] = top_k.SQL
