@@ -12,21 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash
-from tiersmith.llm.frames import table, written
+from tiersmith.llm.frames import free_name, table, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a language that the model can tell."""
     model = language_id.fit(docs)
-    whole = docs.select(F.struct("*").alias("row"), "text")
-    found = language_id.predict(whole, model, keep=("row",))
-    return found.where(language_id.accepted(F.col("lang_pred"), F.col("score"))).select("row.*")
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = language_id.predict(docs, model, keep=tuple(docs.columns), names=(lang, score))
+    return found.where(language_id.accepted(F.col(lang), F.col(score))).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shorten texts by chunks that stand elsewhere before; a document of which nothing is left goes."""
-    done = line_dedup.deduplicate(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    done = line_dedup.deduplicate(whole).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +43,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_and_verify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document; only texts that their ids decode to are passed on."""
+    """Token ids of each document, passed on if they decode to its text (compared by 64-bit hash)."""
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    done = bpe.round_trip(docs, vocabulary, keep=("doc_id", "text"))
-    return done.where(F.col("decoded") == F.coalesce("text", F.lit(""))).select(
+    printed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"))
+    done = bpe.round_trip(printed, vocabulary, keep=("doc_id", "print"))
+    return done.where(F.col("print") == F.xxhash64("decoded")).select(
         "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.col("ids").alias("token_ids"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.frames import Lookup, row_blocks, text_bytes
+from tiersmith.llm.frames import Lookup, free_name, row_blocks, text_bytes
 from tiersmith.llm.words import LOWER, NOT_ALNUM, hash_ranges, windows, word_ranges
 
 WINDOW = 10
@@ -122,13 +122,15 @@ def _pass(docs: DataFrame, known: Windows) -> DataFrame:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-         item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """``keep`` with n_words, spans (runs of hit words, by word number), n_hit (words in them) and items (ids, sorted)."""
+         item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 16 << 20,
+         names: tuple[str, str, str, str] = ("n_words", "spans", "n_hit", "items")) -> DataFrame:
+    """``keep`` with, under these names, n_words, spans (runs of hit words, by word number), n_hit (words in them) and items (ids, sorted)."""
     tests = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("text")).where(
         F.col("name").isNotNull() & F.col("text").isNotNull())
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
-    out = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("v"),
+    others = [c for c in keep if c != text]  # the text passes once
+    out = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)], F.col(text).alias("v"),
                       F.lit(0).cast("long").alias("n_words"),
                       F.expr("cast(array() as array<struct<begin:bigint,stop:bigint>>)").alias("spans"),
                       F.expr("cast(array() as array<string>)").alias("items"))
@@ -136,19 +138,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[
         mine = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
         out = _pass(out, Windows([(r["name"], r["text"]) for r in mine.collect()], width))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["begin"])
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans", hit.alias("n_hit"), "items")
+    return out.select(*[F.col("v" if c == text else f"k{others.index(c)}").alias(c) for c in keep],
+                      *[x.alias(n) for n, x in zip(names, (F.col("n_words"), F.col("spans"), hit, F.col("items")))])
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents in which no window of a test item occurs, with all their columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return scan(whole, benchmark, "text", ("row",), **how).where("n_hit = 0").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    names = tuple(free_name(docs, n) for n in ("n_words", "spans", "n_hit", "items"))
+    found = scan(docs, benchmark, text, tuple(docs.columns), names=names, **how)
+    return found.where(F.col(names[2]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """All documents with their hit words cut out; what separates the words around a cut stays."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    found = scan(whole.select("row", "text"), benchmark, "text", ("row", "text"), **how).select("row", "text", "spans")
+    others = [c for c in docs.columns if c != text]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text).alias("text"))
+    found = scan(whole, benchmark, "text", ("row", "text"), **how).select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

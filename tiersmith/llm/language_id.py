@@ -208,28 +208,32 @@ def decide(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return langs, sure
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` with lang_pred and score for every row."""
-    known = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-                        F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("text"))
-    kinds = ", ".join(f"`k{i}` {t.dataType.simpleString()}" for i, t in enumerate(known.schema.fields[:-1]))
+def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``keep`` with the language and the score, called ``names``, for every row."""
+    others = [c for c in keep if c != text]
+    known = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)], F.col(text).alias("v"),
+                        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    fields = known.schema.fields[:-1] if text in keep else known.schema.fields[:-2]  # the text passes once
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text")
-            rows = len(column)
+            rows = len(batch)
             if shared.value["langs"] and rows:
-                langs, score = decide(shared.value, *text_bytes(column))
-                none = np.asarray(column.is_null())
+                langs, score = decide(shared.value, *text_bytes(batch.column("v")))
+                none = ~np.asarray(batch.column("letters"))
                 langs[none], score[none] = UNKNOWN, 0.0
             else:
                 langs, score = [UNKNOWN] * rows, np.zeros(rows)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())],
-                                  names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            carried = [f.name for f in fields]
+            yield pa.record_batch([*[batch.column(c) for c in carried], pa.array(langs, pa.string()), pa.array(score, pa.float64())],
+                                  names=[*carried, "lang_pred", "score"])
 
-    out = known.mapInArrow(run, f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    out = known.mapInArrow(run, f"{kinds}lang_pred string, score double")
+    return out.select(*[F.col("v" if c == text else f"k{others.index(c)}").alias(c) for c in keep],
+                      F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def accepted(found: Column, score: Column, least: float = 0.3) -> Column:

@@ -81,7 +81,7 @@ def removals(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns with the text shortened, then n_lines of the text before and n_removed of them."""
+    """All columns with the text shortened, then n_lines of the text before and n_removed of them, which replace columns so named."""
     # Own names for everything that is not the caller's, so that no column can clash.
     taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"),
                         F.col(text).alias("whole"), F.xxhash64(text).alias("print"))
@@ -94,7 +94,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     lost_lines = F.aggregate("left", F.lit(0).cast("long"), lambda n, c: n + F.when(c["out"], c["lines"]).otherwise(0))
     kept = F.array_join(F.transform(F.filter("left", lambda c: ~c["out"]), lambda c: c["text"]), "\n")
     short = F.when(F.col("left").isNull(), F.col("whole")).otherwise(kept)
-    return seen.select(*[(short if c == text else F.col("row")[c]).alias(c) for c in docs.columns],
+    return seen.select(*[(short if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
                        size.alias("n_lines"), F.coalesce(lost_lines, F.lit(0).cast("long")).alias("n_removed"))
 
 

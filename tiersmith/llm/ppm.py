@@ -304,7 +304,7 @@ def unigram(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[
         if held + r["words"] > HOT:
             break
         least, held = r["n"], held + r["words"]
-    hot = words.where(F.col("n") >= least).select("code", "n").toArrow()
+    hot = words.where((F.col("n") >= least) | (F.col("code") == END_WORD)).select("code", "n").toArrow()
     table = Lookup(np.asarray(hot.column("code").combine_chunks()), np.asarray(hot.column("n").combine_chunks()), 0)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -319,12 +319,13 @@ def unigram(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[
         return [pa.array(np.diff(rows) + 1), pa.array(known[rows[1:]] - known[rows[:-1]] + (end > 0)),
                 pa.array(logs[rows[1:]] - logs[rows[:-1]] + np.log10(end + 1.0)), lists]
 
-    first = written(_mapped(docs, keep, text, "n_tokens long, near long, logs double, rare array<long>", work).withColumn(
+    plain = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(keep)]).alias("kept"), F.col(text).alias("text"))
+    first = written(_mapped(plain, ("kept",), "text", "n_tokens long, near long, logs double, rare array<long>", work).withColumn(
         "row", F.monotonically_increasing_id()), "tokens")
-    other = words.where(F.col("n") < least).select("code", F.log10(F.col("n") + F.lit(1.0)).alias("l"))
+    other = words.where((F.col("n") < least) & (F.col("code") != END_WORD)).select("code", F.log10(F.col("n") + F.lit(1.0)).alias("l"))
     far = first.select("row", F.explode("rare").alias("code")).join(other, "code").groupBy("row").agg(
         F.sum("l").alias("more"), F.count("*").alias("far"))
     each = float(np.log10(total + distinct + 1))
     return first.join(far, "row", "left").select(
-        *keep, "n_tokens", (F.col("near") + F.coalesce("far", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        *[F.col("kept")[f"f{i}"].alias(c) for i, c in enumerate(keep)], "n_tokens", (F.col("near") + F.coalesce("far", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"))
