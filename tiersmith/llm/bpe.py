@@ -31,7 +31,7 @@ from tiersmith.llm.frames import Lookup, row_blocks, text_bytes
 
 # Fixed value: the public word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 NEVER = 1 << 30
 _MARK = "\x01"
 
@@ -284,7 +284,7 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, column: str, keep: tuple[str,
         for batch in batches:
             value = batch.column("v")
             if pa.types.is_string(value.type) or pa.types.is_large_string(value.type):
-                ranges = list(row_blocks(text_bytes(value)[1], 4 << 20))
+                ranges = list(row_blocks(text_bytes(value)[1]))
             else:
                 ranges = [(i, min(i + 1000, len(value))) for i in range(0, len(value), 1000)]
             for lo, hi in ranges:
