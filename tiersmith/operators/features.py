@@ -1,4 +1,10 @@
-"""Pooling of per-atom vectors into one vector per structure."""
+"""Pooling of per-atom vectors into one vector per structure.
+
+A null vector takes no part in a mean; a structure or species without any
+vector keeps its row with nulls. All vectors have one length: the given one or
+the largest of the table, and any other length is an error. The same holds
+whichever of the two plans the length selects.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +19,13 @@ WIDE_LIMIT = 512
 
 
 def _dim(df: DataFrame, column: str) -> int:
-    row = df.select(F.size(column).alias("d")).where(F.col("d") > 0).first()
-    return row["d"] if row else 0
+    return df.agg(F.coalesce(F.max(F.size(column)), F.lit(0))).first()[0] if column in df.columns else 0
+
+
+def _checked(df: DataFrame, dim: int) -> DataFrame:
+    """Vectors of another length are an error."""
+    fits = F.coalesce(F.size("f") == dim, F.lit(True)) | F.col("f").isNull()
+    return df.withColumn("f", F.when(F.assert_true(fits, F.lit(f"a vector is not of length {dim}")).isNull(), F.col("f")))
 
 
 def mean_pool(local: DataFrame, keys: list[str], dim: int | None = None) -> DataFrame:
@@ -24,13 +35,15 @@ def mean_pool(local: DataFrame, keys: list[str], dim: int | None = None) -> Data
     structure is reduced before the only shuffle. Longer vectors are summed in
     (key, component) form.
     """
-    dim = _dim(local, "f") if dim is None else dim
+    dim = max(_dim(local, "f"), 0) if dim is None else dim
+    local = _checked(local, dim)
     if dim <= WIDE_LIMIT:
         sums = [F.sum(F.col("f")[i]).alias(f"s{i}") for i in range(dim)]
-        agg = local.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-        return agg.select(*keys, F.array(*[F.col(f"s{i}") / F.col("n") for i in range(dim)]).alias("x"))
-    parts = (local.select(*keys, F.posexplode("f").alias("pos", "v")).groupBy(*keys, "pos")
-                  .agg(F.avg("v").alias("v")))
+        agg = local.groupBy(*keys).agg(F.count("f").alias("n"), *sums)
+        return agg.select(*keys, F.array(*[F.try_divide(f"s{i}", "n") for i in range(dim)]).alias("x"))
+    blank = F.array_repeat(F.lit(None).cast("double"), dim)
+    parts = (local.select(*keys, F.col("f").isNotNull().cast("int").alias("__there"), F.posexplode(F.coalesce("f", blank)).alias("pos", "v"))
+                  .groupBy(*keys, "pos").agg(F.try_divide(F.sum("v"), F.sum("__there")).alias("v")))
     return parts.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("x"))
 
@@ -53,12 +66,13 @@ def species_pool(local: DataFrame, species: list[str], isolated: DataFrame | Non
     A species that a structure lacks contributes the vector of the isolated
     atom, or nulls when ``isolated(species, x)`` is not given.
     """
-    dim = _dim(local, "f") if dim is None else dim
+    dim = max(_dim(local, "f"), 0) if dim is None else dim
     if dim * len(species) > WIDE_LIMIT:
         return _species_pool_long(local, species, isolated, dim)
+    local = _checked(local, dim)
     sums = []
     for j, s in enumerate(species):
-        mine = F.col("species") == s
+        mine = (F.col("species") == s) & F.col("f").isNotNull()
         sums.append(F.count(F.when(mine, 1)).alias(f"n{j}"))
         sums += [F.sum(F.when(mine, F.col("f")[i])).alias(f"s{j}_{i}") for i in range(dim)]
     agg = local.groupBy("mol_id").agg(*sums)
@@ -68,7 +82,7 @@ def species_pool(local: DataFrame, species: list[str], isolated: DataFrame | Non
         agg = agg.withColumn("__iso", isolated.where(F.col("species").isin(species)).agg(entry).scalar())
     parts = []
     for j, s in enumerate(species):
-        mean = F.array(*[F.col(f"s{j}_{i}") / F.col(f"n{j}") for i in range(dim)])
+        mean = F.array(*[F.try_divide(f"s{j}_{i}", f"n{j}") for i in range(dim)])
         absent = blank if isolated is None else F.coalesce(F.col("__iso")[s], blank)
         parts.append(F.when(F.col(f"n{j}") > 0, mean).otherwise(absent))
     return agg.select("mol_id", F.concat(*parts).alias("x"))
@@ -76,7 +90,7 @@ def species_pool(local: DataFrame, species: list[str], isolated: DataFrame | Non
 
 def _species_pool_long(local: DataFrame, species: list[str], isolated: DataFrame | None, dim: int) -> DataFrame:
     """The same for vectors too long for separate aggregates: pool by (structure, species), then line up."""
-    pooled = mean_pool(local.where(F.col("species").isin(species)), ["mol_id", "species"], dim)
+    pooled = mean_pool(local.where(F.col("species").isin(species) & F.col("f").isNotNull()), ["mol_id", "species"], dim)
     slots = local.select("mol_id").distinct().withColumn("species", F.explode(F.array(*[F.lit(s) for s in species])))
     filled = slots.join(pooled, ["mol_id", "species"], "left")
     if isolated is not None:

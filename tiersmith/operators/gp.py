@@ -6,10 +6,11 @@ to the same secondary task i. ``k`` is the squared exponential. Training rows
 carry their task's ``rho, variance, lengthscale`` from a keyed join, so a group
 needs nothing but its own rows.
 
-A cell's training set is bounded by the grid (``MAX_TRAIN``); the rows to score
-are not, so they are either cut in chunks that repeat the cell's fit, or mapped
-with a broadcast of fits whose total size is checked. ``inducing_*`` is the form
-for training sets without a bound.
+A cell's training set is bounded by the grid and fitted in one task, in place
+and by blocks: a cell of n rows needs 8*n*n bytes and no further matrix of that
+size. The rows to score are not bounded, so they are either cut in chunks that
+repeat the cell's fit, or mapped with a broadcast of fits whose total size is
+checked. ``inducing_*`` is the form for training sets without a bound.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tiersmith.session import cut_lineage, spread, task_slots
 
 NOISE = 0.015
-MAX_TRAIN = 4096
+BLOCK = 512
 CHUNK_ROWS = 8192
 BROADCAST_BYTES = 256 << 20
 FAN_IN = 32
@@ -50,10 +51,40 @@ def covariance(xa, ta, xb, tb, theta) -> np.ndarray:
     return k
 
 
+def factor(x: np.ndarray, task: np.ndarray, theta: tuple, noise: float) -> np.ndarray:
+    """Lower Cholesky factor of the covariance plus noise; one n x n array, filled and factored by blocks."""
+    n = len(x)
+    low = np.empty((n, n))
+    for at in range(0, n, BLOCK):
+        rows = slice(at, min(n, at + BLOCK))
+        low[rows, :rows.stop] = covariance(x[rows], task[rows], x[:rows.stop], task[:rows.stop], theta)
+    low[np.diag_indices(n)] += noise
+    for at in range(0, n, BLOCK):
+        mine, end = slice(at, min(n, at + BLOCK)), min(n, at + BLOCK)
+        low[mine, mine] = np.linalg.cholesky(low[mine, mine])
+        low[mine, end:] = 0
+        for lo in range(end, n, BLOCK):  # what is below, then its share in the later blocks
+            rows = slice(lo, min(n, lo + BLOCK))
+            low[rows, mine] = np.linalg.solve(low[mine, mine], low[rows, mine].T).T
+        for lo in range(end, n, BLOCK):
+            rows = slice(lo, min(n, lo + BLOCK))
+            low[rows, end:rows.stop] -= low[rows, mine] @ low[end:rows.stop, mine].T
+    return low
+
+
+def forward(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of ``low @ q = b`` by forward substitution in blocks."""
+    q = np.array(b, float)
+    for at in range(0, len(low), BLOCK):
+        rows = slice(at, at + BLOCK)
+        if at:
+            q[rows] -= low[rows, :at] @ q[:at]
+        q[rows] = np.linalg.solve(low[rows, rows], q[rows])
+    return q
+
+
 def fit_rows(pdf: pd.DataFrame, noise: float) -> dict:
     """Cholesky fit of one cell from columns task_no, x, y, variance, lengthscale, rho."""
-    if len(pdf) > MAX_TRAIN:
-        raise ValueError(f"{len(pdf)} training rows in one cell; use the inducing-point regression above {MAX_TRAIN}")
     x = np.stack(pdf["x"].to_numpy())
     task = pdf["task_no"].to_numpy(int)
     y = pdf["y"].to_numpy(float)
@@ -65,9 +96,8 @@ def fit_rows(pdf: pd.DataFrame, noise: float) -> dict:
         v[i], l[i], rho[i] = pdf.loc[rows, ["variance", "lengthscale", "rho"]].iloc[0]
         means[i] = y[rows].mean()
     theta = (v, l, rho)
-    chol = np.linalg.cholesky(covariance(x, task, x, task, theta) + noise * np.eye(len(y)))
-    inv = np.linalg.solve(chol, np.eye(len(y)))
-    return dict(x=x, task=task, theta=theta, means=means, inv=inv, white=inv @ (y - means[task]), noise=noise)
+    chol = factor(x, task, theta, noise)
+    return dict(x=x, task=task, theta=theta, means=means, chol=chol, white=forward(chol, y - means[task]), noise=noise)
 
 
 def predict_rows(fit: dict, x: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +108,12 @@ def predict_rows(fit: dict, x: np.ndarray, low: np.ndarray | None = None) -> tup
     """
     v, l, rho = fit["theta"]
     zero = np.zeros(len(x), int)
-    q = fit["inv"] @ covariance(fit["x"], fit["task"], x, zero, fit["theta"])
+    q = forward(fit["chol"], covariance(fit["x"], fit["task"], x, zero, fit["theta"]))
     mu = fit["means"][0] + fit["white"] @ q
     var = v[0] - (q * q).sum(0)
     if low is not None:
         last = len(v) - 1
-        b = fit["inv"] @ covariance(fit["x"], fit["task"], x, zero + last, fit["theta"])
+        b = forward(fit["chol"], covariance(fit["x"], fit["task"], x, zero + last, fit["theta"]))
         cross = rho[last] * v[0] - (q * b).sum(0)
         own = rho[last] ** 2 * v[0] + v[last] + fit["noise"] - (b * b).sum(0)
         mu = mu + cross / own * (low - fit["means"][last] - fit["white"] @ b)
@@ -152,7 +182,7 @@ def fit_models(train: DataFrame, noise: float = NOISE) -> dict[str, dict]:
 
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
         f = fit_rows(pdf, noise)
-        arrays = [f["x"], f["task"].astype(float), np.stack(f["theta"]), f["means"], f["inv"], f["white"]]
+        arrays = [f["x"], f["task"].astype(float), np.stack(f["theta"]), f["means"], f["chol"], f["white"]]
         return pd.DataFrame({"cell_id": [pdf.cell_id.iloc[0]], "parts": [[a.tobytes() for a in arrays]],
                              "n": [len(pdf)]})
 
@@ -160,9 +190,9 @@ def fit_models(train: DataFrame, noise: float = NOISE) -> dict[str, dict]:
     done = train.repartition(task_slots(train.sparkSession), "cell_id").groupBy("cell_id").applyInPandas(
         job, "cell_id string, parts array<binary>, n int")
     for r in done.collect():
-        x, task, theta, means, inv, white = [np.frombuffer(bytes(p)) for p in r["parts"]]
+        x, task, theta, means, chol, white = [np.frombuffer(bytes(p)) for p in r["parts"]]
         fits[r["cell_id"]] = dict(x=x.reshape(r["n"], -1), task=task.astype(int), theta=tuple(theta.reshape(3, -1)),
-                                  means=means, inv=inv.reshape(r["n"], r["n"]), white=white, noise=noise)
+                                  means=means, chol=chol.reshape(r["n"], r["n"]), white=white, noise=noise)
     return fits
 
 

@@ -36,6 +36,10 @@ class Scenario:
     shares: tuple[float, ...] = (1.0,)
     parameters: tuple[str, ...] = field(default=())
 
+    def __post_init__(self) -> None:
+        if self.method not in METHODS:
+            raise ValueError(f"unknown method {self.method!r}; known are {', '.join(METHODS)}")
+
     @property
     def tasks(self) -> tuple[str, ...]:
         return (self.primary, *self.secondaries)

@@ -67,14 +67,16 @@ def combinations2(items: DataFrame, item: str) -> DataFrame:
     return _pairs(items, item, lambda x, y: x < y)
 
 
-def _bounded_set(item: str) -> Column:
-    """The distinct values as an array; a list beyond ``MAX_LIST`` is an error, for these are lists of names."""
-    return F.when(F.count_distinct(item) <= MAX_LIST, F.collect_set(item)).otherwise(
-        F.raise_error(F.lit(f"{item}: more than {MAX_LIST} distinct values")))
+def _bounded(items: DataFrame, item: str) -> DataFrame:
+    """The distinct values; a list beyond ``MAX_LIST`` is an error before anything is gathered, for these are lists of names."""
+    values = items.select(item).distinct()
+    if values.limit(MAX_LIST + 1).count() > MAX_LIST:
+        raise ValueError(f"{item}: more than {MAX_LIST} distinct values")
+    return values
 
 
 def _pairs(items: DataFrame, item: str, keep) -> DataFrame:
-    everything = items.select(item).distinct().agg(_bounded_set(item).alias("a")).select(F.explode("a").alias("left_item"), "a")
+    everything = _bounded(items, item).agg(F.collect_set(item).alias("a")).select(F.explode("a").alias("left_item"), "a")
     partners = F.filter("a", lambda y: keep(F.col("left_item"), y))
     return everything.select("left_item", F.explode(partners).alias("right_item"))
 
@@ -83,7 +85,7 @@ def parameter_product(**lists: DataFrame) -> DataFrame:
     """Product of parameter lists (one single-column table each), as nested explodes of arrays."""
     out = None
     for name, table in lists.items():
-        values = table.select(table.columns[0]).distinct().agg(_bounded_set(table.columns[0])).scalar()
+        values = _bounded(table, table.columns[0]).agg(F.collect_set(table.columns[0])).scalar()
         base = table.sparkSession.range(1).select(values.alias("__v")) if out is None else out.withColumn("__v", values)
         out = base.withColumn(name, F.explode("__v")).drop("__v")
     return out
@@ -128,12 +130,13 @@ def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def lookup_parameters(wanted: DataFrame, params: DataFrame) -> DataFrame:
-    """Parameters of ``wanted(ord, task)`` in the given order; an unknown task is an error."""
-    hit = params.withColumn("__hit", F.lit(True))
-    known = F.coalesce(F.col("__hit"), F.lit(False))
+    """Parameters of ``wanted(ord, task)`` in the given order; an unknown task and one with several rows are errors."""
+    many = params.groupBy("task").agg(F.count("*").alias("__rows"))
+    hit = params.join(F.broadcast(many.where("__rows > 1").limit(1000)), "task", "left").withColumn("__hit", F.col("__rows").isNull())
+    text = F.concat(F.when(F.col("__hit").isNull(), F.lit("no parameters for task ")).otherwise(F.lit("several parameter rows for task ")), F.col("task"))
     return (wanted.join(hit, "task", "left")
-                  .where(F.assert_true(known, F.concat(F.lit("no parameters for task "), F.col("task"))).isNull())
-                  .drop("__hit"))
+                  .where(F.assert_true(F.coalesce("__hit", F.lit(False)), text).isNull())
+                  .drop("__hit", "__rows"))
 
 
 def parameter_bundle(wanted: DataFrame, params: DataFrame, key: list[str]) -> DataFrame:

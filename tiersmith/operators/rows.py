@@ -13,6 +13,8 @@ from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tiersmith.session import cut_lineage
+
 ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 48
@@ -79,6 +81,8 @@ def running_sum(df: DataFrame, order_by: list[str], weight: str | None = None, *
     source = df if source is None else source
     n = source.count() if n is None else n
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    if n > MAX_BUCKETS * ROWS_PER_BUCKET:
+        return _running_sum_by_range(df, order_by, w, group, out, total, n)
     bucket = _bucket(source, [*group, *order_by], n)
     if bucket is None:  # at most ROWS_PER_BUCKET rows in all
         local = Window.partitionBy(*group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -101,6 +105,26 @@ def running_sum(df: DataFrame, order_by: list[str], weight: str | None = None, *
     return joined.drop("__g", "__b", "__o", "__w", "__t")
 
 
+def _running_sum_by_range(df: DataFrame, order_by: list[str], w: Column, group: list[str], out: str, total: str | None, n: int) -> DataFrame:
+    """The same for tables with too many buckets for constant boundaries.
+
+    One range shuffle over the whole key makes the buckets, and its result is
+    stored, so that the sums and the rows see the same buckets. The buckets'
+    sums are prefix-summed by this module again.
+    """
+    keys = [*group, *order_by]
+    ranged = cut_lineage(df.withColumn("__x", w).repartitionByRange(ceil(n / ROWS_PER_BUCKET), *keys)
+                           .withColumn("__b", F.spark_partition_id()).withColumn("__g", F.struct(*group) if group else F.lit(0)))
+    sums = ranged.groupBy("__g", "__b").agg(F.sum("__x").alias("__s"))
+    offsets = running_sum(sums, ["__b"], "__s", group=["__g"], out="__o", total="__t").withColumn("__o", F.col("__o") - F.col("__s"))
+    inside = Window.partitionBy("__g", "__b").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = ranged.withColumn("__w", F.sum("__x").over(inside)).join(offsets.drop("__s"), ["__g", "__b"]) \
+                   .withColumn(out, F.col("__o") + F.col("__w"))
+    if total is not None:
+        joined = joined.withColumn(total, F.col("__t"))
+    return joined.drop("__g", "__b", "__o", "__w", "__t", "__x")
+
+
 def row_index(df: DataFrame, order_by: list[str], *, group: list[str] | None = None, out: str = "row_idx",
               total: str | None = None, n: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Dense 1-based index in key order, over all rows or within groups; ``total`` names a group size column."""

@@ -3,7 +3,7 @@
 A row's place in a sample is the rank of md5(key-seed). The ranking needs no
 shuffle of the table: on large tables hashes above a threshold are dropped while
 scanning, and the threshold is widened if a seed should fall short, so the size
-is exact.
+is exact. A null key is ranked as the empty text, on tables of any size.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def ranked_sample(df: DataFrame, key: str, n: int, seeds: list[int] = (0,), *, t
     if total < n:
         raise ValueError(f"cannot draw {n} of {total} rows")
     seeded = (df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-                .withColumn("__h", order_hash(F.col(key), F.col("seed"))))
+                .withColumn("__h", order_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("seed"))))
     wanted = n + 8 * sqrt(n) + 64
     while total > PREFILTER_ROWS and wanted < total:
         limit = format(ceil(wanted / total * 2**32), "08x")

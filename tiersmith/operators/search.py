@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiersmith.functions.columns import order_hash
-from tiersmith.operators.gp import MAX_TRAIN, NOISE, sq_distances
+from tiersmith.operators.gp import NOISE, sq_distances
 from tiersmith.operators.relational import stack
 from tiersmith.operators.stats import pearson
 from tiersmith.session import cut_lineage, task_slots
@@ -61,8 +61,6 @@ def evaluate(rows: DataFrame, candidates: DataFrame, objective, noise: float = N
                         .groupBy("task", "seed", "block").agg(F.sort_array(F.collect_list("theta")).alias("thetas")))
 
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_TRAIN:
-            raise ValueError(f"{len(pdf)} rows in one search; draw at most {MAX_TRAIN}")
         pdf = pdf.sort_values("key")
         scored = [(t, *objective(pdf, t, noise)) for t in pdf["thetas"].iloc[0]]
         return pd.DataFrame(scored, columns=["theta", "score", "mu", "var"]).assign(

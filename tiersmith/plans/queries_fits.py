@@ -165,13 +165,13 @@ def gp_delta(spark, sf):
         total.select("id", F.round("P", 5).alias("truth")), "id")
 
 
-@query("prior_means", f"""with {RANKED}, g as (select 'n' || n as cell_id, n from (select unnest([50, 500, 5000]) as n)),
+@query("prior_means", f"""with {RANKED}, g as (select * from (values ('n50', 50), ('n500', 500), ('all', (select count(*) from rk))) t(cell_id, n)),
 m as (select cell_id, avg(P) as p, avg(S1) as s1, avg(S2) as s2 from rk join g on rank <= n group by cell_id)
 select cell_id, unnest([0, 1, 2]) as task_no, round(unnest([p, s1 - 0.95::double * p, s2 - 0.9::double * p]), 6) as prior_mean from m""")
 def prior_means(spark, sf):
-    n = min(5000, measurements(spark, sf).count())
+    n = measurements(spark, sf).count()
     rows = _ranked(spark, sf, n)
-    train = stack([_train(spark, rows, TASKS, [k] * 3, f"n{k}") for k in (50, 500, 5000)])
+    train = stack([_train(spark, rows, TASKS, [k] * 3, name) for name, k in (("n50", 50), ("n500", 500), ("all", n))])
     return K.prior_means(train).select("cell_id", "task_no", r6("prior_mean", "prior_mean"))
 
 

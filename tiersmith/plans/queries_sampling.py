@@ -167,10 +167,10 @@ def cell_identifier(spark, sf):
     return cell_identifiers(_members(spark, sf), "id", GRID)
 
 
-@query("scenarios", f"""with {MEMBERS_SQL} select scenario, seed, cast(core as integer) as core, c_ratio, a_ratio, shared, k as n_secondary from cells""")
+@query("scenarios", f"""with {MEMBERS_SQL.replace("unnest([1, 2]) as seed", "distinct l_linenumber as seed from lineitem")} select scenario, seed, cast(core as integer) as core, c_ratio, a_ratio, shared, k as n_secondary from cells""")
 def scenarios(spark, sf):
-    pool = X.nested_split(measurements(spark, sf).select("id"), "id", 30, 10, 20, [1, 2])
-    return scenario_cells(pool.select("seed").distinct(), GRID).drop("kind", "tasks")
+    seeds = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("seed")).distinct()
+    return scenario_cells(seeds, GRID).drop("kind", "tasks")
 
 
 LABEL = "['C', 'A', 'CA', 'CT', 'AT', 'CAT'][l_partkey % 6 + 1]"

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from tiersmith.operators.relational import join_groups
+
+ROWS_PER_WRITER = 1_000_000
+
 
 def _struct(schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
@@ -43,11 +47,13 @@ def append_rows(df: DataFrame, path: str, schema: str | StructType, fmt: str = "
 def write_runs(df: DataFrame, path: str, schema: str | StructType, by: tuple[str, ...] = ("target", "seed")) -> None:
     """Replace only the partitions present in ``df``.
 
-    Rows are shuffled to their partition plus a salt, so a large partition
-    is written by several tasks.
+    Rows are shuffled to their partition plus a salt. The number of salts
+    follows the partition's row count, so that a partition of any size is
+    written by tasks of bounded size.
     """
     shaped = _shaped(df, _struct(schema))
-    salted = shaped.withColumn("__salt", F.pmod(F.xxhash64(*shaped.columns), F.lit(8)))
+    sizes = shaped.groupBy(*by).agg(F.ceil(F.count("*") / ROWS_PER_WRITER).alias("__salts"))
+    salted = join_groups(shaped, sizes, list(by)).withColumn("__salt", F.pmod(F.xxhash64(*shaped.columns), F.col("__salts"))).drop("__salts")
     (salted.repartition(*by, "__salt").drop("__salt").write.mode("overwrite")
            .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
