@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 from tiersmith.session import shared_dir
 
 BLOCK_BYTES = 1 << 20
+#: Rows in an Arrow batch at most: texts are long, and a batch is held by the JVM and by its Python worker.
+BATCH_ROWS = 2000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small enough for texts. Results don't depend on it."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +35,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     This cuts the lineage: a lost executor costs no recomputation of what
     came before, and several readers share one computation.
     """
+    bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.frames import row_blocks, text_bytes
+from tiersmith.llm.frames import bound_batches, row_blocks, text_bytes
 
 # Language families of ISO 639-1 codes. Codes outside form a family of their own letter "other".
 FAMILIES = {
@@ -140,6 +140,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     The sample is every row whose text hash is below a bound set from the
     exact count of the language, so that it is drawn without ranking rows.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -236,6 +237,6 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
                       F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
-def accepted(found: Column, score: Column, least: float = 0.3) -> Column:
+def accepted(found: Column, score: Column, least: float = 0.25) -> Column:
     """Whether a prediction is good enough to keep the document."""
     return (found != UNKNOWN) & (score >= least)
