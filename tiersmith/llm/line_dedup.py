@@ -75,8 +75,9 @@ def removals(docs: DataFrame, key: str, text: str) -> DataFrame:
         "key", "print", F.col("c.pos").alias("pos"), F.col("c.text").alias("piece"), F.xxhash64("c.text").alias("h"))
     several = counting.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = written(counting.join(several, "h", "left_semi"), "chunks")
-    first = found.groupBy("h", "piece").agg(F.min(_order("key")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = found.join(first.drop("n"), ["h", "piece"]).where(~_order("key").eqNullSafe(F.col("first")))
+    # written, so that the join is one that adaptive execution can split at a chunk with very many occurrences
+    first = written(found.groupBy("h", "piece").agg(F.min(_order("key")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    gone = found.join(first, ["h", "piece"]).where(~_order("key").eqNullSafe(F.col("first")))
     return gone.groupBy("key", "print").agg(F.collect_set("pos").alias("gone"))
 
 

@@ -6,8 +6,9 @@ taken over the distinct pages that have it. *Presentation*: how much the
 sequence of its child elements varies, -sum p log_m p. *Content*: one minus the
 entropy of the pages over which each of its texts is spread, 1 - sum k/m log_m k.
 An inner node with l children has importance (1-g^l) presentation + g^l content,
-a leaf its content alone. Branches of low importance - the same on page after
-page - are removed from each page, except inside ``article`` and ``main``.
+a leaf its content alone. A branch is noise if its importance and that of all
+below it is low, which holds when its whole text comes back on page after page;
+such branches are removed from each page, except inside ``article`` and ``main``.
 
 Branches whose element or class says what they are (navigation, adverts,
 comments and so on) are removed as well, so that hosts with few pages come out
@@ -58,7 +59,7 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-z/!?][^>]*+>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d{2,}")  # numbers of posts and the like
 WORD = re.compile(r"[a-z]+")
 
 DAMPING = 0.9
@@ -218,7 +219,8 @@ def noisy_nodes(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
     content = 1 - F.col("text_sum") / (F.col("m") * F.ln("m"))
     presentation = 1 - F.col("style_sum") / (F.col("m") * F.ln("m"))
     damped = F.pow(F.lit(DAMPING), F.col("children") / F.col("m"))
-    return both.where((1 - damped) * presentation + damped * content < LEAST_IMPORTANCE).select("host", "node")
+    low = (content < LEAST_IMPORTANCE) & ((1 - damped) * presentation + damped * content < LEAST_IMPORTANCE)
+    return both.where(low).select("host", "node")
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
