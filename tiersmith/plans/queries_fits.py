@@ -225,6 +225,15 @@ def learning_curve(spark, sf):
     return with_cost(grid).select("seed", "high_level", *[r6(c, c) for c in cols], F.round("cost", 4).alias("cost"))
 
 
+@query("learning_curve_stock")
+def learning_curve_stock(spark, sf):
+    """The curve at the size that studies run it: six seeds, core sets up to 320 and single-task sets up to 2560."""
+    grid = run_grid(measurements(spark, sf), "id", ["P"], params(spark),
+                    [single("curve", "P", (5, 10, 20, 40, 80, 160, 320, 640, 1280, 2560))], list(range(6)), CURVE_TARGET)
+    cols = ["mae_error", "median_ae_error", "mae_std", "pearson_error", "spearman_error"]
+    return with_cost(grid).select("seed", "high_level", *[r6(c, c) for c in cols], F.round("cost", 4).alias("cost"))
+
+
 COMPARED = [
     single("single", "P", (10, 20)),
     Scenario("two", "multitask", "P", ("S1",), (10, 20), (0.0, 1.0), (0.0, 1.0, 2.0)),

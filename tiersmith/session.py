@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tiersmith", cpus: int | None = None, **conf: str) -> SparkSession:
     """A session for one machine; on a cluster the submitter's own session is used instead."""
+    root = str(Path(__file__).resolve().parents[1])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # Python workers find the package from any folder
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     settings = {
         "spark.sql.shuffle.partitions": str(n),
@@ -30,6 +35,16 @@ def build_session(app: str = "tiersmith", cpus: int | None = None, **conf: str)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors of a running session whose machines don't have it installed."""
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tiersmith-")) / "tiersmith.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(target))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate results.
 

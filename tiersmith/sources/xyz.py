@@ -37,20 +37,28 @@ class _Lines:
 
     def __init__(self, handle, offset: int):
         handle.seek(offset)
-        self.handle, self.at, self.rest, self.held, self.done = handle, offset, b"", [], False
+        self.handle, self.at, self.tail, self.ready, self.held = handle, offset, [], iter(()), []
 
     def next(self):
         if self.held:
             return self.held.pop()
-        while b"\n" not in self.rest and not self.done:
+        line = next(self.ready, None)
+        while line is None:
             more = self.handle.read(READ_BYTES)
-            self.done = not more
-            self.rest += more
-        if not self.rest:
-            return None
-        line, sep, self.rest = self.rest.partition(b"\n")
+            if not more and not self.tail:
+                return None
+            head, sep, rest = more.rpartition(b"\n")
+            if more and not sep:  # a line longer than a block
+                self.tail.append(more)
+                continue
+            whole = b"".join([*self.tail, head])
+            self.tail = [rest] if rest else []
+            if not more:
+                self.tail = []
+            self.ready = iter(whole.split(b"\n"))
+            line = next(self.ready)
         entry = (self.at, line.decode("utf-8"))
-        self.at += len(line) + len(sep)
+        self.at += len(line) + 1
         return entry
 
     def push(self, entries):
@@ -70,7 +78,7 @@ def parse_info(comment: str) -> dict[str, str]:
 
 
 def _frame(lines: _Lines):
-    """The frame at the current line, or None with the lines pushed back."""
+    """The frame at the current line and its lines, or None with the lines pushed back."""
     taken = [lines.next()]
     if taken[0] is None or not COUNT.match(taken[0][1]):
         lines.push(taken)
@@ -85,7 +93,7 @@ def _frame(lines: _Lines):
             lines.push(taken)
             return None
         atoms.append(atom)
-    return taken[0][0], parse_info(taken[1][1] if taken[1] else ""), atoms
+    return (taken[0][0], parse_info(taken[1][1] if taken[1] else ""), atoms), taken
 
 
 def _boundary(lines: _Lines) -> bool:
@@ -108,14 +116,15 @@ def frames_in_range(handle, start: int, end: int) -> Iterator[tuple]:
         if not first[1].strip():
             continue
         lines.push([first])
-        frame = _frame(lines)
-        if frame is None or (not synced and not _boundary(lines)):
+        found = _frame(lines)
+        if found is None or (not synced and not _boundary(lines)):
             if synced:
                 raise ValueError(f"malformed frame at byte {first[0]}")
-            lines.held.clear()
-            lines = _Lines(handle, first[0] + len(first[1].encode("utf-8")) + 1)
+            if found is not None:
+                lines.push(found[1])
+            lines.next()  # go on with the line behind, from what has been read already
             continue
-        synced = True
+        synced, frame = True, found[0]
         if frame[0] >= start:
             yield frame
 
