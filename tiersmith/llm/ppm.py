@@ -136,6 +136,7 @@ class Tables:
     """Complete distributions of the contexts of a block, and how to find a context."""
 
     def __init__(self, g: Grams):
+        self.source = g  # keeps it alive, for its identity is the key under which workers remember the tables
         root = g.pairs.sum(0)
         seen = np.flatnonzero((root > 0) | (g.pairs.sum(1) > 0))
         self.code = np.full(256, len(seen), np.int64)
