@@ -117,3 +117,28 @@ def test_the_stock_grids_largest_cell_is_fitted():
     mine = np.flatnonzero(cell.task_no == 0)[:50]
     mu, _ = gp.predict_rows(fit, fit["x"][mine])
     assert np.abs(mu - cell.y.to_numpy()[mine]).max() < 0.2
+
+
+@pytest.mark.parametrize("totals", [False, True])
+def test_statistics_of_bounded_groups_equal_the_index_form(spark, totals):
+    """Ties, nulls, constant sides, zero truths, a group of one row and one without a usable row."""
+    from tiersmith.operators import stats
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, n in (("a", 60), ("b", 41), ("one", 1), ("none", 2), ("flat", 7)):
+        for i in range(n):
+            mu, truth = (float(x) for x in np.round(rng.normal(size=2), 1))
+            rows.append((g, f"{g}{i}", 2.0 if g == "flat" else mu, None if g == "none" or i == 5 else 0.3 if g == "flat" else abs(mu), 0.0 if i == 3 else truth))
+    df = spark.createDataFrame(rows, "cell_id string, id string, mu double, sigma double, truth double")
+    if totals:
+        df = df.withColumn("mu_total", F.col("mu") + 1).withColumn("truth_total", F.col("truth") + F.col("mu"))
+    want = stats.result_rows(df, ["cell_id"], "id")
+    got = stats.bounded_result_rows(df, ["cell_id"])
+    assert got.columns == want.columns
+    pairs = list(zip(sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect()))))
+    assert len(pairs) == 4
+    for a, b in pairs:
+        assert a[0] == b[0]
+        for x, y in zip(a[1:], b[1:]):
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-9)), (a[0], a, b)

@@ -216,6 +216,24 @@ def score_rows(test: DataFrame, fits: dict[str, dict], low: str | None = None) -
     return spread(test).mapInPandas(job, schema)
 
 
+def score_levels(test: DataFrame, fits: dict[str, dict]) -> DataFrame:
+    """Every test row under the sum of all fits, the levels of a chain of differences, without a shuffle; drops x."""
+    shared = test.sparkSession.sparkContext.broadcast(fits)
+    keep = [f for f in test.schema if f.name != "x"]
+    names = [f.name for f in keep]
+    schema = StructType([*keep, StructField("mu", DoubleType()), StructField("sigma", DoubleType())])
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            levels = [predict_rows(fit, x) for _, fit in sorted(shared.value.items())]
+            yield pdf[names].assign(mu=sum(m for m, _ in levels), sigma=np.sqrt(sum(s * s for _, s in levels)))
+
+    return spread(test).mapInPandas(job, schema)
+
+
 def sum_levels(parts: DataFrame, keys: list[str]) -> DataFrame:
     """A chain of differences: means and variances of independent levels add up."""
     return parts.groupBy(*keys).agg(F.sum("mu").alias("mu"), F.sqrt(F.sum(F.col("sigma") ** 2)).alias("sigma"))

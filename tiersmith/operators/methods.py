@@ -12,7 +12,7 @@ from tiersmith.operators.gp import NOISE, fit_and_predict
 from tiersmith.operators.grid import CELL, cell_counts, expand_cases, identifiers, level_members, membership
 from tiersmith.operators.relational import back_transform, difference_columns, lookup_parameters, stack
 from tiersmith.operators.sampling import nested_split
-from tiersmith.operators.stats import result_rows
+from tiersmith.operators.stats import BOUNDED_ROWS, bounded_result_rows, result_rows
 from tiersmith.session import cut_lineage
 
 METHODS = ("single", "multitask", "multitask_with_target", "delta")
@@ -163,7 +163,8 @@ def run_grid(measurements: DataFrame, key: str, tasks: list[str], params: DataFr
              seeds: list[int], target: int, *, noise: float = NOISE) -> DataFrame:
     """Result rows of all scenarios, seeds and cases: identifiers, times and the 18 statistics."""
     pred = cut_lineage(predict_cells(measurements, key, tasks, params, scenarios, seeds, target, noise=noise))
-    stats = result_rows(back_transform(pred), ["cell_id"], key, stored=True)
+    total = back_transform(pred)  # a cell has ``target`` rows
+    stats = bounded_result_rows(total, ["cell_id"]) if target <= BOUNDED_ROWS else result_rows(total, ["cell_id"], key, stored=True)
     about = ["kind", "seed", "c_ratio", "a_ratio", "shared", "n_secondary", "primary", "last_task"]
     counts = pred.groupBy("cell_id", *about).agg(
         F.max("n_primary").alias("n_primary"), F.max("n_secondary_rows").alias("n_secondary_rows"),

@@ -22,6 +22,8 @@ from tiersmith.session import cut_lineage
 BLOCK_ROWS = 1 << 15
 MAX_BLOCKS = 1024
 MAX_LOCAL = 1 << 20
+#: Groups whose size has such a bound may be gathered in a task.
+BOUNDED_ROWS = 4096
 
 
 def pearson(x: str, y: str) -> Column:
@@ -206,6 +208,57 @@ def result_rows(pred: DataFrame, group: list[str], key: str, *, stored: bool = F
     return join_groups(left, right, group, "left")
 
 
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Average ranks."""
+    values, place, count = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2.0)[place]
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> dict[str, float | None]:
+    """Pearson, Spearman and Kendall (tau-b) of a few thousand values; None where a side is constant."""
+    if len(x) == 0 or (x == x[0]).all() or (y == y[0]).all():
+        return dict.fromkeys(("pearson", "spearman", "kendall"))
+
+    def corr(a: np.ndarray, b: np.ndarray) -> float:
+        a, b = a - a.mean(), b - b.mean()
+        return float((a @ b) / np.sqrt((a @ a) * (b @ b)))
+
+    sx, sy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    tau = float((sx * sy).sum() / np.sqrt((sx * sx).sum() * (sy * sy).sum()))
+    return {"pearson": corr(x, y), "spearman": corr(_ranks(x), _ranks(y)), "kendall": tau}
+
+
+def bounded_result_rows(pred: DataFrame, group: list[str]) -> DataFrame:
+    """``result_rows`` for groups whose size has a bound of at most ``BOUNDED_ROWS``: one grouped pass."""
+    mu, truth = ("mu_total", "truth_total") if "mu_total" in pred.columns else ("mu", "truth")
+    names = [f"{p}_{m}" for m in ("error", "relative", "std") for p in ("mae", "median_ae", "minimum_ae", "maximum_ae")]
+    names += [f"{p}_{m}" for m in ("error", "std") for p in ("pearson", "spearman", "kendall")]
+    rows = pred.select(*group, F.col("mu").alias("__mu"), F.col("truth").alias("__truth"), F.col("sigma").alias("__sigma"),
+                       F.col(mu).alias("__m"), F.col(truth).alias("__t"))
+
+    def job(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = (pdf["__mu"] - pdf["__truth"]).to_numpy(float)
+        keep = ~(np.isnan(e) | np.isnan(pdf["__sigma"].to_numpy(float)))
+        if not keep.any():
+            return pd.DataFrame()
+        if keep.sum() > BOUNDED_ROWS:
+            raise ValueError(f"a group of {keep.sum()} rows; use result_rows")
+        e, sigma, m, t = e[keep], *(pdf.loc[keep, c].to_numpy(float) for c in ("__sigma", "__m", "__t"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            relative = np.where(t != 0, e / t, np.nan)
+        out: dict[str, object] = {g: pdf[g].iloc[0] for g in group}
+        for name, v in (("error", e), ("relative", relative), ("std", sigma)):
+            v = np.abs(v[~np.isnan(v)])
+            found = (v.mean(), np.median(v), v.min(), v.max()) if len(v) else (None,) * 4
+            out |= {f"{p}_{name}": x for p, x in zip(("mae", "median_ae", "minimum_ae", "maximum_ae"), found)}
+        for name, (x, y) in {"error": (m, t), "std": (sigma, np.abs(e))}.items():
+            out |= {f"{p}_{name}": x for p, x in _agreement(x, y).items()}
+        return pd.DataFrame([out])[[*group, *names]]
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pred.select(*group).schema]
+    return rows.groupBy(*group).applyInPandas(job, ", ".join([*kinds, *[f"`{n}` double" for n in names]]))
+
+
 def conformal_scales(calibration: DataFrame, group: list[str], key: str, alpha: float = 0.05) -> DataFrame:
     """Per group the ceil((n+1)(1-alpha))-th smallest score |mu-truth|/sigma; infinite when n is too small."""
     scored = (calibration.withColumn("score", safe_div(F.abs(F.col("mu") - F.col("truth")), F.col("sigma")))

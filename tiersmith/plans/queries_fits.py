@@ -144,11 +144,11 @@ tr{p} as materialized (select b.*, y - m as r from base{p} b join pm{p} using (c
 DELTA_SQL = f"with recursive {RANKED}, {_delta_level('_1', 'P - S1', 0.2, 20)}, {_delta_level('_2', 'S1 - S2', 0.3, 40)}"
 
 
-def _delta(spark, sf):
+def _delta(spark, sf, score=K.score_rows):
     rows = _ranked(spark, sf, 40)
     diff = rows.withColumn("P_S1", F.col("P") - F.col("S1")).withColumn("S1_S2", F.col("S1") - F.col("S2"))
     train = stack([_train(spark, diff, ["P_S1"], [20], "all#1"), _train(spark, diff, ["S1_S2"], [40], "all#2")])
-    return K.score_rows(_rest(spark, sf, rows, 40, ("id", "x", "P", "S2")), K.fit_models(train))
+    return score(_rest(spark, sf, rows, 40, ("id", "x", "P", "S2")), K.fit_models(train))
 
 
 @query("delta_sum", f"""{DELTA_SQL} select id, round(a.mu + b.mu, 5) + 0.0 as mu, round(sqrt(greatest(a.var, 0) + greatest(b.var, 0)), 5) + 0.0 as sigma from sc_1 a join sc_2 b using (id)""")
@@ -159,10 +159,9 @@ def delta_sum(spark, sf):
 @query("gp_delta", f"""{DELTA_SQL} select id, round(a.mu + b.mu + S2, 5) + 0.0 as mu, round(sqrt(greatest(a.var, 0) + greatest(b.var, 0)), 5) + 0.0 as sigma,
  round(P, 5) as truth from sc_1 a join sc_2 b using (id) join mf using (id)""")
 def gp_delta(spark, sf):
-    parts = _delta(spark, sf)
-    total = K.sum_levels(parts, ["id", "P", "S2"])
-    return _rounded(total.withColumn("mu", F.col("mu") + F.col("S2"))).join(
-        total.select("id", F.round("P", 5).alias("truth")), "id")
+    total = _delta(spark, sf, K.score_levels)
+    return total.select("id", *[(F.round(c, 5) + F.lit(0.0)).alias(n) for c, n in ((F.col("mu") + F.col("S2"), "mu"), ("sigma", "sigma"))],
+                        F.round("P", 5).alias("truth"))
 
 
 @query("prior_means", f"""with {RANKED}, g as (select * from (values ('n50', 50), ('n500', 500), ('all', (select count(*) from rk))) t(cell_id, n)),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tiersmith.operators import stats as G
 from tiersmith.operators.analysis import error_against_sigma
-from tiersmith.operators.rows import row_index
 from tiersmith.plans.adapters import PRED_SQL, predictions, r6
 from tiersmith.plans.registry import query
 
@@ -116,7 +115,8 @@ def error_vs_sigma(spark, sf):
 select grp, place, key, truth, mu - sigma as low, mu + sigma as high, round(mu - conformal, 6) as conformal_low,
  round(mu + conformal, 6) as conformal_high from n where place <= 20""")
 def first_intervals(spark, sf):
-    ranked = row_index(_scaled(spark, sf), ["key"], group=["grp"], out="place").where("place <= 20")
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("key")).cast("bigint")  # kept to 20 before the shuffle
+    ranked = _scaled(spark, sf).withColumn("place", place).where("place <= 20")
     mu, s, c = F.col("mu"), F.col("sigma"), F.col("conformal")
     return ranked.select("grp", "place", "key", "truth", (mu - s).alias("low"), (mu + s).alias("high"),
                          r6(mu - c, "conformal_low"), r6(mu + c, "conformal_high"))
