@@ -153,7 +153,9 @@ def test_lines_of_odd_documents(odd_docs, no_docs):
     assert line_dedup.deduplicate(no_docs).count() == 0
 
 
-def test_repeated_chunks_go_and_the_first_stays(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_repeated_chunks_go_and_the_first_stays(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
     rng = random.Random(2)
     run = [" ".join(f"r{rng.randrange(900)}" for _ in range(8)) for _ in range(40)]
     long = " ".join(f"p{k}" for k in range(60))

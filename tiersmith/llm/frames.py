@@ -14,7 +14,7 @@ from tiersmith.session import shared_dir
 
 BLOCK_BYTES = 1 << 20
 #: Rows in an Arrow batch at most: texts are long, and a batch is held by the JVM and by its Python worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -28,6 +28,8 @@ from tiersmith.llm.frames import written
 
 SPREAD = 4
 LONG = 50
+#: Hashes of repeated chunks, and places to remove, are broadcast up to this number (some 50 MB); beyond, they are joined.
+BROADCAST_ROWS = 1_000_000
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -73,12 +75,12 @@ def removals(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), chunks(F.col(text)).alias("c"))
     counting = rows.select("key", "print", F.explode(F.filter("c", lambda x: x["counts"])).alias("c")).select(
         "key", "print", F.col("c.pos").alias("pos"), F.col("c.text").alias("piece"), F.xxhash64("c.text").alias("h"))
-    several = counting.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = written(counting.join(several, "h", "left_semi"), "chunks")
+    several = written(counting.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
+    found = written(counting.join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "h", "left_semi"), "chunks")
     # written, so that the join is one that adaptive execution can split at a chunk with very many occurrences
     first = written(found.groupBy("h", "piece").agg(F.min(_order("key")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     gone = found.join(first, ["h", "piece"]).where(~_order("key").eqNullSafe(F.col("first")))
-    return gone.groupBy("key", "print").agg(F.collect_set("pos").alias("gone"))
+    return written(gone.groupBy("key", "print").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,7 +88,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # Own names for everything that is not the caller's, so that no column can clash.
     taken = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"),
                         F.col(text).alias("whole"), F.xxhash64(text).alias("print"))
-    lost = removals(docs, key, text).toDF("lost_key", "lost_print", "gone").hint("shuffle_hash")
+    lost = removals(docs, key, text).toDF("lost_key", "lost_print", "gone")
+    places = lost.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]  # no fewer than its rows
+    lost = F.broadcast(lost) if places <= BROADCAST_ROWS else lost.hint("shuffle_hash")
     joined = taken.join(lost, F.col("key").eqNullSafe(F.col("lost_key")) & (F.col("print") == F.col("lost_print")), "left")
     parts = F.when(F.col("gone").isNotNull(), chunks(F.col("whole")))
     left = F.transform(parts, lambda c: F.struct(F.array_contains("gone", c["pos"]).alias("out"), c["lines"].alias("lines"), c["text"].alias("text")))
