@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, small: bool = False) -> DataFrame:
     """Write a table into the folder that driver and executors share and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what
-    came before, and several readers share one computation.
+    came before, and several readers share one computation. ``small`` rows made
+    by a scan are first gathered into files of the size that the session advises.
     """
+    df = df.hint("rebalance") if small else df
     bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -255,7 +255,7 @@ def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, items) of some documents; their ids are broadcast if they are few enough."""
     ids = written(ids.toDF(key).distinct(), "verify")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return written(shingle_rows(docs.select(key, text).join(wanted, key, "left_semi"), key, text), "sets")
+    return written(shingle_rows(docs.select(key, text).join(wanted, key, "left_semi"), key, text), "sets", small=True)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component_id is the smallest key that links lead to, kept says that it is the row's own.
     """
     docs = docs.select(key, text)
-    known = written(sketches(docs, key, text), "sketches")
+    known = written(sketches(docs, key, text), "sketches", small=True)
     classes = written(known.where("id is not null and n > 0").groupBy("print").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes)
