@@ -116,8 +116,9 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -139,13 +140,14 @@ class ChunkEncoder:
         rows = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        if len(self.parts) > 2 * REMEMBERED:
+        if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        fresh = [p for p in set().union(*rows) if p not in self.known]
+        held = self.known
         split, other = [], []
-        for p in fresh:
-            m = PLAIN.fullmatch(p)
-            if m:
+        for p in {p for r in rows for p in r if p not in held}:
+            if p.isascii() and p.isalpha():
+                split.append((p, p.lower(), ""))
+            elif m := PLAIN.fullmatch(p):
                 split.append((p, m[1].lower(), m[2]))
             else:
                 other.append(p)
