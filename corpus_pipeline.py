@@ -24,9 +24,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shorten texts by chunks that stand elsewhere before; a document of which nothing is left goes."""
+    """Shorten texts by passages and chunks that stand elsewhere before; a document of which nothing is left goes."""
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    done = line_dedup.deduplicate(whole).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    done = line_dedup.deduplicate_passages(whole).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

@@ -178,6 +178,36 @@ def test_line_dedup_plan_is_native(odd_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_repeated_passages_of_any_layout_go_whole(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shapes = [[30, 30], [20] * 3, [15] * 4, [10] * 6, [20] * 6, [20] * 8, [5] * 12, [60, 5, 5], [5, 5, 60], [1] * 51, [40, 0, 0, 11], [60, 0, 60], [0, 70, 0, 3, 0, 60]]
+    rows, passages = [], []
+    for k, shape in enumerate(shapes):
+        passages.append([text(n) for n in shape])
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, [text(rng.choice([3, 12])) for _ in range(4)], passages[-1], [text(rng.choice([3, 12])) for _ in range(4)]))
+    few = [text(50)]  # one line of no more than 50 words stays
+    rows += [(100, [text(60)], few, [text(60)]), (101, [text(60)], few, [text(60)])]
+    again = text(10)
+    whole = {i: "\n".join(a + b + c) for i, a, b, c in rows} | {200: "\n".join([again] * 20), 201: None, 202: ""}
+    df = spark.createDataFrame(list(whole.items()) + [(0, whole[0])], "doc_id long, text string").repartition(3)
+    done = line_dedup.deduplicate_passages(df)
+    got = {r.doc_id: r for r in done.collect()}
+    assert done.count() == len(whole) + 1 and "Python" not in done._jdf.queryExecution().toString()
+    for k, passage in enumerate(passages):
+        _, before, _, behind = rows[2 * k + 1]
+        inner = range(min(i for i, x in enumerate(passage) if x), max(i for i, x in enumerate(passage) if x) + 1)
+        want = before + [x for i, x in enumerate(passage) if i not in inner] + behind
+        # blank lines at an edge of a passage may go with it
+        assert got[2 * k].text == whole[2 * k] and [x for x in got[2 * k + 1].text.split("\n") if x] == [x for x in want if x], shapes[k]
+        assert got[2 * k + 1].n_removed >= len(inner) and got[2 * k + 1].n_lines == whole[2 * k + 1].count("\n") + 1
+    assert all(got[i].text == whole[i] for i in (100, 101, 201, 202))
+    assert got[200].text == "\n".join([again] * 6) and got[200].n_removed == 14  # the first window stays whole
+
+
 # BPE
 
 @pytest.fixture(scope="module")
