@@ -68,6 +68,21 @@ def test_a_family_with_one_language_and_unknown_codes(spark):
     assert got.where("lang <> lang_pred").count() == 0
 
 
+def test_a_language_of_copies_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    rng = random.Random(5)
+    words = {"en": "the of and that with", "fr": "les des une dans avec", "ru": "это как так что для", "tr": "bir için daha olan gibi"}
+    text = lambda lang: " ".join(rng.choice(words[lang].split()) for _ in range(12))
+    rows = [(lang, t) for lang in ("ru", "tr") for t in [text(lang)] * 3000 + [text(lang) for _ in range(5)]]
+    rows += [(lang, text(lang)) for lang in ("en", "fr") for _ in range(300)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(6)
+    sizes, separate = [], language_id.separate
+    monkeypatch.setattr(language_id, "separate", lambda x, sign: sizes.append(len(x)) or separate(x, sign))
+    model = language_id.fit(df, per_language=30)
+    assert model["langs"] == ["en", "fr", "ru", "tr"] and set(sizes) == {4 * (30 + 30 + 6 + 6)}
+    got = language_id.predict(df, model, keep=("lang",))
+    assert got.where("lang <> lang_pred").count() == 0
+
+
 # quality
 
 def test_quality_of_held_out_documents(spark, docs):

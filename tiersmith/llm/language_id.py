@@ -2,9 +2,10 @@
 
 A linear classifier over hashed byte n-grams first predicts the language
 family; inside the family, one linear support vector machine for each pair of
-languages votes. Both levels are fitted on a bounded sample of labelled rows
-(``per_language``, ``total_rows``) drawn by the hash of the text; prediction
-reads every byte of every row.
+languages votes. Both levels are fitted on a bounded sample of distinct
+labelled texts (``per_language``, ``total_rows``), those of the smallest hashes
+in each language, so that every labelled language is learned however often its
+texts are repeated; prediction reads every byte of every row.
 
 Rows without text or without a letter are ``und`` with score 0, and so is
 everything if no row carries a label. A row shorter than three bytes has the
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.frames import bound_batches, row_blocks, text_bytes
+from tiersmith.llm.frames import bound_batches, row_blocks, text_bytes, written
 
 # Language families of ISO 639-1 codes. Codes outside form a family of their own letter "other".
 FAMILIES = {
@@ -121,38 +122,55 @@ def separate(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 
 def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gram frequencies of each text and of three short pieces of it, so that short texts are known too."""
+    """Gram frequencies of each text and of three short pieces of it, so that short texts are known too.
+
+    A text counts once in a task.
+    """
+    seen = set()
     for batch in batches:
-        langs, rows = [], []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            raw = text.encode()
+        langs, prints, rows = [], [], []
+        texts = batch.column("text")
+        for i, (lang, h) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist())):
+            if (lang, h) in seen:
+                continue
+            seen.add((lang, h))
+            raw = texts[i].as_py().encode()
             pieces = [raw] + [raw[len(raw) * k // 4:len(raw) * k // 4 + 30 * k] for k in (1, 2, 3)]
-            for piece in pieces:
-                langs.append(lang)
-                rows.append(counted(piece).astype(np.float16).tobytes())
-        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "x"])
+            langs.append(lang)
+            prints.append(h)
+            rows.append(b"".join(counted(piece).astype(np.float16).tobytes() for piece in pieces))
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(prints, pa.int64()), pa.array(rows, pa.binary())], names=["lang", "h", "x"])
+
+
+def _by_language(values: dict[str, int]) -> Column:
+    return F.create_map(*[v for k, n in values.items() for v in (F.lit(k), F.lit(n).cast("long"))])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 200,
         total_rows: int = 4000) -> dict:
-    """Weights of both levels from at most ``per_language`` rows of a language and ``total_rows`` in all.
+    """Weights of both levels from at most ``per_language`` texts of a language and ``total_rows`` in all, but at least 20 a language.
 
-    The sample is every row whose text hash is below a bound set from the
-    exact count of the language, so that it is drawn without ranking rows.
+    The sample of a language is its distinct texts of the smallest hashes. A
+    bound from the exact number of them leaves about twice as many hashes as are
+    wanted, and at least the smallest one, of which the last wanted is the cut.
     """
     bound_batches(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
-        F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    distinct = written(labelled.select("lang", "h").distinct(), "texts")
+    counts = {r["lang"]: (r["n"], r["least"]) for r in distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}
     if not counts:
         return {"langs": []}
     each = max(20, min(per_language, total_rows // len(counts)))
-    spread = 1_000_000
-    bound = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, each / n) * spread))])
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(spread)) < bound[F.col("lang")])
-    got = drawn.mapInArrow(samples, "lang string, x binary").toArrow()
-    names = np.array(got.column("lang").to_pylist(), dtype=object)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(len(names), BUCKETS).astype(np.float32)
+    below = {k: max(least, min((1 << 63) - 1, (1 << 64) * (2 * each + 40) // n - (1 << 63))) for k, (n, least) in counts.items()}
+    hashes = distinct.where(F.col("h") <= _by_language(below)[F.col("lang")])
+    last = F.array_max(F.slice(F.sort_array(F.collect_list("h")), 1, each))
+    cuts = {r["lang"]: r["last"] for r in hashes.groupBy("lang").agg(last.alias("last")).collect()}
+    drawn = labelled.where(F.col("h") <= _by_language(cuts)[F.col("lang")])
+    once = drawn.mapInArrow(samples, "lang string, h long, x binary").groupBy("lang", "h").agg(F.first("x").alias("x"))
+    got = once.orderBy("lang", "h").select("lang", "x").toArrow()
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    names = np.repeat(np.array(got.column("lang").to_pylist(), dtype=object), len(x) // len(got))
     langs = sorted(set(names))
     families = sorted({family_of(v) for v in langs})
     members = {f: [v for v in langs if family_of(v) == f] for f in families}
