@@ -188,20 +188,30 @@ def campaign(df: DataFrame, key: str, primary: str, secondaries: list[str], seed
 
 
 def search_study(rows: DataFrame, sizes: list[int], attempts: int, limit: int, fresh: DataFrame,
-                 cap: float = 1e3, **options) -> DataFrame:
+                 cap: float = 1e3, most: int | None = None, **options) -> DataFrame:
     """Accuracy of searches on small sets: for each task and size the first ``limit`` accepted
     attempts, each judged on fresh rows with the variance of either estimate.
 
-    ``rows`` and ``fresh`` are (task, key, x, y). Attempt number = seed.
+    ``rows`` and ``fresh`` are (task, key, x, y). Attempt number = seed. Further
+    ``attempts`` are made, twice as many each time, for whatever has too few
+    accepted ones, up to ``most`` (default: 25 per accepted one). What is short
+    even then has a row without a seed that says how many are ``missing``.
     """
-    tries = rows.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    most = max(attempts, 25 * limit) if most is None else most
+    wanted = {f"{r['task']}#{n}": limit for r in rows.select("task").distinct().collect() for n in sizes}
     place = F.row_number().over(Window.partitionBy("task", "seed").orderBy(order_hash(F.col("key"), F.col("seed")), "key"))
-    ranked = tries.withColumn("place", place)
-    sets = stack([ranked.where(F.col("place") <= n).withColumn("task", F.concat("task", F.lit(f"#{n}"))).drop("place")
-                  for n in sizes])
-    log = search(sets, cap=cap, **options).where("converged")
+    logs, tried = [], 0
+    while not logs or (tried < most and any(wanted.values())):
+        until = min(most, tried + attempts)
+        ranked = rows.withColumn("seed", F.explode(F.sequence(F.lit(tried + 1), F.lit(until)))).withColumn("place", place)
+        sets = stack([ranked.where(F.col("place") <= n).withColumn("task", F.concat("task", F.lit(f"#{n}"))).drop("place")
+                      for n in sizes]).where(F.col("task").isin([t for t, short in wanted.items() if short]))
+        logs.append(cut_lineage(search(sets, cap=cap, **options).where("converged")))
+        for r in logs[-1].groupBy("task").count().collect():
+            wanted[r["task"]] = max(0, wanted[r["task"]] - r["count"])
+        tried, attempts = until, 2 * attempts
     first = F.row_number().over(Window.partitionBy("task").orderBy("seed"))
-    kept = cut_lineage(log.withColumn("found", first).where(F.col("found") <= limit))
+    kept = cut_lineage(stack(logs).withColumn("found", first).where(F.col("found") <= limit))
     fresh = cut_lineage(fresh)
     halves = Window.partitionBy("task", "seed").orderBy(order_hash(F.col("key"), F.col("seed")), "key")
     fresh_rows = (kept.select("task", "seed", "lengthscale")
@@ -218,5 +228,10 @@ def search_study(rows: DataFrame, sizes: list[int], attempts: int, limit: int, f
                .join(judged.select("task", "seed", F.col("theta").alias("variance"), F.col("score").alias("mae_mae")),
                      ["task", "seed", "variance"]))
     name = F.split("task", "#")
-    return out.select(name[0].alias("task"), name[1].cast("int").alias("n"), "seed", "variance", "variance_mle",
-                      "lengthscale", "objective_mle", "objective_mae", "mle_mae", "mae_mae")
+    out = out.select(name[0].alias("task"), name[1].cast("int").alias("n"), "seed", "variance", "variance_mle",
+                     "lengthscale", "objective_mle", "objective_mae", "mle_mae", "mae_mae", F.lit(None).cast("int").alias("missing"))
+    gaps = [(*t.rsplit("#", 1), short) for t, short in wanted.items() if short]
+    if not gaps:
+        return out
+    lost = rows.sparkSession.createDataFrame([(t, int(n), short) for t, n, short in gaps], "task string, n int, missing int")
+    return out.unionByName(lost, allowMissingColumns=True)

@@ -7,6 +7,7 @@ Gauss-Jordan step per iteration on the matrix held as a list of rows.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tiersmith import schemas
 from tiersmith.operators import gp as K, search as H, stats as G
 from tiersmith.operators.analysis import mean_over_runs, with_cost
-from tiersmith.operators.methods import Scenario, run_grid, single
+from tiersmith.operators.methods import DEFAULT_A, Scenario, run_grid, single
 from tiersmith.operators.relational import stack
 from tiersmith.operators.rows import row_index
 from tiersmith.operators.sampling import augmented_draw, nested_split, ranked_sample
@@ -182,8 +183,8 @@ gls as (select c, n, logdet, list_sum(list_transform(m, lambda r: r[1])) / list_
 res as (select gls.c, any_value(l) as theta, any_value(t) as task, any_value(n) as n, any_value(logdet) as logdet, any_value(mu) as mu, sum((y - mu) * (m[i][1] - mu * m[i][2])) / any_value(n) as var from gls join tr using (c) group by gls.c)"""
 
 
-def _candidates(spark, sf):
-    rows = _ranked(spark, sf, 30)
+def _candidates(spark, sf, n=30):
+    rows = _ranked(spark, sf, n)
     long = rows.select(F.lit(1).alias("seed"), F.col("id").alias("key"), "x", F.explode(F.array(*[
         F.struct(F.lit(t).alias("task"), F.col(t).alias("y")) for t in ("P", "S1")])).alias("e")).select("seed", "key", "x", "e.*")
     cands = long.select("task", "seed").distinct().withColumn("theta", F.explode(F.array(*[F.lit(v) for v in LENGTHS])))
@@ -200,6 +201,22 @@ def nlml_grid(spark, sf):
     return _candidates(spark, sf).select("task", "theta", r6("score", "score"))
 
 
+#: Rows that studies reserve for the search of hyperparameters.
+SEARCH_ROWS = 150
+
+
+@query("gls_moments_stock")
+def gls_moments_stock(spark, sf):
+    """The moments on all rows of a search."""
+    return _candidates(spark, sf, SEARCH_ROWS).select("task", "theta", r6("mu", "mu"), r6("var", "var"))
+
+
+@query("nlml_grid_stock")
+def nlml_grid_stock(spark, sf):
+    """The likelihoods on all rows of a search."""
+    return _candidates(spark, sf, SEARCH_ROWS).select("task", "theta", r6("score", "score"))
+
+
 CURVE_CORES, CURVE_SEEDS, CURVE_TARGET = (5, 10, 20, 40), [1, 2], 320
 CURVE_SQL = f"""with recursive {MF_SQL}, seeds as (select unnest({CURVE_SEEDS}) as seed),
 rk as materialized (select id, x, P, seed, row_number() over (partition by seed order by md5(concat(id, '-', seed)), id) as rank from mf, seeds qualify rank <= {CURVE_TARGET + 40}),
@@ -244,10 +261,26 @@ COMPARED = [
              parameters=("P_S1", "S2_S1_P"))]
 
 
+STOCK_CORES, STOCK_SEEDS = (5, 10, 20, 40, 80, 160, 320), list(range(6))
+#: The scenarios at the core sets of studies; multi-task sets and chains with all their additional sets.
+STOCK = [replace(s, cores=STOCK_CORES, a_ratios=s.a_ratios if s.method == "delta" and len(s.secondaries) == 1 else DEFAULT_A)
+         if s.secondaries else replace(s, cores=(*STOCK_CORES, 640, 1280, 2560)) for s in COMPARED]
+
+
 @query("method_grid")
 def method_grid(spark, sf):
     """All methods over one grid: the run-result table."""
-    grid = run_grid(measurements(spark, sf), "id", TASKS, params(spark), COMPARED, [1, 2], 160)
+    return _method_grid(spark, sf, COMPARED, [1, 2], 160)
+
+
+@query("method_grid_stock")
+def method_grid_stock(spark, sf):
+    """The grid at the size that studies run it."""
+    return _method_grid(spark, sf, STOCK, STOCK_SEEDS, CURVE_TARGET)
+
+
+def _method_grid(spark, sf, scenarios, seeds, target):
+    grid = run_grid(measurements(spark, sf), "id", TASKS, params(spark), scenarios, seeds, target)
     numbers = [f.name for f in grid.schema if f.dataType.simpleString() == "double"
                and f.name not in ("train_time", "test_time", "task_fractions")]
     return grid.select("levels", "lowest", "method", "datasets", "task_fractions", "high_level", "low_level", "target", "seed",
@@ -308,9 +341,18 @@ def task_correlations(spark, sf):
 @query("search_campaign")
 def search_campaign(spark, sf):
     """Hyperparameters of every derived task and seed on a reserved sample."""
-    n = 60
+    return _campaign(spark, sf, 60, [1, 2, 3], candidates=12, rounds=2)
+
+
+@query("search_campaign_stock")
+def search_campaign_stock(spark, sf):
+    """The campaign at the size that studies run it: 150 rows and 100 seeds, the search's own grid."""
+    return _campaign(spark, sf, SEARCH_ROWS, list(range(1, 101)))
+
+
+def _campaign(spark, sf, n, seeds, **options):
     rows = cut_lineage(ranked_sample(measurements(spark, sf), "id", n, [1]).drop("seed", "rank"))
-    log = H.campaign(rows, "id", "P", ["S1", "S2"], [1, 2, 3], candidates=12, rounds=2)
+    log = H.campaign(rows, "id", "P", ["S1", "S2"], seeds, **options)
     return log.select("task", "seed", *[r6(c, c) for c in ("variance", "variance_mle", "lengthscale", "rho",
                                                            "objective_mle", "objective_mae")], "converged", "reason")
 
@@ -318,11 +360,20 @@ def search_campaign(spark, sf):
 @query("search_study")
 def search_study(spark, sf):
     """Which estimate of the variance predicts better, by size of the search set."""
-    rows = cut_lineage(ranked_sample(measurements(spark, sf), "id", 200, [1]).drop("seed"))
+    return _search_study(spark, sf, 80, 200, [12, 24], 6, 4, candidates=10, rounds=2)
+
+
+@query("search_study_stock")
+def search_study_stock(spark, sf):
+    """The study at the size that it is run at: five sizes up to all rows of a search, 20 accepted searches of each."""
+    return _search_study(spark, sf, SEARCH_ROWS, 2 * SEARCH_ROWS, [10, 45, 80, 115, 150], 40, 20)
+
+
+def _search_study(spark, sf, n, total, sizes, attempts, limit, **options):
+    rows = cut_lineage(ranked_sample(measurements(spark, sf), "id", total, [1]).drop("seed"))
     long = rows.select("rank", F.lit("P").alias("task"), F.col("id").alias("key"), "x", F.col("P").alias("y"))
-    study = H.search_study(long.where("rank <= 80").drop("rank"), [12, 24], 6, 4, long.where("rank > 80").drop("rank"),
-                           candidates=10, rounds=2)
-    return study.select("task", "n", "seed", *[r6(c, c) for c in ("variance", "variance_mle", "lengthscale", "mle_mae", "mae_mae")])
+    study = H.search_study(long.where(F.col("rank") <= n).drop("rank"), sizes, attempts, limit, long.where(F.col("rank") > n).drop("rank"), **options)
+    return study.select("task", "n", "seed", *[r6(c, c) for c in ("variance", "variance_mle", "lengthscale", "mle_mae", "mae_mae")], "missing")
 
 
 CALIB_SQL = f"""with recursive {MF_SQL}, rk as materialized (select *, row_number() over (order by md5(concat(id, '-1')), id) as r0 from mf qualify r0 <= 1560),
@@ -368,10 +419,20 @@ def calibration_run(spark, sf):
 @query("recorded_runs")
 def recorded_runs(spark, sf):
     """Result rows written per (target, seed), read back by one pruned scan, averaged and priced."""
+    return _recorded(spark, sf, (5, 10, 20), [1, 2, 3], 160)
+
+
+@query("recorded_runs_stock")
+def recorded_runs_stock(spark, sf):
+    """The same with the core sets and seeds of studies."""
+    return _recorded(spark, sf, STOCK_CORES, STOCK_SEEDS, CURVE_TARGET)
+
+
+def _recorded(spark, sf, cores, seeds, target):
     path = f"{shared_dir(spark).rstrip('/')}/recorded-{uuid.uuid4().hex}"
-    grid = run_grid(measurements(spark, sf), "id", ["P"], params(spark), [single("curve", "P", (5, 10, 20))], [1, 2, 3], 160)
+    grid = run_grid(measurements(spark, sf), "id", ["P"], params(spark), [single("curve", "P", cores)], seeds, target)
     tables.write_runs(grid, path, schemas.RUNS)
-    back = tables.read_runs(spark, path, schemas.RUNS, seeds=[1, 3], target=160)
+    back = tables.read_runs(spark, path, schemas.RUNS, seeds=[1, 3], target=target)
     means = with_cost(mean_over_runs(back, ["mae_error", "spearman_error"]))
     return means.select("method", "high_level", "n_runs", r6("mae_error", "mae_error"), r6("spearman_error", "spearman_error"), "cost")
 
@@ -379,10 +440,20 @@ def recorded_runs(spark, sf):
 @query("extended_curve")
 def extended_curve(spark, sf):
     """Single-task sets beyond the matched rows: part of the pool from each stratum."""
+    return _extended(spark, sf, 600, 1200, (80, 160, 320, 640))
+
+
+@query("extended_curve_stock")
+def extended_curve_stock(spark, sf):
+    """The same up to the 2560 rows of studies."""
+    return _extended(spark, sf, 1440, 2880, (80, 160, 320, 640, 1280, 2560))
+
+
+def _extended(spark, sf, n, m, cores):
     mf = measurements(spark, sf)
     total = mf.count()
-    pool = cut_lineage(augmented_draw(row_index(mf, ["id"], n=total), "id", mf.where("P > 3").select("id"), total // 2, 600, 1200, 1))
-    grid = run_grid(pool.select("id", "x", "P"), "id", ["P"], params(spark), [single("curve", "P", (80, 160, 320, 640))], [1], 320)
+    pool = cut_lineage(augmented_draw(row_index(mf, ["id"], n=total), "id", mf.where("P > 3").select("id"), total // 2, n, m, 1))
+    grid = run_grid(pool.select("id", "x", "P"), "id", ["P"], params(spark), [single("curve", "P", cores)], [1], 320)
     return with_cost(grid).select("high_level", r6("mae_error", "mae_error"), r6("kendall_error", "kendall_error"), "cost")
 
 
@@ -407,7 +478,17 @@ select cast(seed as integer) as seed, cast(core as bigint) as high_level, cast(2
  round(mae, 6) as mae_error, round(worst, 6) as maximum_ae_relative, round(spread, 6) as mae_std, round(sp, 6) as spearman_error from cells join st using (c)""")
 def multitask_grid(spark, sf):
     """Three-task fits over a grid of core and additional sets."""
+    return _three_tasks(spark, sf, (10, 20), (0.0, 2.0), [1, 2], 140)
+
+
+@query("multitask_grid_stock")
+def multitask_grid_stock(spark, sf):
+    """The same with the core sets, additional sets and seeds of studies."""
+    return _three_tasks(spark, sf, STOCK_CORES, DEFAULT_A, STOCK_SEEDS, CURVE_TARGET)
+
+
+def _three_tasks(spark, sf, cores, a_ratios, seeds, target):
     grid = run_grid(measurements(spark, sf), "id", TASKS, params(spark),
-                    [Scenario("three", "multitask", "P", ("S1", "S2"), (10, 20), (0.0, 1.0), (0.0, 2.0))], [1, 2], 140)
+                    [Scenario("three", "multitask", "P", ("S1", "S2"), cores, (0.0, 1.0), a_ratios)], seeds, target)
     return grid.select("seed", "high_level", "low_level", "datasets",
                        *[r6(c, c) for c in ("mae_error", "maximum_ae_relative", "mae_std", "spearman_error")])
