@@ -59,6 +59,25 @@ def test_repeated_branches_of_a_host_are_removed(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_repeated_branches_inside_article_and_main_are_removed(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(30))
+    rows, want = [], {}
+    for main in ("main", "article"):
+        for k in range(40):
+            own = [text(), text()]
+            want[f"{main}{k}"] = "\n".join(own)
+            rows.append((f"{main}{k}", f"http://{main}.example.com/{k}", f"<html><body><{main}><div><p>{own[0]}</p><p>Pass this on</p><p>{own[1]}</p></div>"
+                         f"<div class='x1'><span>Written by</span> author {k % 4}</div><div class='x2'><p>Read more</p><ul><li>one<li>two</ul></div></{main}></body></html>"))
+    for k in range(30):  # three near copies of each page: their paragraphs are the text
+        if k % 3 == 0:
+            own = [text() for _ in range(5)]
+        want[f"c{k}"] = "\n".join([*own, f"seen {k}"])
+        rows.append((f"c{k}", f"http://copies.example.com/{k}", "<article>" + "".join(f"<p>{x}</p>" for x in own) + f"<p>seen {k}</p></article>"))
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
 def brute(rows, every=20, k=20):
     codes = {}
     for i, v in rows:

@@ -8,11 +8,17 @@ entropy of the pages over which each of its texts is spread, 1 - sum k/m log_m k
 An inner node with l children has importance (1-g^l) presentation + g^l content,
 a leaf its content alone. A branch is noise if its importance and that of all
 below it is low, which holds when its whole text comes back on page after page;
-such branches are removed from each page, except inside ``article`` and ``main``.
+such branches are removed from each page.
+
+Inside ``article`` and ``main`` a branch is noise only if its content is of much
+lower importance, as pages of a host in few near copies repeat their paragraphs
+too. An element whose own text stands on more than half of a host's pages goes
+wherever it is, also where it shares its node with elements of other texts.
+``article`` and ``main`` themselves stay.
 
 Branches whose element or class says what they are (navigation, adverts,
-comments and so on) are removed as well, so that hosts with few pages come out
-right. If the style tree would leave nothing of a page, it is not applied to it.
+comments and so on, by a fixed list) are removed as well, so that hosts with few
+pages come out right and menus and adverts that differ on every page go. If the style tree would leave nothing of a page, it is not applied to it.
 
 Exact copies of a page count once in a host's tree. Counts are pre-aggregated;
 a host with a third of all pages is never gathered. Null and empty pages have
@@ -66,6 +72,10 @@ DAMPING = 0.9
 LEAST_PAGES = 3
 #: A text that stands on m**0.2 of m pages is at this importance.
 LEAST_IMPORTANCE = 0.8
+#: The same inside article and main: a text that stands on m**0.5 of m pages.
+LEAST_INSIDE = 0.5
+#: Mark the noisy nodes of inside, and the pairs of a node and a text, in one table with the other noisy nodes.
+INSIDE, REPEATED = 0x3C6EF372FE94F82B, 0x1F83D9ABFB41BD6B
 #: Noisy nodes are broadcast up to this number (some 100 MB); beyond, they are joined by host.
 BROADCAST_NODES = 1_000_000
 
@@ -84,10 +94,10 @@ def _signed(x: int) -> int:
 class Element:
     """An open block element: its node in the tree and what has been seen below it."""
 
-    __slots__ = ("name", "node", "named", "inside", "low", "content", "style", "children")
+    __slots__ = ("name", "node", "named", "inside", "low", "first", "content", "style", "children")
 
-    def __init__(self, name: str, node: int, named: bool, inside: bool, low: bool):
-        self.name, self.node, self.named, self.inside, self.low = name, node, named, inside, low
+    def __init__(self, name: str, node: int, named: bool, inside: bool, low: bool, first: int):
+        self.name, self.node, self.named, self.inside, self.low, self.first = name, node, named, inside, low, first
         self.content = self.style = self.children = 0
 
 
@@ -108,7 +118,7 @@ def parse(page: str, noisy: frozenset[int] = frozenset()) -> tuple[list[tuple[st
     """Blocks of text outside named noise, each with whether it lies in a noisy node; nodes (path, content, style, children)."""
     blocks: list[tuple[str, bool]] = []
     nodes: list[tuple[int, int, int, int]] = []
-    root = Element("", 1, False, False, False)
+    root = Element("", 1, False, False, False, 0)
     stack, text = [root], []
 
     def flush() -> None:
@@ -126,6 +136,8 @@ def parse(page: str, noisy: frozenset[int] = frozenset()) -> tuple[list[tuple[st
         while len(stack) > depth:
             done = stack.pop()
             nodes.append((done.node, done.content, done.style, done.children))
+            if noisy and done.name not in MAIN_TAGS and _signed(done.node ^ done.content ^ REPEATED) in noisy:
+                blocks[done.first:] = [(line, True) for line, _ in blocks[done.first:]]
             if done.content:
                 stack[-1].content = (stack[-1].content * _STEP + done.content) & _MASK
 
@@ -172,7 +184,8 @@ def parse(page: str, noisy: frozenset[int] = frozenset()) -> tuple[list[tuple[st
         top.style, top.children = (top.style * _STEP + sign) & _MASK, top.children + 1
         node = ((top.node ^ sign) * _STEP + 1) & _MASK
         named = top.named or _names_noise(name, attrs, top.inside)
-        stack.append(Element(name, node, named, inside, top.low or (not inside and _signed(node) in noisy)))
+        low = top.low or (name not in MAIN_TAGS and _signed(node ^ INSIDE if inside else node) in noisy)
+        stack.append(Element(name, node, named, inside, low, len(blocks)))
     if at < len(page):
         text.append(html.unescape(page[at:]))
     close(1)
@@ -191,7 +204,7 @@ def host_of(url: Column) -> Column:
 
 
 def noisy_nodes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, node): nodes of the site style trees whose importance is low."""
+    """(host, node): nodes of the site style trees whose importance is low, those that are noise inside too, and repeated texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
@@ -211,7 +224,8 @@ def noisy_nodes(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
     seen = taken.mapInArrow(run, "host string, whole long, node long, content long, style long, children long").distinct()
     pairs = seen.groupBy("host", "node", "content", "style").agg(F.count("*").alias("k"), F.sum("children").alias("children"))
     # contents and styles of a node, counted in one pass each over the pre-aggregated rows
-    texts = pairs.groupBy("host", "node", "content").agg(F.sum("k").alias("k"), F.sum("children").alias("children")).groupBy("host", "node").agg(
+    by_text = pairs.groupBy("host", "node", "content").agg(F.sum("k").alias("k"), F.sum("children").alias("children"))
+    texts = by_text.groupBy("host", "node").agg(
         F.sum("k").alias("m"), F.sum(F.col("k") * F.ln("k")).alias("text_sum"), F.sum("children").alias("children"))
     styles = pairs.groupBy("host", "node", "style").agg(F.sum("k").alias("k")).groupBy("host", "node").agg(
         F.sum(F.col("k") * F.ln("k")).alias("style_sum"))
@@ -220,7 +234,11 @@ def noisy_nodes(pages: DataFrame, url: str = "url", page: str = "html") -> DataF
     presentation = 1 - F.col("style_sum") / (F.col("m") * F.ln("m"))
     damped = F.pow(F.lit(DAMPING), F.col("children") / F.col("m"))
     low = (content < LEAST_IMPORTANCE) & ((1 - damped) * presentation + damped * content < LEAST_IMPORTANCE)
-    return both.where(low).select("host", "node")
+    inside = both.where(low & (content < LEAST_INSIDE)).select("host", F.col("node").bitwiseXOR(F.lit(INSIDE)).alias("node"))
+    sizes = seen.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    repeated = by_text.where(F.col("k") >= LEAST_PAGES).join(sizes, "host").where(2 * F.col("k") > F.col("pages")).select(
+        "host", F.col("node").bitwiseXOR(F.col("content")).bitwiseXOR(F.lit(REPEATED)).alias("node"))
+    return both.where(low).select("host", "node").unionByName(inside).unionByName(repeated)
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
