@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, site_tree, token_store, top_k
+from tiersmith.llm import (bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, quality_rules, site_tree, token_store,
+                           top_k)
 from tiersmith.llm.frames import remainder, table
 from tiersmith.session import shared_dir
 
@@ -107,3 +108,12 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_exact_top_k"] = top_k.SQL
+
+
+@register
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules.clean(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op13_quality_rules"] = quality_rules.SQL
