@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersmith.llm import (bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, quality_rules, site_tree, token_store,
-                           top_k)
+                           top_k, whitening)
 from tiersmith.llm.frames import remainder, table
 from tiersmith.session import shared_dir
 
@@ -117,3 +117,8 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_quality_rules"] = quality_rules.SQL
+
+
+@register
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
