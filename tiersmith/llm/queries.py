@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersmith.llm import (bpe, decontaminate, language_id, line_dedup, minhash, ppm, quality, quality_rules, site_tree, token_store,
-                           top_k, whitening)
+from tiersmith.llm import (bpe, conversations, decontaminate, language_id, line_dedup, minhash, ppm, quality, quality_rules, site_tree,
+                           token_store, top_k, whitening)
 from tiersmith.llm.frames import remainder, table
 from tiersmith.session import shared_dir
 
@@ -122,3 +124,48 @@ SQL["op13_quality_rules"] = quality_rules.SQL
 @register
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, stripped of their marks, repeated or given to the user, by the hash of their place."""
+    space = F.lit(" ")
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    text = F.coalesce("text", space)
+    hurt = rows.withColumn("harm", remainder(place, 20)).where("harm <> 0").select(
+        "conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(F.col("harm") == 3, 2).otherwise(1).alias("times"))
+    return hurt.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+
+
+def lines_sha256(turns: DataFrame) -> DataFrame:
+    """(conv_id, repaired_sha256) of ``role:text`` lines, a conversation's turns lying together in order; nothing is held but a hash state."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = (), hashlib.sha256()
+        for batch in batches:
+            ids, sums = [], []
+            for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if now != (c,):
+                    if now:
+                        ids.append(now[0])
+                        sums.append(state.hexdigest())
+                    now, state = (c,), hashlib.sha256()
+                else:
+                    state.update(b"\n")
+                state.update(f"{role}:{text}".encode())
+            yield pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(sums, pa.string())], names=["id", "repaired_sha256"])
+            kind = batch.schema.field(0).type
+        if now:
+            yield pa.record_batch([pa.array([now[0]], kind), pa.array([state.hexdigest()])], names=["id", "repaired_sha256"])
+
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    return turns.select("conv_id", "role", "text").mapInArrow(run, f"id {kind}, repaired_sha256 string")
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = conversations.repair(damaged(rows), rows.select("conv_id"))
+    sums = lines_sha256(done.turns)
+    return done.summary.join(sums, F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id").withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())))
