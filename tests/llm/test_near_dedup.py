@@ -119,3 +119,24 @@ def test_signature_estimates_similarity():
 def test_kept_is_the_smallest_of_each_component(spark, odd_docs):
     got = minhash.near_duplicates(odd_docs.where("doc_id is not null"))
     assert got.where(F.col("kept") != (F.col("doc_id") == F.col("component_id"))).count() == 0
+
+
+def test_rows_of_a_hot_group_grow_with_its_documents(spark, monkeypatch):
+    """Distinct texts with three edits each, all in the same buckets: twice the documents give about twice the rows, not four times."""
+    rows = {}
+    dealt = minhash._dealt
+    for n in (150, 300, 600):
+        made = []
+
+        def counted(posted, weight, *more):
+            out = dealt(posted, weight, *more)
+            made.append((posted.count(), out.count()))
+            return out
+
+        monkeypatch.setattr(minhash, "_dealt", counted)
+        rng = random.Random(7)
+        words = [f"w{k}" for k in range(100)]
+        found(spark, [(i, edited(words, 3, rng)) for i in range(n)])
+        rows[n] = made[0]
+        assert made[0][0] <= n * 26
+    assert all(rows[2 * n][k] <= 2.5 * rows[n][k] for n in (150, 300) for k in (0, 1))

@@ -10,12 +10,18 @@ the 64 bands with a chance of 4e-6.
 - In every bucket of a band, members are compared with the bucket's smallest
   member: size and signature first, then the full sets. Confirmed links are
   joined into components.
-- Buckets that still hold several components are compared in blocks of about
-  2*256 members, only across components: first by size and signature, which
-  leaves the members that have a likely partner, then these by their full sets.
-  The tasks give members and confirmed links between components, never pairs,
-  so their output is linear; a pair is compared in the first bucket it shares.
-  A group of near copies that is one component is not compared again.
+- Documents in buckets that still hold several components are compared by
+  prefixes: a set's shingles are put in one order for all, the rarest first,
+  and a set of n is posted under its first n - ceil(0.75 n) + 1 only, without
+  those that no other such document has. Of two sets that reach the similarity
+  the smaller one has a shared shingle even among its first n - ceil(6 n / 7) + 1,
+  so nothing is missed, and rows are in proportion to the sets however large a
+  group is. What is posted under a shingle is compared in the task, only across
+  components: size and signature first, which leaves the members that have a
+  likely partner, then these by their full sets. The tasks give members and
+  confirmed links between components, never pairs. A posting list that is too
+  large for a task's memory (``BLOCK`` members, ``SET_BLOCK`` full sets) is
+  compared block against block.
 
 Null and empty texts have an empty set and are linked with nothing. A row
 without an id takes no part either and keeps a null component. Rows that
@@ -26,11 +32,12 @@ one run. Other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiersmith.llm.components import components
@@ -43,7 +50,11 @@ BANDS = HASHES // ROWS
 PERCENT = 75
 #: Of 384 agreeing bytes, a pair at 0.75 has fewer than this with a chance below 1e-8 (six standard deviations).
 LEAST_EQUAL = 236
-BLOCK, SET_BLOCK = 256, 64
+#: Members of a posting list that a task holds, and their full sets; each SET_SIZE shingles of a large set count as one.
+BLOCK, SET_BLOCK, SET_SIZE = 4096, 2048, 512
+#: Counters of the sketch that tells rare shingles from frequent ones; its size doesn't depend on the documents.
+COUNTERS = 1 << 18
+FAN_IN = 64
 #: Ids of documents to be verified are broadcast up to this number (some 50 MB); beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -139,7 +150,7 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarr
     for last, batch in _with_last(batches):
         g: dict[str, np.ndarray] = {}
         if batch is not None:
-            g = {k: np.asarray(batch.column(k)) for k in ("bucket", "x", "y", "block", "id", "part", "n")}
+            g = {k: np.asarray(batch.column(k)) for k in ("bucket", "x", "y", "block", "id", "part", "n", "short")}
             g["sig"] = _matrix(batch.column("sig"))
             if "items" in batch.schema.names:
                 items = batch.column("items").to_pylist()
@@ -161,18 +172,15 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarr
 
 
 def _partners(g: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of block x its likely partners in block y, of other components, not met in an earlier band."""
-    band = int(g["bucket"][0]) >> 8 * ROWS
+    """For each member of block x its likely partners in block y, of other components, the smaller set posted by its short prefix."""
     right = np.flatnonzero(g["block"] == g["y"][0])
     same = g["x"][0] == g["y"][0]
     for i in np.flatnonzero(g["block"] == g["x"][0]).tolist():
         others = right[g["part"][right] != g["part"][i]]
         if same:
             others = others[others > i]
-        others = others[_alike(g["sig"][i], g["sig"][others], g["n"][i], g["n"][others])]
-        if len(others) and band:
-            before = (g["sig"][i][:band * ROWS] == g["sig"][others][:, :band * ROWS]).reshape(len(others), band, ROWS)
-            others = others[~before.all(2).any(1)]
+        others = others[np.where(g["n"][others] < g["n"][i], g["short"][others], g["short"][i] | ((g["n"][others] == g["n"][i]) & g["short"][others])) > 0]
+        others = others[_alike(g["sig"][i], g["sig"][others], g["n"][i], g["n"][others])] if len(others) else others
         if len(others):
             yield i, others
 
@@ -223,13 +231,69 @@ def _joined(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def _dealt(placed: DataFrame, block: int, *more: str) -> DataFrame:
-    """Members of buckets with several components, each in every pair of blocks that its own is part of."""
-    split = written(placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where(
-        "p < q").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "split")
-    blocks = placed.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _slots(items: np.ndarray) -> np.ndarray:
+    return (items % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """About how many of the sets have a shingle, by its slot; never less than there are.
+
+    A partial sketch for each task, FAN_IN of them added at a time.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column("items").to_pylist():
+                total += np.bincount(_slots(np.frombuffer(raw, np.uint64)), minlength=COUNTERS)
+        yield pa.record_batch([pa.array([_pressed(total)], pa.binary())], names=["total"])
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        return pa.table({"total": pa.array([_pressed(sum(map(_unpressed, group.column("total").to_pylist())))], pa.binary())})
+
+    parts = written(sets.select("items").mapInArrow(count, "total binary"), "rarity")
+    left = parts.count()
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        parts = written(parts.withColumn("place", F.pmod(F.xxhash64("total"), F.lit(left))).groupBy("place").applyInArrow(add, "total binary"), "rarity")
+    return sum((_unpressed(bytes(r["total"])) for r in parts.collect()), np.zeros(COUNTERS, np.int64))
+
+
+def _pressed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _unpressed(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.int64)
+
+
+def _posted(members: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(bucket, id, part, n, bytes, short): members by the shingles of their prefix that others may have, rarest first."""
+    shared = members.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, part, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "items"))):
+                items = np.frombuffer(raw, np.uint64)
+                n = len(items)
+                often = shared.value[_slots(items)]
+                order = np.lexsort((items, often))[:n - -(-PERCENT * n // 100) + 1]
+                short = np.arange(len(order)) < n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+                order, short = order[often[order] > 1], short[often[order] > 1]
+                if len(order):
+                    same = np.ones(len(order), np.int64)
+                    yield pa.record_batch([pa.array(items[order].view(np.int64)), pa.array(same * k), pa.array(same * part), pa.array(same * n),
+                                           pa.array(short.astype(np.int32))], names=["bucket", "id", "part", "n", "short"])
+
+    return members.select("id", "part", "items").mapInArrow(run, "bucket long, id long, part long, n long, short int")
+
+
+def _dealt(posted: DataFrame, weight: Column, *more: str) -> DataFrame:
+    """Members of posting lists with several components, each in every pair of blocks that its own is part of; ``weight``: the share of a block."""
+    split = written(posted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.sum(weight)).cast("int").alias("blocks")).where(
+        "p < q").select("bucket", "blocks"), "split")
+    blocks = posted.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "part", *more)
+        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "part", "n", "short", *more)
     return dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
 
@@ -295,13 +359,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(_confirmed(first, _sets(first.select(F.explode(F.array("a", "b"))), docs, key, text)), "links")
     parts = components(links)
 
-    placed = written(members.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("part")).join(sized, "id"), "placed")
-    active = written(_active(_dealt(placed, BLOCK, "n", "sig")).distinct(), "active")
-    if not active.isEmpty():
-        sets = _sets(active.select("id"), docs, key, text)
-        near = placed.join(active, ["bucket", "id"], "left_semi").join(sets, "id")
-        links = links.union(written(_joined(_dealt(near, SET_BLOCK, "n", "sig", "items")), "links"))
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+    open_buckets = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
+    apart = written(placed.join(open_buckets, "bucket", "left_semi").select("id", "part").distinct(), "apart")
+    if not apart.isEmpty():
+        sets = _sets(apart.select("id"), docs, key, text)
+        posted = written(_posted(apart.join(sets, "id"), _rarity(sets)), "posted")
+        active = written(_active(_dealt(posted.join(sized.select("id", "sig"), "id"), F.lit(1 / BLOCK), "sig")).distinct(), "active")
+        near = posted.join(active, ["bucket", "id"], "left_semi").join(sets, "id").join(sized.select("id", "sig"), "id")
+        links = links.union(written(_joined(_dealt(near, F.ceil(F.col("n") / SET_SIZE) / SET_BLOCK, "sig", "items")), "links"))
         parts = components(links)
 
     root = classes.select("print", F.col("id").alias("node")).join(parts, "node", "left").select(
