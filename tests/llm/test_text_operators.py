@@ -110,15 +110,15 @@ def brute_hits(text, items, width=10):
     w, hit, names = words(text), set(), set()
     for name, item in items:
         v = words(item)
-        if not v or name is None:
+        if not v:
             continue
         k = min(width, len(v))
         wins = {tuple(v[p:p + k]) for p in range(len(v) - k + 1)}
         for p in range(len(w) - k + 1):
             if tuple(w[p:p + k]) in wins:
                 hit |= set(range(p, p + k))
-                names.add(str(name))
-    return len(w), len(hit), sorted(names)
+                names.add(None if name is None else str(name))
+    return len(w), len(hit), sorted(names, key=lambda v: (v is None, v))
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
@@ -150,6 +150,22 @@ def test_hits_of_windows_against_brute_force(spark, odd_docs, block_bytes):
         assert sorted((str(r.doc_id), str(r.text)) for r in cut.collect() if str(r.doc_id) in clean) == before
 
 
+def test_items_without_an_id_equal_the_sql(spark):
+    """A passage of an item without an id is a hit, counts as one item and adds nothing to the joined ids."""
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame({"doc_id": [1, 2, 3], "text": [f"before {' '.join(f'w{k}' for k in range(12))} after", "nothing here", "alpha beta gamma"]})
+    benchmark = pd.DataFrame({"item_id": [None, None, "b", "a"], "text": [" ".join(f"w{k}" for k in range(10)), "w3 w4", "alpha beta", "Beta, gamma"]})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    con.register("benchmark", benchmark)
+    want = sorted(con.execute(decontaminate.SQL).fetchall())
+    found = decontaminate.scan(spark.createDataFrame(documents), spark.createDataFrame(benchmark.values.tolist(), "item_id string, text string"))
+    got = found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as long)", "sha2(cast(array_join(items, ',') as binary), 256)", "n_hit > 0")
+    assert sorted(map(tuple, got.collect())) == want and want[0][2:4] == (10, 1)
+
+
 def test_no_items_and_no_documents(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.without_documents(odd_docs, bench).count() == odd_docs.count()

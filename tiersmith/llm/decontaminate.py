@@ -8,11 +8,11 @@ hit is compared word by word with the item's text before it counts.
 
 The items are taken in blocks of at most ``block_bytes`` of text (an item is
 never split), so that a broadcast has a bound whatever the size of the
-benchmark; the passes over several blocks are chained and their results merged.
+benchmark; the results of a pass are written before the next block is broadcast.
 
 A null or empty text has no words and no hits; an item without words never
-occurs; repeated items count once by their id, items without an id are left
-out. Long texts are scanned whole. Columns to carry may have any name.
+occurs; repeated items count once by their id. Items without an id are scanned
+for like others and count as one item, whose null comes last among the items. Long texts are scanned whole. Columns to carry may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersmith.llm.frames import Lookup, free_name, row_blocks, text_bytes
+from tiersmith.llm.frames import Lookup, free_name, row_blocks, text_bytes, written
 from tiersmith.llm.words import LOWER, NOT_ALNUM, hash_ranges, windows, word_ranges
 
 WINDOW = 10
@@ -113,7 +113,8 @@ def _pass(docs: DataFrame, known: Windows) -> DataFrame:
                     for r, a, b in hits:
                         runs[r].append((a, b))
                     spans = pa.array([[{"begin": a, "stop": b} for a, b in merged_runs(x)] for x in runs], SPANS)
-                    items = pa.array([sorted({*x, *names.get(r, ())}) for r, x in enumerate(items.to_pylist())], pa.list_(pa.string()))
+                    items = pa.array([sorted({*x, *names.get(r, ())}, key=lambda v: (v is None, v)) for r, x in enumerate(items.to_pylist())],
+                                     pa.list_(pa.string()))
                 fixed = [part.column(c) for c in batch.schema.names if c not in ("n_words", "spans", "items")]
                 names_out = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
                 yield pa.record_batch([*fixed, pa.array(n, pa.int64()), spans, items], names=[*names_out, "n_words", "spans", "items"])
@@ -125,8 +126,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[
          item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 16 << 20,
          names: tuple[str, str, str, str] = ("n_words", "spans", "n_hit", "items")) -> DataFrame:
     """``keep`` with, under these names, n_words, spans (runs of hit words, by word number), n_hit (words in them) and items (ids, sorted)."""
-    tests = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("text")).where(
-        F.col("name").isNotNull() & F.col("text").isNotNull())
+    tests = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     others = [c for c in keep if c != text]  # the text passes once
@@ -137,6 +137,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[
     for k in range(blocks):
         mine = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
         out = _pass(out, Windows([(r["name"], r["text"]) for r in mine.collect()], width))
+        if k + 1 < blocks:
+            out = written(out, "pass")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["begin"])
     return out.select(*[F.col("v" if c == text else f"k{others.index(c)}").alias(c) for c in keep],
                       *[x.alias(n) for n, x in zip(names, (F.col("n_words"), F.col("spans"), hit, F.col("items")))])

@@ -12,7 +12,11 @@ Logarithms are kept in steps of 1/2048.
 Counting and scoring cover all texts. Contexts are dealt into blocks by their
 last two bytes; a block's tables stay below ``block_bytes``, or are those of a
 single pair of bytes, of which the three bytes before it bound the contexts, so
-a broadcast has a bound whatever the corpus. With several blocks the passes are chained and add up.
+a broadcast has a bound whatever the corpus. Blocks are taken one at a time:
+its counts are fetched and broadcast, every text gets its partial score for the
+places that the block knows, and these are written before the next block.
+A score depends on the text alone, so partial scores go by the text's hash and
+are added up once for each different text.
 
 ``unigram`` gives the score of a plain word model beside it. Counts of words
 that are frequent (``HOT`` words at most) are broadcast, all others are joined.
@@ -26,10 +30,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiersmith.llm.frames import Lookup, row_blocks, text_bytes, written
@@ -210,6 +215,9 @@ class Tables:
         a, at, first = padded(data, offsets)
         last = a[at - 1].astype(np.int64)
         pair = (last << 8) | a[at - 2]
+        value = np.zeros(len(at))
+        own = slice(None) if self.mine is None else np.flatnonzero(self.mine[pair])  # what other blocks score is not looked up
+        at, last, pair = at[own], last[own], pair[own]
         code = self.code
         known = self.one[last]
         row = np.where(known >= 0, known + self.base[0], 0)
@@ -220,38 +228,51 @@ class Tables:
             known = children[np.where(known < 0, none, known).astype(np.int64) * self.width + code[a[at - k]]]
             row = np.where(known >= 0, known + self.base[k - 1], row)
         row = row.astype(np.int64)
-        value = self.logs[row * self.width + code[a[at]]] * (-1.0 / STEPS)
-        if self.mine is not None:
-            value[~self.mine[pair]] = 0
+        value[own] = self.logs[row * self.width + code[a[at]]] * (-1.0 / STEPS)
         return np.add.reduceat(value, first)
 
 
-def blocks_of(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Grams]:
-    """Gram tables of contexts packed by their last two bytes, one after the other."""
+@dataclass
+class Blocks:
+    """Which block scores which pair of last bytes; ``fetch`` brings the counts of one block to the driver."""
+
+    counts: DataFrame
+    pairs: np.ndarray
+    owner: np.ndarray
+    number: int
+
+    def __len__(self) -> int:
+        return self.number
+
+    def fetch(self, k: int) -> Grams:
+        part = self.counts
+        if self.number > 1:
+            part = part.where(F.shiftright("code", 8 * (ORDER - 1)).isin(np.flatnonzero(self.owner == k).tolist()))
+        rows = part.toArrow()
+        return Grams(self.pairs, np.asarray(rows.column("code").combine_chunks()), np.asarray(rows.column("n").combine_chunks()),
+                     self.owner == k if self.number > 1 else None)
+
+
+def blocks_of(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """Contexts packed into blocks by their last two bytes, one after the other."""
     got = counts.where(F.col("kind") == GRAM).select("code", "n")
     pairs = np.zeros((256, 256), np.int64)
     last = F.shiftright("code", 8 * ORDER).alias("a")
     for r in got.groupBy(last, F.col("code").bitwiseAND(255).alias("s")).agg(F.sum("n").alias("n")).collect():
         pairs[r["a"], r["s"]] = r["n"]
     pair = F.shiftright("code", 8 * (ORDER - 1))
-    sizes = got.groupBy(pair.alias("p")).agg(F.countDistinct(F.shiftright("code", 8)).alias("n"))
-    width = 2 * (int(((pairs.sum(0) + pairs.sum(1)) > 0).sum()) + 1)
+    # contexts of full length, and of one byte less, which have children
+    long, short = (F.countDistinct(F.shiftright("code", 8 * k)) for k in (1, 2))
+    sizes = got.groupBy(pair.alias("p")).agg(long.alias("long"), short.alias("short"), F.count("*").alias("grams"))
+    width = int(((pairs.sum(0) + pairs.sum(1)) > 0).sum()) + 1
     owner, block, used = np.zeros(65536, np.int64), 0, 0
     for r in sorted(sizes.collect()):
-        need = int(1.5 * r["n"] * width)
+        # two bytes a cell for logarithms of all lengths, four for children, 24 for each gram and its place while tables are made
+        need = int(width * (2 * (r["long"] + 1.5 * r["short"]) + 4 * 1.5 * r["short"])) + 24 * r["grams"]
         if used and used + need > block_bytes:
             block, used = block + 1, 0
         owner[r["p"]], used = block, used + need
-    out = []
-    for k in range(block + 1):
-        part = got
-        if block:
-            own = np.flatnonzero(owner == k).tolist()
-            part = got.where(pair.isin(own))
-        rows = part.toArrow()
-        out.append(Grams(pairs, np.asarray(rows.column("code").combine_chunks()), np.asarray(rows.column("n").combine_chunks()),
-                         owner == k if block else None))
-    return out
+    return Blocks(got, pairs, owner, block + 1)
 
 
 _tables: dict[int, Tables] = {}
@@ -274,25 +295,38 @@ def _mapped(docs: DataFrame, keep: tuple[str, ...], text: str, names: str, work)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *fields)
 
 
-def score(docs: DataFrame, blocks: list[Grams], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and score, the log10 probability of the whole text and its end."""
-    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("t"), F.lit(0.0).alias("s"))
-    for g in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(g)
+def print_of(text: str = "text") -> Column:
+    """128 bits of a text, null counting as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+
+
+def text_scores(docs: DataFrame, blocks: Blocks, text: str = "text") -> DataFrame:
+    """(print, score): the log10 probability of each different text and its end, written."""
+    parts = []
+    for k in range(len(blocks)):
+        shared = docs.sparkSession.sparkContext.broadcast(blocks.fetch(k))
 
         def work(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, shared=shared) -> list[pa.Array]:
             key = id(shared.value)
             if key not in _tables:
-                if len(_tables) >= len(blocks):
-                    _tables.clear()
+                _tables.clear()  # one block at a time
                 _tables[key] = Tables(shared.value)
-            before = np.asarray(part.column(part.schema.names.index("k%d" % (len(keep) + 1))))
-            return [part.column(len(keep)), pa.array(before + _tables[key].score(data, offsets))]
-
-        carry = (*[f"c{i}" for i in range(len(keep))], "t", "s")
-        step = _mapped(out, carry, "t", "t2 string, s2 double", work)
-        out = step.select(*carry[:-2], F.col("t2").alias("t"), F.col("s2").alias("s"))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("t").alias(text), F.col("s").alias("score"))
+            return [pa.array(_tables[key].score(data, offsets))]
+
+        seen = docs.select(print_of(text).alias("print"), F.col(f"`{text}`").alias("text"))
+        scored = _mapped(seen, ("print",), "text", "s double", work)
+        parts.append(written(scored.groupBy("print").agg(F.max("s").alias("s")).withColumn("block", F.lit(k)), "scores"))
+        shared.destroy()
+    if len(parts) == 1:
+        return parts[0].select("print", F.col("s").alias("score"))
+    return reduce(DataFrame.unionByName, parts).groupBy("print").agg(F.sum("s").alias("score"))
+
+
+def score(docs: DataFrame, blocks: Blocks, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, the text and score, the log10 probability of the whole text and its end."""
+    taken = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"), print_of(text).alias("print"))
+    out = taken.join(text_scores(docs, blocks, text), "print", "left")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("t").alias(text), "score")
 
 
 def unigram(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

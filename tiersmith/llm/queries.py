@@ -86,8 +86,8 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 7) == 2)
     counts = ppm.count(docs.where(~F.col("held_out")))
-    scored = ppm.score(docs, ppm.blocks_of(counts), keep=("doc_id", "held_out"))
-    return ppm.unigram(scored, counts, keep=("doc_id", "held_out", "score"))
+    plain = ppm.unigram(docs.withColumn("print", ppm.print_of()), counts, keep=("doc_id", "held_out", "print"))
+    return plain.join(ppm.text_scores(docs, ppm.blocks_of(counts)), "print").drop("print")
 
 
 @register
