@@ -10,18 +10,20 @@ the 64 bands with a chance of 4e-6.
 - In every bucket of a band, members are compared with the bucket's smallest
   member: size and signature first, then the full sets. Confirmed links are
   joined into components.
-- Documents in buckets that still hold several components are compared by
-  prefixes: a set's shingles are put in one order for all, the rarest first,
-  and a set of n is posted under its first n - ceil(0.75 n) + 1 only, without
-  those that no other such document has. Of two sets that reach the similarity
-  the smaller one has a shared shingle even among its first n - ceil(6 n / 7) + 1,
-  so nothing is missed, and rows are in proportion to the sets however large a
-  group is. What is posted under a shingle is compared in the task, only across
-  components: size and signature first, which leaves the members that have a
-  likely partner, then these by their full sets. The tasks give members and
-  confirmed links between components, never pairs. A posting list that is too
-  large for a task's memory (``BLOCK`` members, ``SET_BLOCK`` full sets) is
-  compared block against block.
+- Buckets that still hold several components are compared in a task, only
+  across components: first by size and signature, which leaves the members that
+  have a likely partner, then these by their full sets. A pair is compared in the
+  first bucket it shares. The tasks give members and confirmed links between
+  components, never pairs. A group of near copies that is one component is not
+  compared again.
+- Of buckets of more than ``BLOCK`` members the documents are compared by
+  prefixes instead: a set's shingles are put in one order for all, the rarest
+  first, and a set of n is posted under its first n - ceil(0.75 n) + 1 only.
+  Of two sets that reach the similarity the smaller one has a shared shingle even
+  among its first n - ceil(6 n / 7) + 1, so nothing is missed, and rows are in
+  proportion to the sets however large a group is. Members of a posting list are
+  compared like those of a bucket; one that is itself too large for a task's
+  memory (``BLOCK`` members, ``SET_BLOCK`` full sets) block against block.
 
 Null and empty texts have an empty set and are linked with nothing. A row
 without an id takes no part either and keeps a null component. Rows that
@@ -50,7 +52,7 @@ BANDS = HASHES // ROWS
 PERCENT = 75
 #: Of 384 agreeing bytes, a pair at 0.75 has fewer than this with a chance below 1e-8 (six standard deviations).
 LEAST_EQUAL = 236
-#: Members of a posting list that a task holds, and their full sets; each SET_SIZE shingles of a large set count as one.
+#: Members of a bucket or posting list that a task holds, and their full sets; each SET_SIZE shingles of a large set count as one.
 BLOCK, SET_BLOCK, SET_SIZE = 4096, 2048, 512
 #: Counters of the sketch that tells rare shingles from frequent ones; its size doesn't depend on the documents.
 COUNTERS = 1 << 18
@@ -172,15 +174,26 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarr
 
 
 def _partners(g: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of block x its likely partners in block y, of other components, the smaller set posted by its short prefix."""
+    """For each member of block x its likely partners in block y, of other components, not met in an earlier band.
+
+    In a posting list (a negative bucket) the smaller of two sets must be posted by its short prefix.
+    """
+    bucket = int(g["bucket"][0])
+    band = bucket >> 8 * ROWS if bucket >= 0 else 0
     right = np.flatnonzero(g["block"] == g["y"][0])
     same = g["x"][0] == g["y"][0]
     for i in np.flatnonzero(g["block"] == g["x"][0]).tolist():
         others = right[g["part"][right] != g["part"][i]]
         if same:
             others = others[others > i]
-        others = others[np.where(g["n"][others] < g["n"][i], g["short"][others], g["short"][i] | ((g["n"][others] == g["n"][i]) & g["short"][others])) > 0]
+        if bucket < 0:
+            smaller = g["n"][others] < g["n"][i]
+            both = (g["n"][others] == g["n"][i]) & (g["short"][others] > 0)
+            others = others[np.where(smaller, g["short"][others], g["short"][i] * (both | (g["n"][others] > g["n"][i]))) > 0]
         others = others[_alike(g["sig"][i], g["sig"][others], g["n"][i], g["n"][others])] if len(others) else others
+        if len(others) and band:
+            before = (g["sig"][i][:band * ROWS] == g["sig"][others][:, :band * ROWS]).reshape(len(others), band, ROWS)
+            others = others[~before.all(2).any(1)]
         if len(others):
             yield i, others
 
@@ -267,7 +280,7 @@ def _unpressed(raw: bytes) -> np.ndarray:
 
 
 def _posted(members: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(bucket, id, part, n, bytes, short): members by the shingles of their prefix that others may have, rarest first."""
+    """(bucket, id, part, n, short): members by the shingles of their prefix, rarest first; these buckets are negative."""
     shared = members.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,19 +291,24 @@ def _posted(members: DataFrame, rarity: np.ndarray) -> DataFrame:
                 often = shared.value[_slots(items)]
                 order = np.lexsort((items, often))[:n - -(-PERCENT * n // 100) + 1]
                 short = np.arange(len(order)) < n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
-                order, short = order[often[order] > 1], short[often[order] > 1]
+                order, short = order[often[order] > 1], short[often[order] > 1]  # nobody else has a shingle that is counted once
                 if len(order):
                     same = np.ones(len(order), np.int64)
-                    yield pa.record_batch([pa.array(items[order].view(np.int64)), pa.array(same * k), pa.array(same * part), pa.array(same * n),
-                                           pa.array(short.astype(np.int32))], names=["bucket", "id", "part", "n", "short"])
+                    yield pa.record_batch([pa.array((items[order] | np.uint64(1 << 63)).view(np.int64)), pa.array(same * k), pa.array(same * part),
+                                           pa.array(same * n), pa.array(short.astype(np.int32))], names=["bucket", "id", "part", "n", "short"])
 
     return members.select("id", "part", "items").mapInArrow(run, "bucket long, id long, part long, n long, short int")
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """(bucket, size) of buckets with several components."""
+    return members.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q").select("bucket", "size")
+
+
 def _dealt(posted: DataFrame, weight: Column, *more: str) -> DataFrame:
-    """Members of posting lists with several components, each in every pair of blocks that its own is part of; ``weight``: the share of a block."""
-    split = written(posted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.sum(weight)).cast("int").alias("blocks")).where(
-        "p < q").select("bucket", "blocks"), "split")
+    """Members of buckets with several components, each in every pair of blocks that its own is part of; ``weight``: the share of a block."""
+    split = written(posted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.round(F.sum(weight), 9)).cast("int").alias(
+        "blocks")).where("p < q").select("bucket", "blocks"), "split")
     blocks = posted.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "part", "n", "short", *more)
@@ -359,14 +377,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(_confirmed(first, _sets(first.select(F.explode(F.array("a", "b"))), docs, key, text)), "links")
     parts = components(links)
 
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-    apart = written(placed.join(open_buckets, "bucket", "left_semi").select("id", "part").distinct(), "apart")
-    if not apart.isEmpty():
-        sets = _sets(apart.select("id"), docs, key, text)
-        posted = written(_posted(apart.join(sets, "id"), _rarity(sets)), "posted")
-        active = written(_active(_dealt(posted.join(sized.select("id", "sig"), "id"), F.lit(1 / BLOCK), "sig")).distinct(), "active")
-        near = posted.join(active, ["bucket", "id"], "left_semi").join(sets, "id").join(sized.select("id", "sig"), "id")
+    placed = written(members.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("part")).join(sized.select("id", "n"), "id").withColumn("short", F.lit(1)), "placed")
+    several = written(_several(placed), "several")
+    groups = placed.join(several.where(F.col("size") <= BLOCK).select("bucket"), "bucket").select("bucket", "id", "part", "n", "short")
+    large = placed.join(several.where(F.col("size") > BLOCK).select("bucket"), "bucket", "left_semi").select("id", "part").distinct()
+    if not several.where(F.col("size") > BLOCK).isEmpty():
+        large = written(large, "large")
+        sets = _sets(large.select("id"), docs, key, text)
+        lists = written(_posted(large.join(sets, "id"), _rarity(sets)), "posted")
+        groups = groups.unionByName(lists.join(written(_several(lists), "several").select("bucket"), "bucket"))
+    active = written(_active(_dealt(groups.join(sized.select("id", "sig"), "id"), F.lit(1 / BLOCK), "sig")).distinct(), "active")
+    if not active.isEmpty():
+        sets = _sets(active.select("id"), docs, key, text)
+        near = groups.join(active, ["bucket", "id"], "left_semi").join(sets, "id").join(sized.select("id", "sig"), "id")
         links = links.union(written(_joined(_dealt(near, F.ceil(F.col("n") / SET_SIZE) / SET_BLOCK, "sig", "items")), "links"))
         parts = components(links)
 
