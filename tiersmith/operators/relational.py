@@ -131,12 +131,13 @@ def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def lookup_parameters(wanted: DataFrame, params: DataFrame) -> DataFrame:
     """Parameters of ``wanted(ord, task)`` in the given order; an unknown task and one with several rows are errors."""
-    many = params.groupBy("task").agg(F.count("*").alias("__rows"))
-    hit = params.join(F.broadcast(many.where("__rows > 1").limit(1000)), "task", "left").withColumn("__hit", F.col("__rows").isNull())
-    text = F.concat(F.when(F.col("__hit").isNull(), F.lit("no parameters for task ")).otherwise(F.lit("several parameter rows for task ")), F.col("task"))
+    asked = params.join(wanted.select("task").distinct(), "task", "left_semi")  # a log may have very many rows of other tasks
+    own = [F.col(c) for c in params.columns if c != "task"]
+    hit = asked.groupBy("task").agg(F.count("*").alias("__rows"), F.any_value(F.struct(*own)).alias("__p"))
+    text = F.concat(F.when(F.col("__rows").isNull(), F.lit("no parameters for task ")).otherwise(F.lit("several parameter rows for task ")), F.col("task"))
     return (wanted.join(hit, "task", "left")
-                  .where(F.assert_true(F.coalesce("__hit", F.lit(False)), text).isNull())
-                  .drop("__hit", "__rows"))
+                  .where(F.assert_true(F.coalesce(F.col("__rows") == 1, F.lit(False)), text).isNull())
+                  .select("*", "__p.*").drop("__p", "__rows"))
 
 
 def parameter_bundle(wanted: DataFrame, params: DataFrame, key: list[str]) -> DataFrame:

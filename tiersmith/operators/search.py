@@ -1,11 +1,16 @@
-"""Hyperparameter search: every candidate of every (task, seed) is a Spark group.
+"""Hyperparameter search: every (task, seed) is a Spark group.
 
-Instead of a gradient optimiser, rounds of a log-spaced grid: all candidates
-are scored in one job, the best keeps its two neighbours as the next interval.
+``minimise`` works in the group, on the logarithm of the parameter: a scan finds
+the valleys, each of the lowest is bracketed and narrowed until the interval is
+below a tolerance - by the slope where the objective has one (regula falsi with
+bisection), else by golden sections and parabolas. ``evaluate`` and
+``grid_search`` score stated candidates, a few to a group.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -50,6 +55,162 @@ def holdout_score(pdf: pd.DataFrame, theta: float, noise: float) -> tuple[float,
     return float(np.abs(star - te["y"].to_numpy(float)).mean()), mean, theta
 
 
+def nlml_slope(x: np.ndarray, y: np.ndarray, lengthscale: float, noise: float) -> tuple[float, float, float, float]:
+    """Profile negative log likelihood, its derivative by the log of the lengthscale, and the implied mean and variance.
+
+    The mean and variance minimise the likelihood themselves, so only the covariance is differentiated.
+    """
+    n = len(y)
+    d = sq_distances(x, x) / lengthscale**2
+    k = np.exp(-d / 2)
+    chol = np.linalg.cholesky(k + noise * np.eye(n))
+    inv = np.linalg.inv(chol)
+    w = inv @ np.column_stack([y, np.ones(n)])
+    mu = float(w[:, 0] @ w[:, 1] / (w[:, 1] @ w[:, 1]))
+    r = w[:, 0] - mu * w[:, 1]
+    var = float(r @ r / n)
+    change = k * d  # derivative of the covariance
+    weights = inv.T @ r
+    slope = 0.5 * float((inv.T @ inv * change).sum()) - 0.5 * float(weights @ change @ weights) / max(var, 1e-300)
+    return 0.5 * n * float(np.log(max(var, 1e-300))) + float(np.log(np.diag(chol)).sum()), slope, mu, var
+
+
+def lowest(f: Callable[[float], tuple[float, float | None]], lo: float, hi: float, *, points: int = 25, valleys: int = 3,
+           tolerance: float = 1e-6) -> tuple[float, float, bool, int]:
+    """(place, value, converged, evaluations) of the least value of ``f`` between ``lo`` and ``hi``.
+
+    ``f`` gives a value and its slope, or None for it. The scan's ``valleys``
+    lowest dips are narrowed; on a bound the least value counts as found if the
+    function falls towards the bound. Not converged: a value is not finite, or
+    an interval did not become small.
+    """
+    count = 0
+
+    def at(t: float) -> tuple[float, float, float | None]:
+        nonlocal count
+        count += 1
+        value, slope = f(t)
+        return (value if np.isfinite(value) else np.inf), t, slope
+
+    scan = [at(float(t)) for t in np.linspace(lo, hi, points)]
+    dips = [i for i in range(points) if all(scan[i][0] <= scan[j][0] for j in (i - 1, i + 1) if 0 <= j < points)]
+    found = []
+    for i in sorted(dips, key=lambda i: scan[i][0])[:valleys]:
+        a, b = scan[max(0, i - 1)], scan[min(points - 1, i + 1)]
+        found.append(_by_slope(at, a, b, scan[i], tolerance) if scan[i][2] is not None else _by_value(at, a, b, scan[i], tolerance))
+    best, small = min(found, key=lambda e: e[0][0])
+    return best[1], best[0], bool(small and np.isfinite(best[0])), count
+
+
+def _by_slope(at, a, b, best, tolerance):
+    """The zero of the slope between two places, best among all seen; at a bound the slope only has to point outwards."""
+    if a[2] >= 0:
+        return min(a, best), True
+    if b[2] <= 0:
+        return min(b, best), True
+    side = 0
+    fa, fb = a[2], b[2]
+    for step in range(80):
+        if b[1] - a[1] <= tolerance:
+            return best, True
+        t = (a[1] * fb - b[1] * fa) / (fb - fa) if step % 3 < 2 else (a[1] + b[1]) / 2
+        now = at(min(max(t, a[1] + tolerance / 4), b[1] - tolerance / 4))
+        best = min(best, now)
+        if now[2] == 0:
+            return min(best, now), True
+        if now[2] < 0:
+            a, fa, fb = now, now[2], fb / 2 if side < 0 else fb
+            side = -1
+        else:
+            b, fb, fa = now, now[2], fa / 2 if side > 0 else fa
+            side = 1
+    return best, b[1] - a[1] <= tolerance
+
+
+def _by_value(at, a, b, best, tolerance):
+    """Golden sections, with a parabola through the three places where it falls inside."""
+    golden = (3 - np.sqrt(5)) / 2
+    for step in range(100):
+        if b[1] - a[1] <= 2 * tolerance:
+            return best, True
+        m = best[1]
+        wide = b[1] if b[1] - m >= m - a[1] else a[1]
+        t = m + golden * (wide - m)
+        if step % 2 and a[1] < m < b[1] and np.isfinite(a[0] + b[0]):
+            p, q = (m - a[1]) * (best[0] - b[0]), (m - b[1]) * (best[0] - a[0])
+            if p - q:
+                u = m - 0.5 * ((m - a[1]) * p - (m - b[1]) * q) / (p - q)
+                if a[1] + tolerance / 2 < u < b[1] - tolerance / 2 and abs(u - m) > tolerance / 2:
+                    t = u
+        now = at(t)
+        if now[0] <= best[0]:
+            (a, b) = (a, best) if t < m else (best, b)
+            best = now
+        else:
+            (a, b) = (now, b) if t < m else (a, now)
+    return best, b[1] - a[1] <= 2 * tolerance
+
+
+SEARCHED = "task string, seed int, theta double, score double, mu double, var double, converged boolean, at_bound boolean, evaluations int, seconds double"
+
+
+def minimise(rows: DataFrame, prepare: Callable[[pd.DataFrame, float], Callable[[float], tuple[float, float | None, float, float]]],
+             lower: float, upper: float, *, noise: float = NOISE, points: int = 25, valleys: int = 3, tolerance: float = 1e-6) -> DataFrame:
+    """Best parameter of every (task, seed) between two bounds, each found by one group, and the seconds it took.
+
+    ``prepare(group, noise)`` gives a function of the parameter with (score,
+    slope by its log or None, mean, variance). ``at_bound`` says that the best
+    value lies on a bound, towards which the score falls; that is an answer, not
+    a failure. A score that can't be computed at a place counts as infinite.
+    """
+    lo, hi = float(np.log(lower)), float(np.log(upper))
+
+    def job(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = time.perf_counter()
+        score = prepare(pdf.sort_values("key"), noise)
+        seen: dict[float, tuple[float, float]] = {}
+
+        def at(t: float) -> tuple[float, float | None]:
+            try:
+                value, slope, *seen[t] = score(float(np.exp(t)))
+            except np.linalg.LinAlgError:
+                value, slope, seen[t] = np.inf, 0.0, (np.nan, np.nan)
+            return value, slope
+
+        best, value, converged, count = lowest(at, lo, hi, points=points, valleys=valleys, tolerance=tolerance)
+        edge = min(best - lo, hi - best) <= 2 * tolerance
+        return pd.DataFrame([(pdf.task.iloc[0], pdf.seed.iloc[0], float(np.exp(best)), value, *seen[best], converged, edge, count,
+                              time.perf_counter() - start)], columns=[c.split()[0] for c in SEARCHED.split(", ")])
+
+    return rows.repartition(task_slots(rows.sparkSession), "task", "seed").groupBy("task", "seed").applyInPandas(job, SEARCHED)
+
+
+def likelihood(pdf: pd.DataFrame, noise: float) -> Callable[[float], tuple[float, float, float, float]]:
+    """Objective of the lengthscale: the profile likelihood with its slope."""
+    x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float)
+    return lambda l: nlml_slope(x, y, l, noise)
+
+
+def holdout(pdf: pd.DataFrame, noise: float) -> Callable[[float], tuple[float, None, float, float]]:
+    """Objective of the variance: the error on the rows held out, which has kinks and no slope.
+
+    The covariance is factored once: with the eigenvalues of the unit one, each variance costs a product.
+    """
+    tr, te = pdf[pdf.part == "train"], pdf[pdf.part == "test"]
+    x, y, truth = np.stack(tr["x"].to_numpy()), tr["y"].to_numpy(float), te["y"].to_numpy(float)
+    l = float(pdf["lengthscale"].iloc[0])
+    e, q = np.linalg.eigh(np.exp(-sq_distances(x, x) / (2 * l**2)))
+    e = np.maximum(e, 0)
+    mean = float(y.mean())
+    left, right = np.exp(-sq_distances(np.stack(te["x"].to_numpy()), x) / (2 * l**2)) @ q, q.T @ (y - mean)
+
+    def score(v: float) -> tuple[float, None, float, float]:
+        star = mean + left @ (v * right / (v * e + noise))
+        return float(np.abs(star - truth).mean()), None, mean, v
+
+    return score
+
+
 def evaluate(rows: DataFrame, candidates: DataFrame, objective, noise: float = NOISE) -> DataFrame:
     """Score of every candidate: (task, seed, theta, score, mu, var).
 
@@ -106,27 +267,26 @@ def holdout_parts(rows: DataFrame) -> DataFrame:
 
 
 def search(rows: DataFrame, *, length_bounds=(1e-2, 100.0), variance_bounds=(1.0, 1e5), cap: float = 1e6,
-           candidates: int = 16, rounds: int = 3, noise: float = NOISE) -> DataFrame:
+           candidates: int = 25, rounds: int = 3, tolerance: float = 1e-6, noise: float = NOISE) -> DataFrame:
     """Lengthscale by likelihood, then variance by hold-out error, for every (task, seed) of ``rows``.
 
-    Rejected searches stay in the log with a reason.
+    The scans have ``candidates`` places and their ``rounds`` lowest dips are narrowed. ``time_mle`` and ``time_mae`` are the seconds of either search. Rejected
+    searches stay in the log with a reason.
     """
     rows = cut_lineage(holdout_parts(rows.select("task", "seed", F.col("key").cast("string").alias("key"), "x", "y")))
-    mle = grid_search(rows, nlml_score, *length_bounds, candidates=candidates, rounds=rounds, noise=noise).select(
-        "task", "seed", F.col("theta").alias("lengthscale"), F.col("var").alias("variance_mle"),
-        F.col("score").alias("objective_mle"), F.col("converged").alias("mle_converged"))
-    mle = cut_lineage(mle)
+    mle = cut_lineage(minimise(rows, likelihood, *length_bounds, noise=noise, points=candidates, valleys=rounds, tolerance=tolerance).select(
+        "task", "seed", F.col("theta").alias("lengthscale"), F.col("var").alias("variance_mle"), F.col("score").alias("objective_mle"),
+        F.col("converged").alias("mle_converged"), F.col("at_bound").alias("length_at_bound"), F.col("seconds").alias("time_mle")))
     good = mle.where("mle_converged").select("task", "seed", "lengthscale")
-    mae = grid_search(rows.join(good, ["task", "seed"]), holdout_score, *variance_bounds, candidates=candidates,
-                      rounds=rounds, noise=noise).select(
+    mae = minimise(rows.join(good, ["task", "seed"]), holdout, *variance_bounds, noise=noise, points=candidates, valleys=rounds, tolerance=tolerance).select(
         "task", "seed", F.col("theta").alias("variance"), F.col("score").alias("objective_mae"),
-        F.col("converged").alias("mae_converged"))
+        F.col("converged").alias("mae_converged"), F.col("at_bound").alias("variance_at_bound"), F.col("seconds").alias("time_mae"))
     log = mle.join(mae, ["task", "seed"], "left")
-    reason = (F.when(~F.col("mle_converged"), "lengthscale at bound")
-               .when(~F.col("mae_converged"), "variance at bound")
+    reason = (F.when(~F.col("mle_converged"), "lengthscale not converged")
+               .when(~F.coalesce("mae_converged", F.lit(False)), "variance not converged")
                .when(F.col("variance") >= cap, "variance above cap"))
-    return log.select("task", "seed", "variance", "variance_mle", "lengthscale", "objective_mle", "objective_mae",
-                      reason.alias("reason"), reason.isNull().alias("converged"))
+    return log.select("task", "seed", "variance", "variance_mle", "lengthscale", "objective_mle", "objective_mae", "length_at_bound",
+                      "variance_at_bound", "time_mle", "time_mae", reason.alias("reason"), reason.isNull().alias("converged"))
 
 
 def derived_tasks(df: DataFrame, primary: str, secondaries: list[str], keep: list[str]) -> DataFrame:
@@ -184,7 +344,7 @@ def campaign(df: DataFrame, key: str, primary: str, secondaries: list[str], seed
     log = search(rows, **options).withColumnRenamed("task", "source_task")
     return task_correlations(df, primary, secondaries).join(log, "source_task").select(
         "task", "variance", "variance_mle", "lengthscale", "rho", "seed", "objective_mle", "objective_mae",
-        "converged", "reason")
+        "length_at_bound", "variance_at_bound", "time_mle", "time_mae", "converged", "reason")
 
 
 def search_study(rows: DataFrame, sizes: list[int], attempts: int, limit: int, fresh: DataFrame,
@@ -192,12 +352,15 @@ def search_study(rows: DataFrame, sizes: list[int], attempts: int, limit: int, f
     """Accuracy of searches on small sets: for each task and size the first ``limit`` accepted
     attempts, each judged on fresh rows with the variance of either estimate.
 
-    ``rows`` and ``fresh`` are (task, key, x, y). Attempt number = seed. Further
+    ``rows`` and ``fresh`` are (task, key, x, y). Attempt number = seed. Unless
+    ``variance_bounds`` says otherwise, variances are searched up to ``cap``, so
+    an error that falls with the variance has its best admissible value there. Further
     ``attempts`` are made, twice as many each time, for whatever has too few
     accepted ones, up to ``most`` (default: 25 per accepted one). What is short
     even then has a row without a seed that says how many are ``missing``.
     """
     most = max(attempts, 25 * limit) if most is None else most
+    options.setdefault("variance_bounds", (1.0, cap * (1 - 1e-9)))
     wanted = {f"{r['task']}#{n}": limit for r in rows.select("task").distinct().collect() for n in sizes}
     place = F.row_number().over(Window.partitionBy("task", "seed").orderBy(order_hash(F.col("key"), F.col("seed")), "key"))
     logs, tried = [], 0
@@ -228,8 +391,8 @@ def search_study(rows: DataFrame, sizes: list[int], attempts: int, limit: int, f
                .join(judged.select("task", "seed", F.col("theta").alias("variance"), F.col("score").alias("mae_mae")),
                      ["task", "seed", "variance"]))
     name = F.split("task", "#")
-    out = out.select(name[0].alias("task"), name[1].cast("int").alias("n"), "seed", "variance", "variance_mle",
-                     "lengthscale", "objective_mle", "objective_mae", "mle_mae", "mae_mae", F.lit(None).cast("int").alias("missing"))
+    out = out.withColumns({c: F.lit(None).cast("double") for c in ("time_mle", "time_mae") if c not in out.columns}).select(name[0].alias("task"), name[1].cast("int").alias("n"), "seed", "variance", "variance_mle",
+                     "lengthscale", "objective_mle", "objective_mae", "mle_mae", "mae_mae", "time_mle", "time_mae", F.lit(None).cast("int").alias("missing"))
     gaps = [(*t.rsplit("#", 1), short) for t, short in wanted.items() if short]
     if not gaps:
         return out

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tiersmith import schemas
-from tiersmith.operators import gp as K, search as H, stats as G
+from tiersmith.operators import gp as K, landmarks as L, search as H, stats as G
 from tiersmith.operators.analysis import mean_over_runs, with_cost
 from tiersmith.operators.methods import DEFAULT_A, Scenario, run_grid, single
 from tiersmith.operators.relational import stack
@@ -201,6 +201,23 @@ def nlml_grid(spark, sf):
     return _candidates(spark, sf).select("task", "theta", r6("score", "score"))
 
 
+SCAN_SQL = CAND_SQL.replace(f"unnest({[f'{v}' for v in LENGTHS]})::double as l", "unnest([exp(-1.2 + k * 0.03) for k in range(101)])::double as l")
+
+
+@query("likelihood_minimum", f"""{SCAN_SQL},
+sc as (select task, ln(theta) as t, 0.5 * n * ln(var) + 0.5 * logdet as s from res),
+nb as (select *, lag(s) over w as a, lead(s) over w as b, row_number() over (partition by task order by s) as place from sc window w as (partition by task order by t))
+select task, round(exp(t + 0.015 * (a - b) / (a - 2 * s + b)), 2) as lengthscale, round(s - (a - b) * (a - b) / (8 * (a - 2 * s + b)), 3) + 0.0 as score,
+ true as converged, false as at_bound from nb where place = 1""")
+def likelihood_minimum(spark, sf):
+    """The lengthscale of greatest likelihood, found by its slope; the twin scans a fine grid and puts a parabola through its best point."""
+    rows = _ranked(spark, sf, 30)
+    long = rows.select(F.lit(1).alias("seed"), F.col("id").alias("key"), "x", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("task"), F.col(t).alias("y")) for t in ("P", "S1")])).alias("e")).select("seed", "key", "x", "e.*")
+    best = H.minimise(long, H.likelihood, 1e-2, 100.0)
+    return best.select("task", F.round("theta", 2).alias("lengthscale"), (F.round("score", 3) + F.lit(0.0)).alias("score"), "converged", "at_bound")
+
+
 #: Rows that studies reserve for the search of hyperparameters.
 SEARCH_ROWS = 150
 
@@ -341,12 +358,12 @@ def task_correlations(spark, sf):
 @query("search_campaign")
 def search_campaign(spark, sf):
     """Hyperparameters of every derived task and seed on a reserved sample."""
-    return _campaign(spark, sf, 60, [1, 2, 3], candidates=12, rounds=2)
+    return _campaign(spark, sf, 60, [1, 2, 3])
 
 
 @query("search_campaign_stock")
 def search_campaign_stock(spark, sf):
-    """The campaign at the size that studies run it: 150 rows and 100 seeds, the search's own grid."""
+    """The campaign at the size that studies run it: 150 rows and 100 seeds."""
     return _campaign(spark, sf, SEARCH_ROWS, list(range(1, 101)))
 
 
@@ -354,13 +371,13 @@ def _campaign(spark, sf, n, seeds, **options):
     rows = cut_lineage(ranked_sample(measurements(spark, sf), "id", n, [1]).drop("seed", "rank"))
     log = H.campaign(rows, "id", "P", ["S1", "S2"], seeds, **options)
     return log.select("task", "seed", *[r6(c, c) for c in ("variance", "variance_mle", "lengthscale", "rho",
-                                                           "objective_mle", "objective_mae")], "converged", "reason")
+                                                           "objective_mle", "objective_mae")], "time_mle", "time_mae", "converged", "reason")
 
 
 @query("search_study")
 def search_study(spark, sf):
     """Which estimate of the variance predicts better, by size of the search set."""
-    return _search_study(spark, sf, 80, 200, [12, 24], 6, 4, candidates=10, rounds=2)
+    return _search_study(spark, sf, 80, 200, [12, 24], 6, 4)
 
 
 @query("search_study_stock")
@@ -373,7 +390,8 @@ def _search_study(spark, sf, n, total, sizes, attempts, limit, **options):
     rows = cut_lineage(ranked_sample(measurements(spark, sf), "id", total, [1]).drop("seed"))
     long = rows.select("rank", F.lit("P").alias("task"), F.col("id").alias("key"), "x", F.col("P").alias("y"))
     study = H.search_study(long.where(F.col("rank") <= n).drop("rank"), sizes, attempts, limit, long.where(F.col("rank") > n).drop("rank"), **options)
-    return study.select("task", "n", "seed", *[r6(c, c) for c in ("variance", "variance_mle", "lengthscale", "mle_mae", "mae_mae")], "missing")
+    return study.select("task", "n", "seed", *[r6(c, c) for c in ("variance", "variance_mle", "lengthscale", "mle_mae", "mae_mae")],
+                        "time_mle", "time_mae", "missing")
 
 
 CALIB_SQL = f"""with recursive {MF_SQL}, rk as materialized (select *, row_number() over (order by md5(concat(id, '-1')), id) as r0 from mf qualify r0 <= 1560),
@@ -492,3 +510,36 @@ def _three_tasks(spark, sf, cores, a_ratios, seeds, target):
                     [Scenario("three", "multitask", "P", ("S1", "S2"), cores, (0.0, 1.0), a_ratios)], seeds, target)
     return grid.select("seed", "high_level", "low_level", "datasets",
                        *[r6(c, c) for c in ("mae_error", "maximum_ae_relative", "mae_std", "spearman_error")])
+
+
+LANDMARKS = {"P": 8, "S1": 6, "S2": 4}
+LM_COV = f"""({{a}}.rho * {{b}}.rho * exp(-{dist('{a}', '{b}')} / 2) + case when {{a}}.t = {{b}}.t and {{a}}.t > 0 then {{a}}.v * exp(-{dist('{a}', '{b}')} / (2 * {{a}}.l * {{a}}.l)) else 0 end)"""
+
+
+@query("gp_landmarks", f"""with recursive {RANKED},
+z as materialized (select rank as i, x, case when rank <= 8 then 0 when rank <= 14 then 1 else 2 end as t from rk where rank <= 18),
+th as (select unnest([0, 1, 2]) as t, unnest([1.0::double, 0.95, 0.9]) as rho, unnest([1.0::double, 0.05, 0.05]) as v, unnest([1.0::double, 1.0, 1.5]) as l),
+zt as materialized (select * from z join th using (t)),
+lg as (select id, x, unnest([0, 1, 2]) as t, unnest([P, S1, S2]) as y from mf), pm as (select t, avg(y) as m from lg group by t),
+rw as (select lg.id, x, t, rho, v, l, y - m as r from lg join th using (t) join pm using (t)),
+kn as materialized (select rw.id, rw.t, rw.r, list({LM_COV.format(a='zt', b='rw')} order by zt.i) as k from rw join zt on true group by rw.id, rw.t, rw.r),
+ij as (select unnest(range(1, 19)) as i), ks as (select a.i, b.i as j, sum(k[a.i] * k[b.i]) as s from kn, ij a, ij b group by a.i, b.i),
+kb as (select i, sum(k[i] * r) as b from kn, ij group by i),
+kz as (select a.i, b.i as j, {LM_COV.format(a='a', b='b')} + case when a.i = b.i then 1e-10 else 0 end as kz from zt a, zt b),
+aug as (select c, 18 as n, list(list_concat(row, unit) order by i) as m from (
+  select 1 as c, i, list(s + 0.015 * kz order by j) as row from ks join kz using (i, j) group by i union all
+  select 2, i, list(kz order by j) from kz group by i) join (select i, list_transform(range(1, 19), lambda j: case when j = a.i then 1.0::double else 0.0 end) as unit from ij a) using (i) group by c),
+gj as (select c, n, 0 as k, m from aug union all select c, n, k + 1, list_transform(m, lambda r, idx: case when idx = k + 1 then prow else list_transform(r, lambda v, j: v - r[k + 1] * prow[j]) end)
+ from (select c, n, k, m, list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) as prow from gj where k < n)),
+iv as materialized (select c, list_transform(m, lambda r: r[19:]) as inv from gj where k = 18),
+w as (select list_transform(inv, lambda r: list_dot_product(r, bb)) as w from iv, (select list(b order by i) as bb from kb) where c = 1)
+select id, round(m + list_dot_product(k, w), 4) + 0.0 as mu, round(sqrt(greatest(1 - list_dot_product(k, list_transform(z.inv, lambda r: list_dot_product(r, k)))
+ + 0.015 * list_dot_product(k, list_transform(a.inv, lambda r: list_dot_product(r, k))), 0)), 4) + 0.0 as sigma
+from kn, w, (select m from pm where t = 0), (select inv from iv where c = 1) a, (select inv from iv where c = 2) z where t = 0""")
+def gp_landmarks(spark, sf):
+    """Three tasks of the whole table on tagged landmarks, and every row scored."""
+    mf = measurements(spark, sf)
+    marks = L.sampled_landmarks(ranked_sample(mf, "id", sum(LANDMARKS.values()), [1]),
+                                {t: (v, l, rho) for t, v, l, rho in PARAMS}, LANDMARKS)
+    fitted = L.fit(mf.select("x", *TASKS), TASKS, marks)
+    return _rounded(L.score(mf.select("id", "x"), fitted), 4)
