@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from tiersmith.session import shared_dir
 
 BLOCK_BYTES = 1 << 20
-#: Rows in an Arrow batch at most: texts are long, and a batch is held by the JVM and by its Python worker.
-BATCH_ROWS = 1000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes in an Arrow batch at most: texts are long, and a batch is held by the JVM and by its Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_BATCH_SETTING, _BYTES_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep the session's Arrow batches small enough for texts. Results don't depend on it."""
     if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES_SETTING, None) is not None:
+        spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,12 +19,13 @@ hash. Other columns are not looked at.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,10 @@ MAGIC = b"DAC1"
 END = 2
 SEGMENT = 1 << 18
 RANK_STEP = 512
-REMEMBERED = 200_000
+#: Bytes of words and codes that a worker remembers, and of the texts that it encodes at once.
+REMEMBERED, AT_ONCE = 48 << 20, 2 << 20
 #: Letters that lower-case one by one and compose with nothing, then signs that are no apostrophe.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#%&$|()\"-]*)")
+PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<signs>[.,;:!?*#%&$|()\"-]*)$"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -111,6 +113,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -120,7 +123,11 @@ class ChunkEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.held = 0
+
+    def _keep(self, words: list[str], codes: list[bytes]) -> None:
+        self.known.update(zip(words, codes))
+        self.held += sum(map(len, words)) + sum(map(len, codes)) + 150 * len(words)
 
     def _ask(self, strings: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
@@ -133,32 +140,47 @@ class ChunkEncoder:
             for k, raw in enumerate(self._ask([" ".join(some[k:k + 100]) for k in range(0, len(some), 100)])):
                 words = some[100 * k:100 * k + 100]
                 cut = (4 * (np.flatnonzero(self.last[np.frombuffer(raw, np.uint32)]) + 1)).tolist()
-                codes = [raw[a:b] for a, b in zip([0, *cut], cut)] if len(cut) == len(words) else self._ask(words)
-                self.parts.update(zip(words, codes))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        held = self.known
-        split, other = [], []
-        for p in {p for r in rows for p in r if p not in held}:
-            if p.isascii() and p.isalpha():
-                split.append((p, p.lower(), ""))
-            elif m := PLAIN.fullmatch(p):
-                split.append((p, m[1].lower(), m[2]))
-            else:
-                other.append(p)
-        parts = self.parts
-        self._learn_parts(list({x for _, a, b in split for x in (a, b) if x not in parts}))
-        for p, word, signs in split:
-            self.known[p] = parts[word] + parts[signs]
-        for at in range(0, len(other), 20_000):
-            self.known.update(zip(other[at:at + 20_000], self._ask(other[at:at + 20_000])))
-        known = self.known.__getitem__
-        return [b"".join(map(known, r)) for r in rows]
+                self._keep(words, [raw[a:b] for a, b in zip([0, *cut], cut)] if len(cut) == len(words) else self._ask(words))
+
+    def _codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after the other, and how many each has."""
+        if self.held > REMEMBERED:
+            self.known, self.held = {"": b""}, 0
+        cut = pc.extract_regex(words, PLAIN)
+        plain = cut.is_valid()
+        found = cut.filter(plain)
+        word, signs = (x.dictionary_encode() for x in (pc.utf8_lower(found.field("word")), found.field("signs")))
+        names = [*word.dictionary.to_pylist(), *signs.dictionary.to_pylist()]
+        self._learn_parts([x for x in dict.fromkeys(names) if x not in self.known])
+        other = words.filter(pc.invert(plain)).to_pylist()
+        fresh = [x for x in other if x not in self.known]
+        for at in range(0, len(fresh), 20_000):
+            self._keep(fresh[at:at + 20_000], self._ask(fresh[at:at + 20_000]))
+        pool = [*map(self.known.__getitem__, names), *map(self.known.__getitem__, other), b""]
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        # each word is two entries of the pool: letters and signs, or the whole and nothing
+        pairs = np.full((len(words), 2), len(pool) - 1)
+        here = np.asarray(plain)
+        pairs[here, 0] = np.asarray(word.indices)
+        pairs[here, 1] = len(word.dictionary) + np.asarray(signs.indices)
+        pairs[~here, 0] = len(names) + np.arange(len(other))
+        return _taken(b"".join(pool), sizes, pairs.ravel()), sizes[pairs].sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end; null is empty."""
+        words = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        rows = np.asarray(words.value_lengths(), np.int64)
+        coded = words.flatten().dictionary_encode()
+        flat, sizes = self._codes(coded.dictionary)
+        index = np.asarray(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(sizes[index])])
+        return _taken(flat.tobytes(), sizes, index), ends[np.cumsum(rows)]
+
+
+def _taken(raw: bytes, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Runs of ids, of which there are ``sizes`` one after the other, in another order or repeated."""
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(raw, np.uint32)))
+    return np.asarray(lists.take(pa.array(index)).flatten())
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -174,28 +196,36 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
-        last = np.uint32(end).tobytes()
-        held: list[tuple[int | None, bytes]] = []
+        keys: list[int | None] = []
+        counts: list[int] = []
+        held: list[np.ndarray] = []
         start = size = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), np.uint32)
-            counts = [len(x) // 4 for _, x in held]
-            return pa.record_batch([pa.array([start]), pa.array([[k for k, _ in held]], pa.list_(pa.int64())),
-                                    pa.array([counts], pa.list_(pa.int64())), pa.array([pack(ids)], pa.binary())],
-                                   names=["start", "doc_ids", "counts", "codes"])
+            return pa.record_batch([pa.array([start]), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+                                    pa.array([pack(np.concatenate(held))], pa.binary())], names=["start", "doc_ids", "counts", "codes"])
 
         for batch in batches:
-            for lo, hi in row_blocks(text_bytes(batch.column("text"))[1], 1 << 20):
+            for lo, hi in row_blocks(text_bytes(batch.column("text"))[1], AT_ONCE):
                 part = batch.slice(lo, hi - lo)
-                coded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                for k, code in zip(part.column("key").to_pylist(), coded):
-                    held.append((k, code + last))
-                    size += len(code) // 4 + 1
+                ids, ends = encoder.encode(part.column("text"))
+                ids = np.insert(ids, ends, end)  # the end id behind each document
+                ends = ends + np.arange(1, len(ends) + 1)
+                own, at = part.column("key").to_pylist(), 0
+                while at < len(own):  # documents up to the one with which the segment is full
+                    before = int(ends[at - 1]) if at else 0
+                    stop = min(len(own), int(np.searchsorted(ends, before + SEGMENT - size)) + 1)
+                    keys += own[at:stop]
+                    counts += np.diff(ends[at:stop], prepend=before).tolist()
+                    held.append(ids[before:ends[stop - 1]])
+                    size += int(ends[stop - 1]) - before
                     if size >= SEGMENT:
                         yield close()
-                        start, size, held = start + size, 0, []
-        if held:
+                        start, size, keys, counts, held = start + size, 0, [], [], []
+                    at = stop
+                held = [np.concatenate(held)] if held else []  # no view keeps a block alive
+                del part, ids
+        if keys:
             yield close()
 
     order = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
