@@ -178,3 +178,24 @@ def test_runs_of_one_seed_are_replaced_and_pruned(spark, tmp_path):
     assert pruned.count() == 2
     filters = re.search(r"PartitionFilters: \[([^\]]*)\]", pruned._jdf.queryExecution().executedPlan().toString())
     assert "seed" in filters[1]
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 40])
+def test_matches_in_stacks_equal_those_one_by_one(monkeypatch, cells):
+    monkeypatch.setattr(K, "MATCH_CELLS", cells)
+    rng = np.random.default_rng(4)
+    p, q = ([rng.standard_normal((int(rng.integers(1, 6)), 3)) / 2 for _ in range(9)] for _ in range(2))
+    i, j = (x.ravel() for x in np.indices((9, 9)))
+    got = K.soft_matches(p, q, i, j, 0.5, 1e-9)
+    np.testing.assert_allclose(got, [K.soft_match(p[a] @ q[b].T, 0.5, 1e-9) for a, b in zip(i, j)], rtol=1e-9)
+
+
+def test_a_study_of_too_many_structures_needs_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(K, "MAX_PAIRS", 10)
+    rows = molecules()
+    with pytest.raises(ValueError, match="name a sample"):
+        K.distance_summary(local(spark, rows), SPECIES, isolated(spark))
+    got = K.distance_summary(local(spark, rows), SPECIES, isolated(spark), sample=4, seed=2).collect()
+    assert len(got) == 12 and {r["partners"] for r in got} == {3}
+    again = K.distance_summary(local(spark, rows), SPECIES, isolated(spark), sample=4, seed=2).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))

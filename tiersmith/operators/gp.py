@@ -11,12 +11,16 @@ and by blocks: a cell of n rows needs 8*n*n bytes and no further matrix of that
 size. The rows to score are not bounded, so they are either cut in chunks that
 repeat the cell's fit, or mapped with a broadcast of fits whose total size is
 checked. ``inducing_*`` is the form for training sets without a bound.
+
+``kernel(squared distances, lengthscale)`` and ``mean(values)``, the prior mean
+of a task, are functions that are shipped with the job; a kernel is 1 at
+distance 0.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -39,25 +43,33 @@ def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def covariance(xa, ta, xb, tb, theta) -> np.ndarray:
+def squared_exponential(d: np.ndarray, lengthscale: float) -> np.ndarray:
+    return np.exp(-d / (2 * lengthscale**2))
+
+
+Kernel = Callable[[np.ndarray, float], np.ndarray]
+Mean = Callable[[np.ndarray], float]
+
+
+def covariance(xa, ta, xb, tb, theta, kernel: Kernel = squared_exponential) -> np.ndarray:
     """Covariance block of tagged rows; ``theta`` is (variance, lengthscale, rho) per task number."""
     v, l, rho = theta
     d = sq_distances(xa, xb)
-    k = rho[ta][:, None] * rho[tb][None, :] * v[0] * np.exp(-d / (2 * l[0] ** 2))
+    k = rho[ta][:, None] * rho[tb][None, :] * v[0] * kernel(d, l[0])
     for i in range(1, len(v)):
         ra, rb = np.flatnonzero(ta == i), np.flatnonzero(tb == i)
         if len(ra) and len(rb):
-            k[np.ix_(ra, rb)] += v[i] * np.exp(-d[np.ix_(ra, rb)] / (2 * l[i] ** 2))
+            k[np.ix_(ra, rb)] += v[i] * kernel(d[np.ix_(ra, rb)], l[i])
     return k
 
 
-def factor(x: np.ndarray, task: np.ndarray, theta: tuple, noise: float) -> np.ndarray:
+def factor(x: np.ndarray, task: np.ndarray, theta: tuple, noise: float, kernel: Kernel = squared_exponential) -> np.ndarray:
     """Lower Cholesky factor of the covariance plus noise; one n x n array, filled and factored by blocks."""
     n = len(x)
     low = np.empty((n, n))
     for at in range(0, n, BLOCK):
         rows = slice(at, min(n, at + BLOCK))
-        low[rows, :rows.stop] = covariance(x[rows], task[rows], x[:rows.stop], task[:rows.stop], theta)
+        low[rows, :rows.stop] = covariance(x[rows], task[rows], x[:rows.stop], task[:rows.stop], theta, kernel)
     low[np.diag_indices(n)] += noise
     for at in range(0, n, BLOCK):
         mine, end = slice(at, min(n, at + BLOCK)), min(n, at + BLOCK)
@@ -83,7 +95,7 @@ def forward(low: np.ndarray, b: np.ndarray) -> np.ndarray:
     return q
 
 
-def fit_rows(pdf: pd.DataFrame, noise: float) -> dict:
+def fit_rows(pdf: pd.DataFrame, noise: float, kernel: Kernel = squared_exponential, mean: Mean = np.mean) -> dict:
     """Cholesky fit of one cell from columns task_no, x, y, variance, lengthscale, rho."""
     x = np.stack(pdf["x"].to_numpy())
     task = pdf["task_no"].to_numpy(int)
@@ -94,10 +106,10 @@ def fit_rows(pdf: pd.DataFrame, noise: float) -> dict:
     for i in np.unique(task):
         rows = task == i
         v[i], l[i], rho[i] = pdf.loc[rows, ["variance", "lengthscale", "rho"]].iloc[0]
-        means[i] = y[rows].mean()
+        means[i] = mean(y[rows])
     theta = (v, l, rho)
-    chol = factor(x, task, theta, noise)
-    return dict(x=x, task=task, theta=theta, means=means, chol=chol, white=forward(chol, y - means[task]), noise=noise)
+    chol = factor(x, task, theta, noise, kernel)
+    return dict(x=x, task=task, theta=theta, means=means, chol=chol, white=forward(chol, y - means[task]), noise=noise, kernel=kernel)
 
 
 def predict_rows(fit: dict, x: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +120,12 @@ def predict_rows(fit: dict, x: np.ndarray, low: np.ndarray | None = None) -> tup
     """
     v, l, rho = fit["theta"]
     zero = np.zeros(len(x), int)
-    q = forward(fit["chol"], covariance(fit["x"], fit["task"], x, zero, fit["theta"]))
+    q = forward(fit["chol"], covariance(fit["x"], fit["task"], x, zero, fit["theta"], fit["kernel"]))
     mu = fit["means"][0] + fit["white"] @ q
     var = v[0] - (q * q).sum(0)
     if low is not None:
         last = len(v) - 1
-        b = forward(fit["chol"], covariance(fit["x"], fit["task"], x, zero + last, fit["theta"]))
+        b = forward(fit["chol"], covariance(fit["x"], fit["task"], x, zero + last, fit["theta"], fit["kernel"]))
         cross = rho[last] * v[0] - (q * b).sum(0)
         own = rho[last] ** 2 * v[0] + v[last] + fit["noise"] - (b * b).sum(0)
         mu = mu + cross / own * (low - fit["means"][last] - fit["white"] @ b)
@@ -125,9 +137,12 @@ TRAIN = ["cell_id", "task_no", "x", "y", "rho", "variance", "lengthscale"]
 
 
 def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: int, noise: float = NOISE,
-                    low: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+                    low: str | None = None, carry: tuple[str, ...] = (), solver: Callable[[str], tuple] | None = None) -> DataFrame:
     """Posterior of every test row of every cell.
 
+    ``solver(cell_id)`` gives the functions ``fit(training rows, noise)`` and
+    ``score(fit, x, low) -> (mu, sigma)`` of a cell; without it, ``fit_rows`` and ``predict_rows``.
+
     Returns (cell_id, key, mu, sigma, n_primary, n_secondary_rows, train_time,
     test_time) and the double columns ``carry`` of the test rows. Where ``low``
     is not null, that value of the last task joins the row's training set.
@@ -155,10 +170,11 @@ def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: i
         if not len(rows):
             raise ValueError(f"cell {at.cell_id.iloc[0]} has no training rows")
         t0 = time.perf_counter()
-        fit = fit_rows(rows, noise)
+        fit_cell, score_cell = solver(at.cell_id.iloc[0]) if solver else (fit_rows, predict_rows)
+        fit = fit_cell(rows, noise)
         t1 = time.perf_counter()
         extra = at["low"].to_numpy(float)
-        mu, sigma = predict_rows(fit, np.stack(at["x"].to_numpy()), None if np.isnan(extra).all() else extra)
+        mu, sigma = score_cell(fit, np.stack(at["x"].to_numpy()), None if np.isnan(extra).all() else extra)
         t2 = time.perf_counter()
         first = int((rows.task_no == 0).sum())
         return at[["cell_id", "key", *carry]].assign(
@@ -169,7 +185,7 @@ def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: i
     return done.withColumn("key", F.col("key").cast(test.schema[key].dataType)).withColumnRenamed("key", key)
 
 
-def fit_models(train: DataFrame, noise: float = NOISE) -> dict[str, dict]:
+def fit_models(train: DataFrame, noise: float = NOISE, kernel: Kernel = squared_exponential, mean: Mean = np.mean) -> dict[str, dict]:
     """Fits of a few cells, brought to the driver after a check of their total size.
 
     ``train`` is read twice; store it first when it is expensive.
@@ -181,7 +197,7 @@ def fit_models(train: DataFrame, noise: float = NOISE) -> dict[str, dict]:
         raise ValueError(f"fits need {need:.0f} bytes; score them with fit_and_predict instead")
 
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = fit_rows(pdf, noise)
+        f = fit_rows(pdf, noise, kernel, mean)
         arrays = [f["x"], f["task"].astype(float), np.stack(f["theta"]), f["means"], f["chol"], f["white"]]
         return pd.DataFrame({"cell_id": [pdf.cell_id.iloc[0]], "parts": [[a.tobytes() for a in arrays]],
                              "n": [len(pdf)]})
@@ -192,13 +208,20 @@ def fit_models(train: DataFrame, noise: float = NOISE) -> dict[str, dict]:
     for r in done.collect():
         x, task, theta, means, chol, white = [np.frombuffer(bytes(p)) for p in r["parts"]]
         fits[r["cell_id"]] = dict(x=x.reshape(r["n"], -1), task=task.astype(int), theta=tuple(theta.reshape(3, -1)),
-                                  means=means, chol=chol.reshape(r["n"], r["n"]), white=white, noise=noise)
+                                  means=means, chol=chol.reshape(r["n"], r["n"]), white=white, noise=noise, kernel=kernel)
     return fits
 
 
+def _shared(test: DataFrame, fits: dict[str, dict]) -> Callable[[], dict[str, dict]]:
+    """What gives the fits in a task: arrays by broadcast, kernels, which may be any function, with the job."""
+    arrays = test.sparkSession.sparkContext.broadcast({c: {k: v for k, v in f.items() if k != "kernel"} for c, f in fits.items()})
+    kernels = {c: f["kernel"] for c, f in fits.items()}
+    return lambda: {c: {**f, "kernel": kernels[c]} for c, f in arrays.value.items()}
+
+
 def score_rows(test: DataFrame, fits: dict[str, dict], low: str | None = None) -> DataFrame:
     """Every test row under every fit, without a shuffle; adds cell_id, mu, sigma and drops x."""
-    shared = test.sparkSession.sparkContext.broadcast(fits)
+    shared = _shared(test, fits)
     keep = [f for f in test.schema if f.name != "x"]
     schema = StructType([*keep, StructField("cell_id", StringType()), StructField("mu", DoubleType()),
                          StructField("sigma", DoubleType())])
@@ -209,7 +232,7 @@ def score_rows(test: DataFrame, fits: dict[str, dict], low: str | None = None) -
             if not len(pdf):
                 continue
             x = np.stack(pdf["x"].to_numpy())
-            for cell, fit in shared.value.items():
+            for cell, fit in shared().items():
                 mu, sigma = predict_rows(fit, x, pdf[low].to_numpy(float) if low else None)
                 yield pdf[names].assign(cell_id=cell, mu=mu, sigma=sigma)
 
@@ -218,7 +241,7 @@ def score_rows(test: DataFrame, fits: dict[str, dict], low: str | None = None) -
 
 def score_levels(test: DataFrame, fits: dict[str, dict]) -> DataFrame:
     """Every test row under the sum of all fits, the levels of a chain of differences, without a shuffle; drops x."""
-    shared = test.sparkSession.sparkContext.broadcast(fits)
+    shared = _shared(test, fits)
     keep = [f for f in test.schema if f.name != "x"]
     names = [f.name for f in keep]
     schema = StructType([*keep, StructField("mu", DoubleType()), StructField("sigma", DoubleType())])
@@ -228,7 +251,7 @@ def score_levels(test: DataFrame, fits: dict[str, dict]) -> DataFrame:
             if not len(pdf):
                 continue
             x = np.stack(pdf["x"].to_numpy())
-            levels = [predict_rows(fit, x) for _, fit in sorted(shared.value.items())]
+            levels = [predict_rows(fit, x) for _, fit in sorted(shared().items())]
             yield pdf[names].assign(mu=sum(m for m, _ in levels), sigma=np.sqrt(sum(s * s for _, s in levels)))
 
     return spread(test).mapInPandas(job, schema)

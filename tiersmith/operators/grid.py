@@ -99,21 +99,24 @@ def level_members(members: DataFrame, cell: list[str], key: str) -> DataFrame:
     return upper.join(lower, [*cell, key, "level"], "left_semi")
 
 
-def identifiers(counts: DataFrame) -> DataFrame:
+def identifiers(counts: DataFrame, traits: dict[str, tuple[str | None, bool]]) -> DataFrame:
     """Result identifier of every cell; methods count their rows in different ways.
 
     ``counts`` carries kind, n_primary, n_secondary_rows, n_secondary, primary,
-    last_task, c_ratio, a_ratio, shared.
+    last_task, c_ratio, a_ratio, shared. ``traits`` gives for each kind its name
+    in the results, null for one that goes by its only task, and whether the
+    target row's own value is counted.
     """
     kind = F.col("kind")
-    alone, target = kind == "single", kind.isin("multitask_with_target", "delta")
+    alone, target = kind.isin([k for k, (name, _) in traits.items() if name is None]), kind.isin([k for k, (_, own) in traits.items() if own])
+    named = F.coalesce(*[F.when(kind == k, F.lit(name)) for k, (name, _) in traits.items() if name is not None], F.lit(None).cast("string"))
     label = case_label(F.col("c_ratio"), F.col("a_ratio"))
     cols = {
         "levels": F.when(alone, 1).otherwise(F.col("n_secondary") + 1).cast("int"),
         "lowest": F.when(alone, F.col("primary")).otherwise(F.col("last_task")),
         "high_level": F.col("n_primary"),
         "low_level": F.when(alone, F.lit(0)).otherwise(F.col("n_secondary_rows") + target.cast("int")).cast("bigint"),
-        "method": F.when(alone, F.col("primary")).when(kind == "delta", "Delta").otherwise("Multitask"),
+        "method": F.when(alone, F.col("primary")).otherwise(named),
         "datasets": F.when(alone, F.col("primary")).when(target, F.concat(label, F.lit("T"))).otherwise(label),
         "task_fractions": F.when(alone, F.lit(0.0)).otherwise(F.col("shared"))}
     return counts.select("*", *[c.alias(n) for n, c in cols.items()])

@@ -1,21 +1,73 @@
-"""Prediction methods over grids of training sets: scenarios x seeds x cases as one job."""
+"""Prediction methods over grids of training sets: scenarios x seeds x cases as one job.
+
+A method is an object in ``METHODS``: which rows it trains on, how it fits and
+scores a cell, and how its results are named. ``register`` adds others, whose
+cells are dispatched in the same grouped job.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import permutations
 from math import ceil
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tiersmith.operators.gp import NOISE, fit_and_predict
+from tiersmith.operators.gp import NOISE, Kernel, Mean, fit_and_predict, fit_rows, predict_rows, squared_exponential
 from tiersmith.operators.grid import CELL, cell_counts, expand_cases, identifiers, level_members, membership
 from tiersmith.operators.relational import back_transform, difference_columns, lookup_parameters, stack
 from tiersmith.operators.sampling import nested_split
 from tiersmith.operators.stats import BOUNDED_ROWS, bounded_result_rows, result_rows
 from tiersmith.session import cut_lineage
 
-METHODS = ("single", "multitask", "multitask_with_target", "delta")
+
+
+@dataclass(frozen=True)
+class Method:
+    """How cells of a kind are trained, scored and named.
+
+    ``result_name`` stands in the results' method column; without one, results
+    go by the only task. ``chained`` fits each level of differences between
+    neighbouring tasks by itself, levels are summed; ``with_target`` adds the
+    value that a predicted row has for the last task to the training set of that
+    row. ``fit(rows, noise)`` gets the training rows of a cell (task_no, x, y,
+    rho, variance, lengthscale) and ``score(fit, x, low)`` gives means and
+    deviations; ``low`` is null unless ``with_target``. Without ``fit``, cells
+    are Gaussian-process regressions with the run's kernel and prior mean.
+    """
+    name: str
+    result_name: str | None = "Multitask"
+    chained: bool = False
+    with_target: bool = False
+    fit: Callable | None = None
+    score: Callable = predict_rows
+
+    def solver(self, kernel: Kernel, mean: Mean) -> tuple[Callable, Callable]:
+        return self.fit or partial(fit_rows, kernel=kernel, mean=mean), self.score
+
+
+METHODS: dict[str, Method] = {}
+
+
+def register(method: Method) -> Method:
+    METHODS[method.name] = method
+    return method
+
+
+register(Method("single", None))
+register(Method("multitask"))
+register(Method("multitask_with_target", with_target=True))
+register(Method("delta", "Delta", chained=True))
+
+
+def method_traits() -> dict[str, tuple[str | None, bool]]:
+    """For ``identifiers``: result name, and whether the predicted row's own value counts as a row."""
+    return {m.name: (m.result_name, m.with_target or m.chained) for m in METHODS.values()}
+
+
 DEFAULT_A = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 
 
@@ -48,7 +100,7 @@ class Scenario:
     def parameter_names(self) -> tuple[str, ...]:
         if self.parameters:
             return self.parameters
-        if self.method == "delta":
+        if METHODS[self.method].chained:
             return tuple(f"{a}_{b}" for a, b in zip(self.tasks, self.tasks[1:]))
         return self.tasks
 
@@ -88,7 +140,8 @@ def _value(i) -> F.Column:
 
 
 def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: DataFrame, scenarios: list[Scenario],
-                  seeds: list[int], target: int, *, noise: float = NOISE) -> DataFrame:
+                  seeds: list[int], target: int, *, noise: float = NOISE, kernel: Kernel = squared_exponential,
+                  mean: Mean = np.mean) -> DataFrame:
     """Predictions of all target rows of all cells in one grouped job.
 
     ``measurements(key, x, <tasks>)``; all scenarios of a seed share T, C and A.
@@ -105,14 +158,15 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
     table = _task_table(spark, scenarios)
     # One row per scenario and task; hashing training rows by so few keys would leave most tasks idle.
     par = F.broadcast(lookup_parameters(table, params).drop("task"))
-    chained = F.col("scenario").isin([s.name for s in scenarios if s.method == "delta"])
+    by_level = [s.name for s in scenarios if METHODS[s.method].chained]
+    chained = F.col("scenario").isin(by_level)
     cells = scenario_cells(spark.createDataFrame([(int(s),) for s in seeds], "seed int").coalesce(1), scenarios)
     members = membership(cells.drop("kind", "tasks"), pool, [key, "x", "v"])
 
     plain = (members.where(~chained).join(par, ["scenario", "task_no"])
                     .withColumn("y", _value(F.col("task_no"))).withColumn("level", F.lit(1)))
     trains = [plain]
-    if any(s.method == "delta" for s in scenarios):
+    if by_level:
         levels = level_members(members.where(chained), CELL, key).join(pool.select("seed", key, "x", "v"), ["seed", key])
         trains.append(levels.withColumn("task_no", F.col("level") - 1).join(par, ["scenario", "task_no"])
                             .withColumn("y", _value(F.col("task_no")) - _value(F.col("task_no") + 1))
@@ -121,14 +175,18 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
     train = stack([t.select(fit_id.alias("cell_id"), "task_no", "x", "y", "rho", "variance", "lengthscale") for t in trains])
 
     last = F.col("v")[F.element_at("tasks", -1)]
-    is_delta = F.col("kind") == "delta"
+    is_delta = F.col("kind").isin([m.name for m in METHODS.values() if m.chained])
+    own_value = F.col("kind").isin([m.name for m in METHODS.values() if m.with_target])
     level_list = F.when(is_delta, F.sequence(F.lit(1), F.col("n_secondary"))).otherwise(F.array(F.lit(1)))
     tests = (cells.join(pool.where(F.col("part") == "T").select("seed", key, "x", "v"), "seed")
                   .withColumn("baseline", F.when(is_delta, last).otherwise(0.0))
                   .withColumn("truth", F.col("v")[F.col("tasks")[0]] - F.col("baseline"))
-                  .withColumn("low", F.when(F.col("kind") == "multitask_with_target", last))
+                  .withColumn("low", F.when(own_value, last))
                   .withColumn("level", F.explode(level_list)).withColumn("cell_id", fit_id))
-    parts = fit_and_predict(train, tests, key, test_rows=target, noise=noise, low="low", carry=("truth", "baseline"))
+    solvers = {s.name: METHODS[s.method].solver(kernel, mean) for s in scenarios}
+    names_end = len(CELL) - 1  # a scenario's name may hold the mark between the parts of a cell's
+    parts = fit_and_predict(train, tests, key, test_rows=target, noise=noise, low="low", carry=("truth", "baseline"),
+                            solver=lambda cell: solvers[cell.rsplit("|", names_end)[0]])
     level = F.element_at(F.split("cell_id", "#"), -1)
     summed = (parts.withColumn("level", level).withColumn("cell_id", F.regexp_replace("cell_id", "#[0-9]+$", ""))
                    .groupBy("cell_id", key).agg(
@@ -151,23 +209,24 @@ def cell_identifiers(members: DataFrame, key: str, scenarios: list[Scenario]) ->
     spark = members.sparkSession
     names = spark.createDataFrame([(s.name, s.method, s.primary, s.tasks[-1], len(s.secondaries)) for s in scenarios],
                                   "scenario string, kind string, primary string, last_task string, n_secondary int").coalesce(1)
-    chained = F.col("scenario").isin([s.name for s in scenarios if s.method == "delta"])
+    chained = F.col("scenario").isin([s.name for s in scenarios if METHODS[s.method].chained])
     levels = level_members(members.where(chained), CELL, key)
     counts = stack([cell_counts(members.where(~chained)), levels.groupBy(*CELL).agg(
         F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("n_primary"), F.count("*").alias("n_secondary_rows"))])
-    return identifiers(counts.join(names, "scenario")).select(
+    return identifiers(counts.join(names, "scenario"), method_traits()).select(
         *CELL, "levels", "lowest", "high_level", "low_level", "method", "datasets", "task_fractions")
 
 
 def run_grid(measurements: DataFrame, key: str, tasks: list[str], params: DataFrame, scenarios: list[Scenario],
-             seeds: list[int], target: int, *, noise: float = NOISE) -> DataFrame:
+             seeds: list[int], target: int, *, noise: float = NOISE, kernel: Kernel = squared_exponential,
+             mean: Mean = np.mean) -> DataFrame:
     """Result rows of all scenarios, seeds and cases: identifiers, times and the 18 statistics."""
-    pred = cut_lineage(predict_cells(measurements, key, tasks, params, scenarios, seeds, target, noise=noise))
+    pred = cut_lineage(predict_cells(measurements, key, tasks, params, scenarios, seeds, target, noise=noise, kernel=kernel, mean=mean))
     total = back_transform(pred)  # a cell has ``target`` rows
     stats = bounded_result_rows(total, ["cell_id"]) if target <= BOUNDED_ROWS else result_rows(total, ["cell_id"], key, stored=True)
     about = ["kind", "seed", "c_ratio", "a_ratio", "shared", "n_secondary", "primary", "last_task"]
     counts = pred.groupBy("cell_id", *about).agg(
         F.max("n_primary").alias("n_primary"), F.max("n_secondary_rows").alias("n_secondary_rows"),
         F.sum("train_time").alias("train_time"), F.sum("test_time").alias("test_time"))
-    return (identifiers(counts).join(stats, "cell_id").withColumn("target", F.lit(target))
+    return (identifiers(counts, method_traits()).join(stats, "cell_id").withColumn("target", F.lit(target))
                                .drop("cell_id", *[c for c in about if c != "seed"], "n_primary", "n_secondary_rows"))

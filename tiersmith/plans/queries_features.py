@@ -168,7 +168,25 @@ def distance_correlations(spark, sf):
     return d.select("kind_a", "kind_b", "pairs", r6("correlation", "correlation"), r6("largest", "largest"))
 
 
-@query("soft_match_distance")
+MATCH_SQL = """with recursive lf as materialized (select vec_id // 10 as mol_id, cast(vec_id % 10 as integer) as atom_idx,
+ ['H','C','N','O'][vec_id % 4 + 1] as species, embedding::double[] as f from embeddings),
+hv as (select * from lf where species <> 'H'),
+nm as (select mol_id, sqrt(sum(list_dot_product(f, f))) as norm from hv group by mol_id),
+am as materialized (select mol_id, row_number() over (partition by mol_id order by atom_idx) as a, list_transform(f, lambda v: v / norm) as f from hv join nm using (mol_id)),
+pr as (select x.mol_id as i, y.mol_id as j from nm x join nm y on x.mol_id <= y.mol_id),
+cl as (select i, j, p.a as a, list(list_dot_product(p.f, q.f) order by q.a) as c from pr join am p on p.mol_id = i join am q on q.mol_id = j group by i, j, p.a),
+cm as materialized (select i, j, list(c order by a) as c, list(list_transform(c, lambda v: exp(-(1 - v) / 0.5)) order by a) as k from cl group by i, j),
+it as (select i, j, c, k, 0 as step, list_transform(k, lambda r: 1.0::double / len(k)) as u, [0.0::double] as v, false as done from cm
+ union all select i, j, c, k, step + 1, nu, nv, list_sum(list_transform(nu, lambda x, p: abs(x - u[p]))) / list_sum(list_transform(nu, lambda x: abs(x))) < 1e-6
+ from (select *, list_transform(k, lambda r: (1.0::double / len(k)) / list_dot_product(r, nv)) as nu
+  from (select *, list_transform(k[1], lambda x, q: (1.0::double / len(k[1])) / list_dot_product(u, list_transform(k, lambda r: r[q]))) as nv
+   from it where not done))),
+sm as materialized (select i, j, list_sum(list_transform(c, lambda r, p: u[p] * list_sum(list_transform(r, lambda x, q: x * k[p][q] * v[q])))) as s from it where done),
+d as (select sm.i, sm.j, sqrt(greatest(2 - 2 * power(sm.s / sqrt(a.s * b.s), 2), 0)) as d from sm join sm a on a.i = sm.i and a.j = sm.i join sm b on b.i = sm.j and b.j = sm.j where sm.i < sm.j)"""
+
+
+@query("soft_match_distance", f"""{MATCH_SQL}, e as (select i as mol_id, d from d union all select j, d from d)
+select mol_id, count(*) as partners, round(avg(d), 6) as mean, round(min(d), 6) as smallest, round(max(d), 6) as largest from e group by mol_id""")
 def soft_match_distance(spark, sf):
     d = K.distance_summary(local_features(spark, sf), SPECIES, isolated_atoms(spark, sf))
     return d.where("kind = 'd_match'").select("mol_id", "partners", r6("mean", "mean"), r6("smallest", "smallest"),
