@@ -90,3 +90,23 @@ def test_a_grid_takes_the_kernel_and_the_mean(spark):
 def test_unknown_methods_are_named(spark):
     with pytest.raises(ValueError, match="unknown method 'furthest'; known are single"):
         M.Scenario("x", "furthest", "P")
+
+
+def test_the_sample_is_not_shuffled_to_its_cells(spark, monkeypatch):
+    """Cells meet a sample of measured size by broadcast; a larger one is joined by exchange with the same result."""
+    df = long_rows(spark, 100, None)
+    params = spark.createDataFrame(PARAMETERS, PARAMS)
+    two = [M.Scenario("two", "multitask", "P", ("S1",), (10,), (1.0,), (0.0, 1.0))]
+    rows, plans = {}, {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for size in (M.POOL_BYTES, 0):
+            monkeypatch.setattr(M, "POOL_BYTES", size)
+            pred = M.predict_cells(df, "id", ["P", "S1"], params, two, [1, 2], 30)
+            plans[size] = pred._jdf.queryExecution().optimizedPlan().toString()
+            rows[size] = sorted((r.cell_id, r.id, round(r.mu, 9)) for r in pred.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    big, none = sorted(plans, reverse=True)
+    assert rows[big] == rows[none] and len(rows[big]) == 120
+    assert plans[big].count("strategy=broadcast") > plans[none].count("strategy=broadcast")

@@ -125,6 +125,30 @@ def percent_improvement(means: DataFrame, lowest: str, middle: str,
     return stack(out).select("datasets", "high_level", F.col("low_two").alias("low_level"), gain.alias("percent"))
 
 
+def improvement_by_ratio(means: DataFrame, lowest: str, middle: str,
+                         pairs: dict[str, list[tuple[float, float, float]]]) -> DataFrame:
+    """``100*(two - three)/two`` of cells named by what they are made of, so that a missing run has no partner and moves no other pair.
+
+    ``pairs`` lists, per label, (additional ratio of two tasks, that of three
+    tasks, shared fraction of three tasks); labels without an additional set
+    take 0 for the ratios. A cell is found by the number of secondary rows
+    that its label, core size and ratio imply.
+    """
+    def cells(label: str, levels: int, low: str, ratio: float, share: float, name: str) -> DataFrame:
+        size = expected_low_level(F.col("high_level"), F.lit(label), F.lit(levels - 1), F.lit(share), F.lit(ratio))
+        return tuple_filter(means, [*FULL, "task_fractions"], [("Multitask", label, levels, low, share)]).where(
+            F.col("low_level") == size).select("datasets", "high_level", F.col("low_level").alias(f"low_{name}"), F.col("mae_error").alias(f"mae_{name}"))
+
+    out = []
+    for label, wanted in pairs.items():
+        for two, three, share in wanted:
+            joined = cells(label, 2, lowest, two, 1.0, "two").join(
+                cells(label, 3, lowest if label.endswith("T") else middle, three, share, "three"), ["datasets", "high_level"])
+            out.append(joined.withColumn("ratio_two", F.lit(float(two))).withColumn("ratio_three", F.lit(float(three))).withColumn("shared", F.lit(share)))
+    gain = safe_div(100 * (F.col("mae_two") - F.col("mae_three")), F.col("mae_two"))
+    return stack(out).select("datasets", "high_level", "ratio_two", "ratio_three", "shared", "low_two", "low_three", gain.alias("percent"))
+
+
 def difference_report(means: DataFrame, primary: str, lowest: str, datasets: tuple[str, str]) -> DataFrame:
     """Reference minus each of two labels and their difference, at equal core and additional sets."""
     ref = tuple_filter(means, ["method"], [(primary,)]).select("high_level", F.col("mae_error").alias("ref"))

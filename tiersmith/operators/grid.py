@@ -82,7 +82,7 @@ def cell_positions(cells: DataFrame) -> DataFrame:
 def membership(cells: DataFrame, split: DataFrame, keep: list[str]) -> DataFrame:
     """Training rows of every cell; ``split(seed, part, pos, ...)`` is the sample."""
     pool = split.where(F.col("part") != "T").select("seed", "part", "pos", *keep)
-    return cell_positions(cells).join(pool, ["seed", "part", "pos"])
+    return cell_positions(cells).join(pool, ["seed", "part", "pos"])  # a broadcast hint on the sample holds here
 
 
 def cell_counts(members: DataFrame, cell: list[str] = CELL) -> DataFrame:

@@ -139,6 +139,20 @@ def _value(i) -> F.Column:
     return F.col("v")[F.element_at("tasks", i + 1)]
 
 
+#: Bytes of the sample that every cell reads, up to which it is broadcast.
+POOL_BYTES = 64 << 20
+
+
+def _sent_whole(pool: DataFrame, names: int) -> DataFrame:
+    """The stored sample, broadcast if its measured size allows it.
+
+    Cells outnumber its rows by far and ask for the same first positions, so a
+    shuffle would send most of them to the tasks of a few keys.
+    """
+    rows, d = pool.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    return F.broadcast(pool) if rows * (8 * d + 64 * names + 128) <= POOL_BYTES else pool
+
+
 def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: DataFrame, scenarios: list[Scenario],
                   seeds: list[int], target: int, *, noise: float = NOISE, kernel: Kernel = squared_exponential,
                   mean: Mean = np.mean) -> DataFrame:
@@ -155,6 +169,7 @@ def predict_cells(measurements: DataFrame, key: str, tasks: list[str], params: D
     # The sample is bounded by the grid; it is stored because every cell reads it.
     pool = cut_lineage(difference_columns(split, tasks).select(
         "seed", "part", "pos", key, "x", F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))]).alias("v")))
+    pool = _sent_whole(pool, len(names))
     table = _task_table(spark, scenarios)
     # One row per scenario and task; hashing training rows by so few keys would leave most tasks idle.
     par = F.broadcast(lookup_parameters(table, params).drop("task"))

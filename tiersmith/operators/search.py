@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiersmith.functions.columns import order_hash
 from tiersmith.operators.gp import NOISE, sq_distances
-from tiersmith.operators.relational import stack
-from tiersmith.operators.stats import pearson
+from tiersmith.operators.relational import accepted, stack
+from tiersmith.operators.stats import medians, pearson
 from tiersmith.session import cut_lineage, task_slots
 
 CANDIDATES_PER_GROUP = 8
@@ -347,6 +347,19 @@ def campaign(df: DataFrame, key: str, primary: str, secondaries: list[str], seed
         "length_at_bound", "variance_at_bound", "time_mle", "time_mae", "converged", "reason")
 
 
+def parameters(log: DataFrame, cap: float = 1e6, by: tuple[str, ...] = ()) -> DataFrame:
+    """Parameter table (by, task, variance, lengthscale, rho): medians over the seeds of the accepted searches of each task.
+
+    ``by`` names further key columns of the log, such as a domain. A task
+    without an accepted search has no row, so a grid that asks for it fails.
+    """
+    good = accepted(log, cap)
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ("variance", "lengthscale", "rho")]))
+    long = good.select(*by, "task", "seed", values.alias("e")).select(*by, "task", "seed", "e.name", "e.v")
+    found = medians(long, [*by, "task", "name"], "v", ["seed"])
+    return found.groupBy(*by, "task").agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in ("variance", "lengthscale", "rho")])
+
+
 def search_study(rows: DataFrame, sizes: list[int], attempts: int, limit: int, fresh: DataFrame,
                  cap: float = 1e3, most: int | None = None, **options) -> DataFrame:
     """Accuracy of searches on small sets: for each task and size the first ``limit`` accepted

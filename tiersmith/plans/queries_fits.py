@@ -543,3 +543,17 @@ def gp_landmarks(spark, sf):
                                 {t: (v, l, rho) for t, v, l, rho in PARAMS}, LANDMARKS)
     fitted = L.fit(mf.select("x", *TASKS), TASKS, marks)
     return _rounded(L.score(mf.select("id", "x"), fitted), 4)
+
+
+@query("searched_grid")
+def searched_grid(spark, sf):
+    """From the search to the curves: searches on reserved rows, medians of the accepted ones, a grid over all other rows with these parameters."""
+    mf = measurements(spark, sf)
+    reserved = cut_lineage(ranked_sample(mf, "id", SEARCH_ROWS, [1]).drop("seed", "rank"))
+    log = cut_lineage(H.campaign(reserved, "id", "P", ["S1", "S2"], list(range(1, 21))))
+    rest = mf.join(F.broadcast(reserved.select("id")), "id", "left_anti")  # SEARCH_ROWS keys
+    scenarios = [single("one", "P", CURVE_CORES), Scenario("two", "multitask", "P", ("S1",), CURVE_CORES, (1.0,), (0.0, 2.0)),
+                 Scenario("chain", "delta", "P", ("S1", "S2"), CURVE_CORES, (1.0,), (0.0,))]
+    grid = run_grid(rest, "id", TASKS, H.parameters(log), scenarios, CURVE_SEEDS, CURVE_TARGET)
+    return with_cost(grid).select("method", "datasets", "high_level", "low_level", "seed", r6("mae_error", "mae_error"),
+                                  r6("spearman_error", "spearman_error"), "cost")

@@ -99,6 +99,24 @@ def percent_improvement(spark, sf):
     return p.select("datasets", "high_level", "low_level", (F.round("percent", 4) + F.lit(0.0)).alias("percent"))
 
 
+RATIO_PAIRS = {"C": [(0.0, 0.0, 1.0), (0.0, 0.0, 0.5)], "A": [(1.0, 0.5, 1.0), (2.0, 1.0, 1.0), (6.0, 3.0, 0.5)],
+               "CAT": [(1.0, 0.5, 1.0), (2.0, 1.0, 0.5), (6.0, 3.0, 1.0)]}
+_PAIRS = ", ".join(f"('{k}', {a}::double, {b}::double, {c}::double)" for k, v in RATIO_PAIRS.items() for a, b, c in v)
+
+
+@query("improvement_by_ratio", f"""with {MEANS}, pr(datasets, ratio_two, ratio_three, shared) as (values {_PAIRS})
+select datasets, high_level, ratio_two, ratio_three, shared, a.low_level as low_two, b.low_level as low_three,
+ round(100 * (a.mae_error - b.mae_error) / nullif(a.mae_error, 0), 4) + 0.0 as percent
+from pr join means a using (datasets) join means b using (datasets, high_level)
+where a.method = 'Multitask' and a.levels = 2 and a.lowest = 'S1' and a.task_fractions = 1 and b.method = 'Multitask' and b.levels = 3
+ and b.lowest = case when datasets like '%T' then 'S1' else 'S2' end and b.task_fractions = shared
+ and a.low_level = {low_level_sql('high_level', 'datasets', '1', '1.0::double', 'ratio_two')}
+ and b.low_level = {low_level_sql('high_level', 'datasets', '2', 'shared', 'ratio_three')}""")
+def improvement_by_ratio(spark, sf):
+    p = A.improvement_by_ratio(_means(spark, sf), "S1", "S2", RATIO_PAIRS)
+    return p.withColumn("percent", F.round("percent", 4) + F.lit(0.0))
+
+
 REPORT = f"""{MEANS}, {SIDES}, ref as (select high_level, mae_error as ref from means where method = 'P'),
 rep as (select a.task_fractions, high_level, extra, ref - a.mae_error as ref_1, ref - b.mae_error as ref_2, a.mae_error - b.mae_error as m1_2
  from sides a join sides b using (task_fractions, high_level, extra, lowest) join ref using (high_level)
