@@ -142,3 +142,12 @@ def test_rows_of_a_hot_group_grow_with_its_documents(spark, monkeypatch):
     assert rows[600][0] <= 600 * 64
     assert all(rows[2 * n][0] <= 2.5 * rows[n][0] for n in (150, 300))
     monkeypatch.setattr(minhash, "BLOCK", 4096)
+
+
+def test_components_joined_by_shuffle(spark, monkeypatch):
+    import sys
+
+    monkeypatch.setattr(sys.modules["tiersmith.llm.components"], "BROADCAST_NODES", 0)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(60, 150)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100 + k: 60 for k in range(60)} | {60: 60}

@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tiersmith.llm.frames import written
 
+#: Smallest neighbours are broadcast up to this number of nodes (some 50 MB); beyond, they are joined by shuffle.
+BROADCAST_NODES = 1_000_000
+
+
+def _kept(df: DataFrame, what: str) -> tuple[DataFrame, tuple[int, int]]:
+    """A table (u, v) written, with its number of rows and the sum of their hashes, taken while it is written."""
+    seen = Observation()
+    values = F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")
+    out = written(df.observe(seen, *values), what)
+    return out, (seen.get["n"], seen.get["x"])
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with m, the smallest neighbour of u, and that table; it is written, so that a join by shuffle can be split at a hot node."""
+    least, (n, _) = _kept(least.toDF("u", "v"), "least")
+    least = least.toDF("u", "m")
+    return edges.join(F.broadcast(least) if n <= BROADCAST_NODES else least, "u"), least
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the smallest node around it. No neighbourhood is gathered."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    around = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return _with_least(both.where("v > u"), around)[0].select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, are linked with the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined, least = _with_least(down, down.groupBy("u").agg(F.min("v").alias("m")))
+    moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge between different nodes; the component is its smallest node.
 
@@ -36,11 +50,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     harmless; an edge with a null end is no edge; without edges the result is empty.
     """
     at = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    at = written(at.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(at)
+    at, before = _kept(at.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(rounds):
-        at = written(_small_star(_large_star(at)), "stars")
-        now = _state(at)
+        at, now = _kept(_small_star(_large_star(at)), "stars")
         if now == before:
             return at.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
