@@ -110,3 +110,30 @@ def test_the_sample_is_not_shuffled_to_its_cells(spark, monkeypatch):
     big, none = sorted(plans, reverse=True)
     assert rows[big] == rows[none] and len(rows[big]) == 120
     assert plans[big].count("strategy=broadcast") > plans[none].count("strategy=broadcast")
+
+
+@pytest.mark.parametrize("pieces", [16 << 20, 500])
+def test_many_rows_to_score_take_one_fit_of_each_cell(spark, monkeypatch, pieces):
+    """Two cells with 50,000 rows between them: each is factored once, and the numbers are those of the plain fit."""
+    monkeypatch.setattr(K, "PIECE_BYTES", pieces)
+    x, p, s1, _ = data(60)
+    par = [(1.0, 1.0, 1.0), (0.1, 0.7, 0.9)]
+    train = frame(spark, "a", [x[:20], x[:30]], [p[:20], s1[:30]], par).union(frame(spark, "b", [x[30:50]], [p[30:50]], par))
+    fitted = spark.sparkContext.accumulator(0)
+
+    def counted(rows, noise):
+        fitted.add(1)
+        return K.fit_rows(rows, noise)
+
+    rng = np.random.default_rng(1)
+    points = [(c, i, rng.uniform(0, 3, 2).tolist()) for c in "ab" for i in range(25_000)]
+    test = spark.createDataFrame(points, "cell_id string, id int, x array<double>")
+    got = K.fit_and_predict(train, test, "id", test_rows=25_000, solver=lambda cell: (counted, K.predict_rows)).collect()
+    assert fitted.value == 2 and len(got) == 50_000 and {r.n_secondary_rows for r in got if r.cell_id == "a"} == {30}
+    fits = K.fit_models(train)
+    at = {(c, i): q for c, i, q in points}
+    for c in "ab":
+        mine = [r for r in got if r.cell_id == c]
+        mu, sigma = K.predict_rows(fits[c], np.array([at[c, r.id] for r in mine]))
+        np.testing.assert_allclose([r.mu for r in mine], mu, atol=1e-10)
+        np.testing.assert_allclose([r.sigma for r in mine], sigma, atol=1e-8)

@@ -9,7 +9,7 @@ needs nothing but its own rows.
 A cell's training set is bounded by the grid and fitted in one task, in place
 and by blocks: a cell of n rows needs 8*n*n bytes and no further matrix of that
 size. The rows to score are not bounded, so they are either cut in chunks that
-repeat the cell's fit, or mapped with a broadcast of fits whose total size is
+read the cell's stored fit, or mapped with a broadcast of fits whose total size is
 checked. ``inducing_*`` is the form for training sets without a bound.
 
 ``kernel(squared distances, lengthscale)`` and ``mean(values)``, the prior mean
@@ -25,6 +25,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -33,6 +34,8 @@ from tiersmith.session import cut_lineage, spread, task_slots
 NOISE = 0.015
 BLOCK = 512
 CHUNK_ROWS = 8192
+#: Bytes of a stored fit in one row.
+PIECE_BYTES = 16 << 20
 BROADCAST_BYTES = 256 << 20
 FAN_IN = 32
 PARTIAL = "part int, total binary"
@@ -149,19 +152,41 @@ def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: i
     ``test_rows`` is the number of test rows per cell; above ``CHUNK_ROWS`` a
     cell is scored by several groups. Times are shares that sum to the cell's seconds.
     """
-    spark = train.sparkSession
     chunks = max(1, ceil(test_rows / CHUNK_ROWS))
+    chunk = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk")
     none = F.lit(None).cast("double")
-    left = train.select(*TRAIN, F.lit(None).cast("string").alias("key"), none.alias("low"), *[none.alias(c) for c in carry],
-                        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    right = test.select("cell_id", F.lit(-1).alias("task_no"), "x",
-                        *[none.alias(c) for c in ("y", "rho", "variance", "lengthscale")],
-                        F.col(key).cast("string").alias("key"), (F.col(low) if low else none).cast("double").alias("low"),
-                        *[F.col(c).cast("double").alias(c) for c in carry],
-                        F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk"))
-    rows = left.unionByName(right).repartition(task_slots(spark), "cell_id", "chunk")
-    out = {"cell_id": "string", "key": "string", "mu": "double", "sigma": "double", "n_primary": "bigint",
-           "n_secondary_rows": "bigint", "train_time": "double", "test_time": "double", **{c: "double" for c in carry}}
+    test = test.select("cell_id", F.col(key).cast("string").alias("key"), "x", (F.col(low) if low else none).cast("double").alias("low"),
+                       *[F.col(c).cast("double").alias(c) for c in carry], chunk).withMetadata("key", {"type": test.schema[key].dataType.simpleString()})
+    run = _scored_by_stored_fits if chunks > 1 else _fitted_and_scored
+    done = run(train.select(*TRAIN), test, chunks, noise, solver or (lambda cell: (fit_rows, predict_rows)), carry)
+    kind = test.schema["key"].metadata["type"]
+    return done.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
+
+
+def _out(carry: tuple[str, ...]) -> dict[str, str]:
+    return {"cell_id": "string", "key": "string", "mu": "double", "sigma": "double", "n_primary": "bigint",
+            "n_secondary_rows": "bigint", "train_time": "double", "test_time": "double", **{c: "double" for c in carry}}
+
+
+def _kinds(columns: dict[str, str]) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in columns.items())
+
+
+def _scores(at: pd.DataFrame, fit, score, carry: tuple[str, ...], n_primary: int, n_rest: int, train_time: float) -> pd.DataFrame:
+    """Rows to score with their results; ``train_time`` is the share of each of them."""
+    start = time.perf_counter()
+    extra = at["low"].to_numpy(float)
+    mu, sigma = score(fit, np.stack(at["x"].to_numpy()), None if np.isnan(extra).all() else extra)
+    return at[["cell_id", "key", *carry]].assign(
+        mu=mu, sigma=sigma, n_primary=n_primary, n_secondary_rows=n_rest, train_time=train_time,
+        test_time=(time.perf_counter() - start) / len(at))[list(_out(carry))]
+
+
+def _fitted_and_scored(train: DataFrame, test: DataFrame, chunks: int, noise: float, solver, carry: tuple[str, ...]) -> DataFrame:
+    """Cells whose rows to score are one group: fitted and scored by one task."""
+    none = F.lit(None).cast("double")
+    left = train.select("*", F.lit(None).cast("string").alias("key"), none.alias("low"), *[none.alias(c) for c in carry])
+    right = test.drop("chunk").select("*", F.lit(-1).alias("task_no"), *[none.alias(c) for c in ("y", "rho", "variance", "lengthscale")])
 
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
         at, rows = pdf[pdf.task_no < 0], pdf[pdf.task_no >= 0]
@@ -169,20 +194,44 @@ def fit_and_predict(train: DataFrame, test: DataFrame, key: str, *, test_rows: i
             return pd.DataFrame()
         if not len(rows):
             raise ValueError(f"cell {at.cell_id.iloc[0]} has no training rows")
-        t0 = time.perf_counter()
-        fit_cell, score_cell = solver(at.cell_id.iloc[0]) if solver else (fit_rows, predict_rows)
+        start = time.perf_counter()
+        fit_cell, score_cell = solver(at.cell_id.iloc[0])
         fit = fit_cell(rows, noise)
-        t1 = time.perf_counter()
-        extra = at["low"].to_numpy(float)
-        mu, sigma = score_cell(fit, np.stack(at["x"].to_numpy()), None if np.isnan(extra).all() else extra)
-        t2 = time.perf_counter()
         first = int((rows.task_no == 0).sum())
-        return at[["cell_id", "key", *carry]].assign(
-            mu=mu, sigma=sigma, n_primary=first, n_secondary_rows=len(rows) - first,
-            train_time=(t1 - t0) / len(at), test_time=(t2 - t1) / len(at))[list(out)]
+        return _scores(at, fit, score_cell, carry, first, len(rows) - first, (time.perf_counter() - start) / len(at))
+
+    rows = left.unionByName(right).repartition(task_slots(train.sparkSession), "cell_id")
+    return rows.groupBy("cell_id").applyInPandas(job, _kinds(_out(carry)))
+
+
+def _scored_by_stored_fits(train: DataFrame, test: DataFrame, chunks: int, noise: float, solver, carry: tuple[str, ...]) -> DataFrame:
+    """Cells with several groups of rows to score: each is fitted once, its fit is stored in pieces, which the groups read."""
+    def store(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = time.perf_counter()
+        fit = cloudpickle.dumps(solver(pdf.cell_id.iloc[0])[0](pdf, noise))
+        first = int((pdf.task_no == 0).sum())
+        pieces = [fit[lo:lo + PIECE_BYTES] for lo in range(0, len(fit), PIECE_BYTES)]
+        return pd.DataFrame({"cell_id": pdf.cell_id.iloc[0], "piece": range(len(pieces)), "data": pieces, "n_primary": first,
+                             "n_secondary_rows": len(pdf) - first, "seconds": time.perf_counter() - start})
+
+    slots = task_slots(train.sparkSession)
+    fits = cut_lineage(train.repartition(slots, "cell_id").groupBy("cell_id").applyInPandas(
+        store, "cell_id string, piece int, data binary, n_primary bigint, n_secondary_rows bigint, seconds double"))
+    sent = fits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    total = test.groupBy("cell_id").agg(F.count("*").alias("to_score"))
+    sent = sent.join(total, "cell_id", "left").repartition(slots, "cell_id", "chunk")
+
+    def job(pieces: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if not len(at):
+            return pd.DataFrame()
+        if not len(pieces):
+            raise ValueError(f"cell {at.cell_id.iloc[0]} has no training rows")
+        one = pieces.iloc[0]
+        fit = cloudpickle.loads(b"".join(pieces.sort_values("piece")["data"]))
+        return _scores(at, fit, solver(one.cell_id)[1], carry, one.n_primary, one.n_secondary_rows, one.seconds / one.to_score)
 
-    done = rows.groupBy("cell_id", "chunk").applyInPandas(job, ", ".join(f"`{c}` {t}" for c, t in out.items()))
-    return done.withColumn("key", F.col("key").cast(test.schema[key].dataType)).withColumnRenamed("key", key)
+    return sent.groupBy("cell_id", "chunk").cogroup(test.repartition(slots, "cell_id", "chunk").groupBy("cell_id", "chunk")).applyInPandas(
+        job, _kinds(_out(carry)))
 
 
 def fit_models(train: DataFrame, noise: float = NOISE, kernel: Kernel = squared_exponential, mean: Mean = np.mean) -> dict[str, dict]:
