@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Train on documents that have a label; at most about ``rows`` of them."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     known = known.join(docs.select(key).distinct(), key, "left_semi")
-    n, spread = known.count(), 1_000_000
+    n = known.count()
+    spread = 1_000_000 * max(1, n // 1_000_000_000)  # finer where a millionth would be too coarse for the share
     share = int(min(1.0, rows / max(1, n)) * spread)
     drawn = F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(spread)) < share))  # at most about ``rows``
     got = docs.select(key, F.col(text).alias("text")).join(drawn, key).select("label", "text").mapInArrow(

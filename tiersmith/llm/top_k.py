@@ -155,7 +155,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks"))
     usable = rows.where("id is not null and vector is not null")
     total, asking = usable.agg(F.count("*"), F.count_if("asks")).first()
-    spread = 1_000_000
+    spread = 1_000_000 * max(1, total // 500_000_000)  # finer where a millionth would be too coarse for the share
     share = int(min(1.0, sample / max(1, total)) * spread)
     seeds = _collected(usable.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(spread)) < share).select("id", "vector"))
     count, out = max(1, -(-asking // block_queries)), []
