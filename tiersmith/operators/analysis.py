@@ -63,6 +63,13 @@ def three_task_curve(means: DataFrame, primary: str, datasets: str, lowest: list
                  + [reference_curve(means, primary, cost)])
 
 
+def layer_curves(means: DataFrame, datasets: str, layers: list[tuple[int, str, float]], primary: str, cost="water") -> DataFrame:
+    """Every cell of (levels, lowest, fraction) layers as a series of its own, and the reference curve."""
+    out = [_series(means, f"{levels} levels ({lowest})", [*FULL, "task_fractions"],
+                   ("Multitask", datasets, levels, lowest, fraction if levels > 2 else 1.0), cost) for levels, lowest, fraction in layers]
+    return stack([*out, reference_curve(means, primary, cost)])
+
+
 def layer_band(means: DataFrame, datasets: str, layers: list[tuple[int, str, float]], cost="water",
                low_ratio: float = 1.0, high_ratio: float = 6.0) -> DataFrame:
     """Error at the smallest and the largest additional set per core size, for (levels, lowest, fraction) layers."""
@@ -99,6 +106,12 @@ def core_benefit(means: DataFrame, datasets: str, lowest: str) -> DataFrame:
                                                    ["task_fractions", "high_level", "extra"])
 
 
+def core_benefit_curves(means: DataFrame, datasets: str, lowest: str, primary: str, cost="water") -> DataFrame:
+    """Cost and error without and with the core set (two tasks), and the reference curve beside them."""
+    return stack([*[_series(means, label, FULL, ("Multitask", label, 2, lowest), cost) for label in (datasets[1:], datasets)],
+                  reference_curve(means, primary, cost)])
+
+
 def percent_improvement(means: DataFrame, lowest: str, middle: str,
                         places: dict[str, list[tuple[int, int]]]) -> DataFrame:
     """``100*(two - three)/two`` per label and core size.

@@ -83,9 +83,25 @@ def geometry_text(spark, sf):
     return _atoms(spark, sf).select("mol_id", "atom_idx", V.geometry_line(F.col("symbol"), *scaled).alias("line"))
 
 
+
+
 FRAGMENTS = {"A": [0, 1, 6], "B": [2, 3, 7], "C": [4, 5, 8]}
 
 
+@query("geometry_fragments", f"""with {ATOMS_SQL}, l as (select mol_id, atom_idx, concat_ws(' ', symbol, cast(cast(x * 10000 as bigint) as varchar),
+ cast(cast(y * 10000 as bigint) as varchar), cast(cast(z * 10000 as bigint) as varchar)) as line from atoms),
+fr(atom_idx, f, o) as (values (0,'A',1),(1,'A',2),(6,'A',3),(2,'B',1),(3,'B',2),(7,'B',3),(4,'C',1),(5,'C',2),(8,'C',3)),
+b as (select mol_id, f, string_agg(line, chr(10) order by o) as block, count(*) as n from l join fr using (atom_idx) group by mol_id, f)
+select mol_id, string_agg(block, chr(10) || '--' || chr(10) order by f) as geometry from b group by mol_id having sum(n) = 9""")
+def geometry_fragments(spark, sf):
+    """Structures as text, fragment by fragment with a line of dashes between them."""
+    scaled = [F.round(F.col(c) * 10000).cast("bigint").alias(c) for c in "xyz"]
+    atoms = _atoms(spark, sf).select("mol_id", "atom_idx", F.struct("symbol", *scaled).alias("a"))
+    sets = atoms.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "a"))).alias("s")).where(F.size("s") >= 9)
+    structures = sets.select(F.lit("atoms").alias("file"), F.col("mol_id").alias("frame"), F.transform("s", lambda v: v["a"]).alias("atoms"))
+    return V.geometry_text(structures, list(FRAGMENTS.values())).select(F.col("frame").alias("mol_id"), "geometry")
+
+
 @query("fragment_pairs", f"""with {ATOMS_SQL}, fr(atom_idx, f) as (values (0,'A'),(1,'A'),(6,'A'),(2,'B'),(3,'B'),(7,'B'),(4,'C'),(5,'C'),(8,'C')),
 pr(fragment) as (values ('AB'), ('AC'), ('BC')) select mol_id, fragment, atom_idx, symbol, x from atoms join fr using (atom_idx) join pr on contains(fragment, f)""")
 def fragment_pairs(spark, sf):

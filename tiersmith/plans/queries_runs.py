@@ -74,6 +74,17 @@ def layer_band(spark, sf):
     return b.select("levels", "lowest", "high_level", F.round("cost", 4).alias("cost"), r6("mae_low", "mae_low"), r6("mae_high", "mae_high"))
 
 
+@query("layer_curves", _curve_sql([("3 levels (S2)", _is("CA", 3, "S2") + " and task_fractions = 0.5"), ("2 levels (S1)", _is("CA", 2, "S1") + " and task_fractions = 1"),
+                                   ("reference", "method = 'P'")]))
+def layer_curves(spark, sf):
+    return _curve(A.layer_curves(_means(spark, sf), "CA", [(3, "S2", 0.5), (2, "S1", 1.0)], "P"))
+
+
+@query("core_benefit_curves", _curve_sql([("AT", _is("AT", 2, "S2")), ("CAT", _is("CAT", 2, "S2")), ("reference", "method = 'P'")]))
+def core_benefit_curves(spark, sf):
+    return _curve(A.core_benefit_curves(_means(spark, sf), "CAT", "S2", "P"))
+
+
 SIDES = f"""sides as (select *, {EXTRA} as extra from means where method = 'Multitask' and levels = 2)"""
 
 

@@ -141,6 +141,21 @@ def log_scan(spark, sf):
     return good.select("mol_id", "method", F.size("values").alias("fields"))
 
 
+@query("log_scan_values", """select o_orderkey as mol_id, ['CCSDT', 'PBE', 'PBE0', 'SCAN'][o_orderkey % 4 + 1] as method,
+ cast(printf('%.4f', case when o_orderkey % 3 = 0 then -o_totalprice else o_totalprice end) as double) as first_value,
+ case when o_orderkey % 3 = 0 then null else 1.5 end as last_value,
+ case when o_orderkey % 3 = 0 then null else cast(printf('%.4f', o_totalprice / 5) as double) end as fourth_value
+ from orders where o_orderkey % 10 <> 9""")
+def log_scan_values(spark, sf):
+    """The numbers of every readable line."""
+    path = _path(spark, "log")
+    _lines(spark, sf).write.text(path)
+    good, _ = calclog.scan_log(spark, path)
+    v = F.col("values")
+    return good.select("mol_id", "method", F.get(v, F.lit(0)).alias("first_value"), F.get(v, F.lit(6)).alias("last_value"),
+                       F.get(v, F.lit(3)).alias("fourth_value"))
+
+
 @query("log_rejects", "select concat('*** step failed ', o_orderkey) as line from orders where o_orderkey % 10 = 9")
 def log_rejects(spark, sf):
     return calclog.parse_lines(_lines(spark, sf))[1]
