@@ -143,8 +143,8 @@ def log_scan(spark, sf):
 
 @query("log_scan_values", """select o_orderkey as mol_id, ['CCSDT', 'PBE', 'PBE0', 'SCAN'][o_orderkey % 4 + 1] as method,
  cast(printf('%.4f', case when o_orderkey % 3 = 0 then -o_totalprice else o_totalprice end) as double) as first_value,
- case when o_orderkey % 3 = 0 then null else 1.5 end as last_value,
- case when o_orderkey % 3 = 0 then null else cast(printf('%.4f', o_totalprice / 5) as double) end as fourth_value
+ case when o_orderkey % 3 = 0 then null else 1.5::double end as last_value,
+ case when o_orderkey % 3 = 0 then null else cast(printf('%.4f', o_totalprice / 2) as double) end as fourth_value
  from orders where o_orderkey % 10 <> 9""")
 def log_scan_values(spark, sf):
     """The numbers of every readable line."""
