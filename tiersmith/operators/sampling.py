@@ -29,22 +29,30 @@ def ranked_sample(df: DataFrame, key: str, n: int, seeds: list[int] = (0,), *, t
     total = df.count() if total is None else total
     if total < n:
         raise ValueError(f"cannot draw {n} of {total} rows")
-    seeded = (df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-                .withColumn("__h", order_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("seed"))))
+    def hashed(seed):
+        return order_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
+
+    def seeded(limit: str | None = None) -> DataFrame:
+        """A row for each seed, those above the threshold not made."""
+        wanted_seeds = F.array(*[F.lit(int(s)) for s in seeds])
+        if limit is not None:
+            wanted_seeds = F.filter(wanted_seeds, lambda s: hashed(s) < limit)
+        return df.withColumn("seed", F.explode(wanted_seeds)).withColumn("__h", hashed(F.col("seed")))
+
+    drawn = seeded()
     wanted = n + 8 * sqrt(n) + 64
     while total > PREFILTER_ROWS and wanted < total:
-        limit = format(ceil(wanted / total * 2**32), "08x")
-        found = (seeded.where(F.col("__h") < limit).groupBy("seed").count()
-                       .agg(F.min("count").alias("least"), F.count("*").alias("seeds")).first())
+        below = seeded(format(ceil(wanted / total * 2**32), "08x"))
+        found = below.groupBy("seed").count().agg(F.min("count").alias("least"), F.count("*").alias("seeds")).first()
         if found["seeds"] == len(seeds) and found["least"] >= n:
-            seeded = seeded.where(F.col("__h") < limit)
+            drawn = below
             break
         wanted *= 2
     if n <= RANK_BY_SORT:
         order = Window.partitionBy("seed").orderBy("__h", key)
-        ranked = seeded.withColumn(out, F.row_number().over(order).cast("bigint"))
+        ranked = drawn.withColumn(out, F.row_number().over(order).cast("bigint"))
     else:
-        ranked = row_index(seeded, ["__h", key], group=["seed"], out=out)
+        ranked = row_index(drawn, ["__h", key], group=["seed"], out=out)
     return ranked.where(F.col(out) <= n).drop("__h")
 
 
