@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered_queries():
     names = set(queries.QUERIES)
-    assert len(names) == 11 and "pipeline" in names and {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert len(names) == 14 and "pipeline" in names and {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
     assert names <= set(entry_module.queries()) and set(queries.SQL) <= names
 
 
