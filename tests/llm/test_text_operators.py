@@ -369,6 +369,19 @@ def test_scores_against_brute_force(odd_docs, block_bytes):
         assert r.score == pytest.approx(want(r.text), rel=1e-3, abs=2e-3)
 
 
+def test_blocks_are_fetched_by_bounds(odd_docs, monkeypatch):
+    """Together the blocks have every gram once and score every pair once; the driver's plans don't grow with the pairs."""
+    counts, plans = ppm.count(odd_docs), []
+    blocks, fetch = ppm.blocks_of(counts, 3000), type(counts).toArrow
+    monkeypatch.setattr(type(counts), "toArrow", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), fetch(df))[1])
+    parts = [blocks.fetch(k) for k in range(len(blocks))]
+    assert len(parts) > 3 and max(map(len, plans)) < 2000
+    got = np.concatenate([g.codes for g in parts])
+    assert sorted(got.tolist()) == sorted(r.code for r in counts.where(F.col("kind") == ppm.GRAM).collect())
+    assert (sum(g.mine.astype(int) for g in parts) == 1).all()
+    assert all(g.mine[g.codes >> 8 * (ppm.ORDER - 1)].all() for g in parts)
+
+
 @pytest.mark.parametrize("hot", [200_000, 2])
 def test_word_scores_against_brute_force(odd_docs, monkeypatch, hot):
     monkeypatch.setattr(ppm, "HOT", hot)

@@ -234,23 +234,26 @@ class Tables:
 
 @dataclass
 class Blocks:
-    """Which block scores which pair of last bytes; ``fetch`` brings the counts of one block to the driver."""
+    """Each block scores a range of pairs of last bytes; ``fetch`` brings the counts of one block to the driver."""
 
     counts: DataFrame
     pairs: np.ndarray
-    owner: np.ndarray
-    number: int
+    bounds: list[int]  # the first pair of each block, and 65536; pairs never seen are in a range too
 
     def __len__(self) -> int:
-        return self.number
+        return len(self.bounds) - 1
 
     def fetch(self, k: int) -> Grams:
-        part = self.counts
-        if self.number > 1:
-            part = part.where(F.shiftright("code", 8 * (ORDER - 1)).isin(np.flatnonzero(self.owner == k).tolist()))
+        part, mine = self.counts, None
+        if len(self) > 1:
+            lo, hi = self.bounds[k:k + 2]
+            first, behind = (pair << 8 * (ORDER - 1) for pair in (lo, hi))
+            # two comparisons: a list of pairs would be up to 65536 literals in the driver's plan
+            part = part.where((F.col("code") >= first) & (F.col("code") < behind))
+            mine = np.zeros(65536, bool)
+            mine[lo:hi] = True
         rows = part.toArrow()
-        return Grams(self.pairs, np.asarray(rows.column("code").combine_chunks()), np.asarray(rows.column("n").combine_chunks()),
-                     self.owner == k if self.number > 1 else None)
+        return Grams(self.pairs, np.asarray(rows.column("code").combine_chunks()), np.asarray(rows.column("n").combine_chunks()), mine)
 
 
 def blocks_of(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
@@ -265,14 +268,15 @@ def blocks_of(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
     long, short = (F.countDistinct(F.shiftright("code", 8 * k)) for k in (1, 2))
     sizes = got.groupBy(pair.alias("p")).agg(long.alias("long"), short.alias("short"), F.count("*").alias("grams"))
     width = int(((pairs.sum(0) + pairs.sum(1)) > 0).sum()) + 1
-    owner, block, used = np.zeros(65536, np.int64), 0, 0
+    bounds, used = [0], 0
     for r in sorted(sizes.collect()):
         # two bytes a cell for logarithms of all lengths, four for children, 24 for each gram and its place while tables are made
         need = int(width * (2 * (r["long"] + 1.5 * r["short"]) + 4 * 1.5 * r["short"])) + 24 * r["grams"]
         if used and used + need > block_bytes:
-            block, used = block + 1, 0
-        owner[r["p"]], used = block, used + need
-    return Blocks(got, pairs, owner, block + 1)
+            bounds.append(r["p"])
+            used = 0
+        used += need
+    return Blocks(got, pairs, [*bounds, 65536])
 
 
 _tables: dict[int, Tables] = {}
